@@ -94,7 +94,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
     The file is read as one value, which its bounded size allows, so line numbers are exact.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("id", "token"))
     return lines.filter(F.col("token") != "").select("token", "id")
 
@@ -102,8 +102,8 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def read_label_tasks(spark: SparkSession, base: str, ddl: str) -> DataFrame:
     """All prediction tasks in one scan, ``<base>/<task>/labeled_patients.csv``, with a ``task`` column."""
     frame = read_csv(spark, f"{base.rstrip('/')}/*/labeled_patients.csv", ddl)
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return frame.withColumn("task", F.element_at(path, -2)).filter(~F.col("task").isin(*SKIPPED_TASKS))
+    task = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/labeled_patients\.csv", 1)
+    return frame.withColumn("task", task).filter(~F.col("task").isin(*SKIPPED_TASKS))
 
 
 def with_file(df: DataFrame) -> DataFrame:
