@@ -4,7 +4,7 @@ import importlib
 
 from checks.registry import ORACLES, QUERIES
 
-for module in ("q_sources", "q_events", "q_labs", "q_terms"):
+for module in ("q_sources", "q_events", "q_labs", "q_terms", "q_labels"):
     importlib.import_module(f"checks.{module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -105,12 +105,12 @@ def unit_conversions(spark, d):
 
 @query(
     "convert_units",
-    "SELECT person_id, lx_lab_code, lx_result_other_unit, lx_result_unit, round(lx_result_val_converted, 4) AS lx_result_val_converted FROM converted",
+    "SELECT person_id, lx_lab_code, lx_result_other_unit, lx_result_unit, round(lx_result_val_converted, 6) AS lx_result_val_converted FROM converted",
 )
 def convert_units(spark, d):
     return _converted(spark, d).select(
         "person_id", "lx_lab_code", "lx_result_other_unit", "lx_result_unit",
-        F.round("lx_result_val_converted", 4).alias("lx_result_val_converted"),
+        F.round("lx_result_val_converted", 6).alias("lx_result_val_converted"),
     )
 
 
@@ -127,16 +127,16 @@ def having_semi(spark, d):
 
 @query(
     "percentiles",
-    """SELECT lx_lab_code, array_to_string(list_transform(b, lambda x: CAST(CAST(round(x, 2) * 100 AS BIGINT) AS VARCHAR)), ',') AS boundaries,
-         round(b[1], 2) AS percentile_10, round(b[9], 2) AS percentile_90 FROM bounds""",
+    """SELECT lx_lab_code, array_to_string(list_transform(b, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS boundaries,
+         round(b[1], 6) AS percentile_10, round(b[9], 6) AS percentile_90 FROM bounds""",
 )
 def percentiles(spark, d):
     kept = labs.filter_frequent(_converted(spark, d), *LIMITS)
     table = labs.percentiles(kept, accuracy=st.ACCURACY)
-    cents = F.transform("percentile_boundaries", lambda x: (F.round(x, 2) * 100).cast("bigint").cast("string"))
+    micros = F.transform("percentile_boundaries", lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
     return table.select(
-        "lx_lab_code", F.array_join(cents, ",").alias("boundaries"),
-        F.round("percentile_10", 2).alias("percentile_10"), F.round("percentile_90", 2).alias("percentile_90"),
+        "lx_lab_code", F.array_join(micros, ",").alias("boundaries"),
+        F.round("percentile_10", 6).alias("percentile_10"), F.round("percentile_90", 6).alias("percentile_90"),
     )
 
 
