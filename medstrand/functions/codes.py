@@ -60,5 +60,11 @@ def percentile_group(value: Column, bounds: Column, step: int) -> Column:
     return F.concat((below * step).cast("string"), F.lit("-"), ((below + 1) * step).cast("string"))
 
 
+def plain_number(text: Column) -> Column:
+    """``text`` as double when it is written as a number; unlike a cast, ``1F`` and ``2d`` are not."""
+    written = text.rlike(r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$")
+    return F.when(written, F.trim(text).try_cast("double"))
+
+
 def is_label(token: Column) -> Column:
     return token.startswith("LABEL")

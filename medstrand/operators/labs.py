@@ -377,7 +377,7 @@ def token_percentiles(
             part[2].alias("_value"),
             part[3].alias("_unit"),
         )
-        .withColumn("_value", F.expr("try_cast(_value as double)"))
+        .withColumn("_value", codes.plain_number(F.col("_value")))
         .filter(F.col("_value").isNotNull())
     )
     base = conversions.select("lx_lab_code", F.col("lx_result_unit").alias("_base")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medstrand.functions.codes import contains_any
+from medstrand.functions.codes import contains_any, plain_number
 
 # The birth code as it appears in sequences and as the nested format wants it.
 BIRTH_IN, BIRTH_OUT = "SNOMED/3950001", "SNOMED/184099003"
@@ -19,7 +19,7 @@ def _measurement(order: Column, token: Column) -> Column:
     """Text before the first colon is the code; the rest is a number when it reads as one, else text."""
     code = F.substring_index(token, ":", 1)
     rest = F.when(token.contains(":"), F.substr(token, F.length(code) + 2))
-    number = rest.try_cast("double")
+    number = plain_number(rest)
     return F.struct(
         order.alias("pos"),
         code.alias("code"),

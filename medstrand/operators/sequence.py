@@ -266,7 +266,8 @@ def encode(
         )
     unknown = vocabulary.filter(F.col("token") == UNK).agg(F.max("id")).scalar()
     found = salted_join(items, vocabulary.select("token", "id"), ["token"], "left")
-    item = F.struct("_pos", F.coalesce("id", unknown).alias("id"), "_day", "_type")
+    found = found.withColumn("id", F.coalesce("id", unknown))
+    item = F.struct("_pos", "id", "_day", "_type")
     rows = found.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), item))).alias("_items"),
         *[F.first(c).alias(c) for c in rest],
@@ -328,7 +329,7 @@ def mask_tokens(
     def draw(kind: str, i: Column) -> Column:
         return keyed_uniform(f"{seed}-{kind}", *keys, i)
 
-    work = encoded.withColumn("_pool", pool)
+    work = encoded.withColumns({"_pool": pool, "_mask": mask_id})
     decided = F.transform(
         "input_ids",
         lambda x, i: F.struct(
@@ -341,7 +342,7 @@ def mask_tokens(
     def changed(d: Column) -> Column:
         return (
             F.when(~d["chosen"], d["id"])
-            .when(d["u"] <= masking_fraction, mask_id)
+            .when(d["u"] <= masking_fraction, F.col("_mask"))
             .when(d["u"] < masking_fraction + random_fraction, F.get(F.col("_pool"), d["word"]))
             .otherwise(d["id"])
         )
@@ -355,7 +356,7 @@ def mask_tokens(
     present = [c for c in ENCODED if c in encoded.columns]
     padded = {c: _padded(c, F.lit(length)) for c in present}
     padded["labels"] = _padded("labels", F.lit(length), -100)
-    return work.withColumns(padded).drop("_pool", "_d")
+    return work.withColumns(padded).drop("_pool", "_mask", "_d")
 
 
 def recent_events(
