@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sql_steps as q
 from checks import standins as st
-from checks.q_labels import VOCAB_SQL
+from checks.q_labels import VOCAB_SIZE, VOCAB_SQL
 from checks.q_labs import LIMITS
 from checks.registry import CTES, big, list_text, query, seq_text
 from medstrand.operators import labs, sequence, timeline, vocab
@@ -20,7 +20,10 @@ FIRST = "SELECT * FROM seqrows"
 
 def vocabulary(spark, d, sequences=st.sequences, split=False):
     counts = vocab.token_counts(timeline.parallel_arrays(sequences(spark, d)), split)
-    return vocab.vocabulary(counts, 400)
+    return vocab.vocabulary(counts, VOCAB_SIZE)
+
+
+ROWS = VOCAB_SIZE + 3  # the size limit and the special tokens
 
 
 def shown(df, *keys):
@@ -107,7 +110,7 @@ def percentile_type_ids(spark, d):
 def encode_sequences(spark, d):
     rows = st.banded_sequences(spark, d)
     words = vocabulary(spark, d, st.banded_sequences, split=True)
-    return encoded_shown(sequence.encode(rows, words, 32, percentile_step=10), "person_id")
+    return encoded_shown(sequence.encode(rows, words, 32, percentile_step=10, vocabulary_rows=ROWS), "person_id")
 
 
 PRE = q.age(q.trim_position(q.trim_length(q.random_window(FIRST, L, P, "pre"), L), P))
@@ -115,7 +118,7 @@ PRE = q.age(q.trim_position(q.trim_length(q.random_window(FIRST, L, P, "pre"), L
 
 @query("pretrain_rows", q.encoded_text(q.encoded(PRE, "voc", L)))
 def pretrain_rows(spark, d):
-    out = plans.pretrain_rows(st.sequences(spark, d), vocabulary(spark, d), L, P, window_seed="pre")
+    out = plans.pretrain_rows(st.sequences(spark, d), vocabulary(spark, d), L, P, window_seed="pre", vocabulary_rows=ROWS)
     return encoded_shown(out, "person_id")
 
 
@@ -138,7 +141,7 @@ def multilabel_sql(src, voc, step=None):
 
 @query("multilabel_rows", multilabel_sql("SELECT * FROM lseqrows", "voc"))
 def multilabel_rows(spark, d):
-    out = plans.multilabel_rows(st.labelled_sequences(spark, d), vocabulary(spark, d), L, P)
+    out = plans.multilabel_rows(st.labelled_sequences(spark, d), vocabulary(spark, d), L, P, vocabulary_rows=ROWS)
     return encoded_shown(out, "person_id", big("label_count").alias("label_count"), big("labels").alias("labels"))
 
 
@@ -175,7 +178,7 @@ SELECT person_id, date, day, new AS token, row_number() OVER (PARTITION BY perso
 def multilabel_lab_rows(spark, d):
     conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY)
     words = vocabulary(spark, d, st.banded_sequences, split=True)
-    out = plans.multilabel_lab_rows(value_label_sequences(spark, d), words, conversions, table, L, P)
+    out = plans.multilabel_lab_rows(value_label_sequences(spark, d), words, conversions, table, L, P, vocabulary_rows=ROWS)
     return encoded_shown(out, "person_id", big("label_count").alias("label_count"), big("labels").alias("labels"))
 
 

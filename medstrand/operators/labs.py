@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
-from medstrand.operators.scale import salted_join
+from medstrand.operators.scale import lookup_join, salted_join
 from medstrand.schema import sequence_element
 
 # Decimal prefixes of unit symbols.
@@ -207,15 +207,19 @@ def clean(labs: DataFrame) -> DataFrame:
     return numeric_results(filter_codes(labs))
 
 
-def convert(labs: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out."""
+def convert(labs: DataFrame, conversions: DataFrame, rows: int | None = None) -> DataFrame:
+    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out.
+
+    ``rows`` is the size of ``conversions`` where the caller has it.
+    """
     table = conversions.filter(F.col("conversion_factor").isNotNull()).select(
         "lx_lab_code", "lx_result_other_unit", "conversion_factor", "lx_result_unit"
     )
-    joined = salted_join(
+    joined = lookup_join(
         labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit"),
         table,
         ["lx_lab_code", "lx_result_other_unit"],
+        rows=rows,
     )
     scaled = joined.withColumn(
         "lx_result_val_converted", F.col("lx_result_val") * F.col("conversion_factor")
@@ -261,12 +265,14 @@ def percentiles(converted: DataFrame, step: int = 10, accuracy: int = 10_000) ->
     return bounds.select("lx_lab_code", "percentile_boundaries", *named)
 
 
-def percentile_groups(converted: DataFrame, table: DataFrame, step: int = 10) -> DataFrame:
+def percentile_groups(
+    converted: DataFrame, table: DataFrame, step: int = 10, rows: int | None = None
+) -> DataFrame:
     """Add ``percentile_group`` text; codes without boundaries drop out."""
     if 100 // step < 3:
         raise ValueError("need at least three percentile groups")
-    joined = salted_join(
-        converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"]
+    joined = lookup_join(
+        converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"], rows=rows
     )
     group = codes.percentile_group(
         F.col("lx_result_val_converted"), F.col("percentile_boundaries"), step
@@ -304,20 +310,32 @@ def apply(
     return lab_tokens(percentile_groups(converted, usable, step))
 
 
+def _lazy(table: DataFrame, name: str) -> tuple[DataFrame, int | None]:
+    return table, None
+
+
 def fit_apply(
-    labs: DataFrame, min_count: int, min_values: int, step: int = 10, accuracy: int = 10_000
+    labs: DataFrame,
+    min_count: int,
+    min_values: int,
+    step: int = 10,
+    accuracy: int = 10_000,
+    save: Callable[[DataFrame, str], tuple[DataFrame, int | None]] = _lazy,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(tokens, conversions, percentiles)`` from raw labs.
 
-    Boundaries and thresholds depend only on a code, so both come from one pass over the converted
-    labs before the tokens are made, and the threshold test rides on the boundary lookup.
+    Boundaries and thresholds depend only on a code, so the threshold test rides on the boundary
+    lookup. ``save`` may store each small fitted table and return it with its row count: the labs
+    are then read once per fitted table and once for the tokens, and joined by broadcast when the
+    count allows it. By default everything stays one lazy plan.
     """
     usable = clean(labs)
-    conversions = unit_conversions(usable)
-    converted = convert(usable, conversions)
+    conversions, n_conversions = save(unit_conversions(usable), "conversions")
+    converted = convert(usable, conversions, n_conversions)
     frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
-    table = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
-    return lab_tokens(percentile_groups(converted, table, step)), conversions, table
+    bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
+    table, n_table = save(bounds, "percentiles")
+    return lab_tokens(percentile_groups(converted, table, step, n_table)), conversions, table
 
 
 def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFrame:

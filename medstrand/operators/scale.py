@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Copies of a lookup side in a salted join; a hot key is spread over this many tasks.
 SALTS = 8
 # Largest lookup the planner is told to broadcast; anything bigger is left to a shuffled join.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 200_000
 # Length of a block of consecutive numbers generated by one task.
 BLOCK = 65_536
 
@@ -37,6 +37,15 @@ def bounded_broadcast(lookup: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
 
 
+def lookup_join(
+    fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", rows: int | None = None
+) -> DataFrame:
+    """Join with a lookup of ``rows`` rows: broadcast when that is known and small, else salted."""
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return fact.join(F.broadcast(lookup), list(on), how)
+    return salted_join(fact, lookup, on, how)
+
+
 Level = tuple[str, Column, bool]
 
 
@@ -62,24 +71,25 @@ def running_total(
     # Null keys are equal inside a struct, so the window and the join below share one partitioning.
     work = work.withColumn("_key", F.struct(*by, *names))
 
-    table = work.groupBy("_key").agg(F.sum("_amount").alias("_total")).select("_key.*", "_total")
-    table = table.withColumn("_offset", F.lit(0))
+    totals = work.groupBy("_key").agg(F.sum("_amount").alias("_total")).select("_key.*", "_total")
+    offsets = totals.withColumn("_offset", F.lit(0))
     for depth, (name, _, ascending) in enumerate(levels):
+        # Each level is summed from the bucket totals, not from the level before it.
         outer, here = by + names[:depth], by + names[: depth + 1]
-        sums = table.groupBy(F.struct(*here).alias("_at")).agg(F.sum("_total").alias("_sum"))
+        sums = totals.groupBy(F.struct(*here).alias("_at")).agg(F.sum("_total").alias("_sum"))
         window = (
             Window.partitionBy(*[f"_at.{c}" for c in outer])
             .orderBy(F.col(f"_at.{name}").asc() if ascending else F.col(f"_at.{name}").desc())
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         before = sums.select("_at", F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias("_before"))
-        table = (
-            table.withColumn("_at", F.struct(*here))
+        offsets = (
+            offsets.withColumn("_at", F.struct(*here))
             .join(before, "_at")
             .withColumn("_offset", F.col("_offset") + F.col("_before"))
             .drop("_at", "_before")
         )
-    offsets = table.select(F.struct(*by, *names).alias("_key"), "_offset")
+    offsets = offsets.select(F.struct(*by, *names).alias("_key"), "_offset")
 
     inside = (
         Window.partitionBy("_key")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from medstrand.functions.codes import is_label
 from medstrand.functions.keyed import keyed_hash, keyed_uniform
-from medstrand.operators.scale import hash_rank, salted_join
+from medstrand.operators.scale import hash_rank, lookup_join
 from medstrand.operators.timeline import age_in_years
 from medstrand.operators.vocab import CLS, MASK, UNK
 from medstrand.schema import sequence_element
@@ -239,11 +239,13 @@ def encode(
     percentile_step: int | None = None,
     add_cls: bool = True,
     single_age_token: bool = False,
+    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """``input_ids, position_ids, attention_mask`` (and ``token_type_ids``) of each sequence.
 
     Arrays are cut to ``max_length`` before the tokens become rows, so each row gathers back a
-    bounded number of ids. Common tokens are hot keys, hence the salted join. Unknown tokens take
+    bounded number of ids. Common tokens are hot keys, so the vocabulary is broadcast when
+    ``vocabulary_rows`` says it is small and meets salted tokens otherwise. Unknown tokens take
     the id of ``[UNK]``. ``keys`` identify a row.
     """
     keys = list(keys)
@@ -265,7 +267,7 @@ def encode(
             "token", F.when(F.col("token").startswith("AGE:"), "AGE").otherwise(F.col("token"))
         )
     unknown = vocabulary.filter(F.col("token") == UNK).agg(F.max("id")).scalar()
-    found = salted_join(items, vocabulary.select("token", "id"), ["token"], "left")
+    found = lookup_join(items, vocabulary.select("token", "id"), ["token"], "left", vocabulary_rows)
     found = found.withColumn("id", F.coalesce("id", unknown))
     item = F.struct("_pos", "id", "_day", "_type")
     rows = found.groupBy(*keys).agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from medstrand.operators import events as ev
 from medstrand.operators import labs as lb
 from medstrand.operators import quality, timeline
-from medstrand.schema import CODE_COLUMNS
+from medstrand.sources import sinks
 
 COLUMNS = ["person_id", "date", "general_event_token"]
 EVENT_TABLES = ("diagnosis", "prescription", "procedure", "lab")
@@ -20,8 +20,6 @@ EVENT_TABLES = ("diagnosis", "prescription", "procedure", "lab")
 
 @dataclass
 class Prepared:
-    """Lazy results; nothing has run yet."""
-
     sequences: DataFrame
     conversions: DataFrame | None
     percentiles: DataFrame | None
@@ -54,6 +52,9 @@ def prepare(
     Lab tables are learned from the data unless both ``conversions`` and ``percentiles`` are given.
     Filters stay in the plan next to the scans so they reach the files. Duplicates leave by
     calendar day, which is the same as by day number, so the dates need no alignment first.
+
+    The fitted lab tables and the merged tokens are written to the shared scratch folder when this
+    is called, because several later steps read them; the sequences and the report stay lazy.
     """
     min_days = config["number_of_days_threshold"]
     selected = ev.select_columns(tables, config)
@@ -63,34 +64,31 @@ def prepare(
     if kept.get("lab") is not None:
         limits = config["min_loinc_counts"], config["min_loinc_value_counts"]
         if conversions is None or percentiles is None:
-            lab_frame, conversions, percentiles = lb.fit_apply(kept["lab"], *limits, accuracy=accuracy)
+            lab_frame, conversions, percentiles = lb.fit_apply(
+                kept["lab"], *limits, accuracy=accuracy, save=sinks.save_sized
+            )
         else:
             lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits)
     merged = ev.merge_frames(COLUMNS, tokens, lab_frame)
 
     present = merged.filter(F.col("general_event_token").isNotNull()).withColumn("_on", F.to_date("date"))
     unique = ev.dedupe_events(present, ["person_id", "_on", "general_event_token"]).select(*COLUMNS)
+    unique = sinks.materialise(unique, "tokens")
     patients = kept.get("patient")
     sequences = timeline.build_sequences(unique, patients, min_days=min_days, part_events=part_events)
-    steps = _tagged_steps(selected, config, lab_frame)
+    steps = _tagged_steps(selected, config, unique)
     return Prepared(sequences, conversions, percentiles, quality.cutflow(steps, step_names(min_days), min_days))
 
 
-def _tagged_steps(selected: ev.Tables, config: Mapping, lab_frame: DataFrame | None) -> DataFrame:
-    """``person_id, reached, date`` of every raw event row, tagged in the scan that reads it."""
-    rows = []
+def _tagged_steps(selected: ev.Tables, config: Mapping, tokens: DataFrame) -> DataFrame:
+    """``person_id, reached, date`` of every raw event row, tagged in the scan that reads it, and of every token."""
+    rows = [tokens.select("person_id", F.lit(4).alias("reached"), "date")]
     for name in EVENT_TABLES:
         df = selected.get(name)
         if df is None:
             continue
         passes = F.coalesce(F.expr(config["tables"][name]["filter_expr"]), F.lit(False))
         in_dates = F.coalesce(F.expr(config["event_date_filter"]), F.lit(False))
-        reached = F.when(~passes, 1).when(~in_dates, 2)
-        if name in CODE_COLUMNS:
-            reached, date = reached.otherwise(4), F.when(passes & in_dates, F.col("date"))
-        else:
-            reached, date = reached.otherwise(3), F.lit(None).cast("timestamp")
-        rows.append(df.select("person_id", reached.alias("reached"), date.alias("date")))
-    if lab_frame is not None:
-        rows.append(lab_frame.select("person_id", F.lit(4).alias("reached"), "date"))
+        reached = F.when(~passes, 1).when(~in_dates, 2).otherwise(3)
+        rows.append(df.select("person_id", reached.alias("reached"), F.lit(None).cast("timestamp").alias("date")))
     return reduce(DataFrame.union, rows)

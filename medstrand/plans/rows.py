@@ -21,6 +21,7 @@ def pretrain_rows(
     keys: Sequence[str] = ("person_id",),
     percentile_step: int | None = None,
     single_age_token: bool = False,
+    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """Unlabelled path: baseline first, optional random window, length and day trims, age, encoding."""
     rows = sq.baseline_first(sequences.select(*keys, "seq"))
@@ -29,7 +30,8 @@ def pretrain_rows(
     rows = sq.trim_position(sq.trim_length(rows, max_length), max_position)
     rows = sq.correct_age(rows)
     return sq.encode(
-        rows, vocabulary, max_length, keys, percentile_step, single_age_token=single_age_token
+        rows, vocabulary, max_length, keys, percentile_step,
+        single_age_token=single_age_token, vocabulary_rows=vocabulary_rows,
     )
 
 
@@ -40,10 +42,13 @@ def labelled_rows(
     label: str = "label",
     keys: Sequence[str] = ("person_id",),
     percentile_step: int | None = None,
+    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """One label per sequence: encoding only, which keeps the oldest ``max_length`` elements."""
     rows = sequences.select(*keys, label, "seq").withColumnRenamed(label, "labels")
-    return sq.encode(rows, vocabulary, max_length, keys, percentile_step)
+    return sq.encode(
+        rows, vocabulary, max_length, keys, percentile_step, vocabulary_rows=vocabulary_rows
+    )
 
 
 def multilabel_rows(
@@ -53,13 +58,16 @@ def multilabel_rows(
     max_position: int,
     label: int | None = None,
     percentile_step: int | None = None,
+    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """One row per label inside a sequence, keeping the latest history before it."""
     samples = sq.label_samples(
         sequences.select("person_id", "seq"), label, recent=max_length, drop_repeats=True
     ).withColumnRenamed("label", "labels")
     rows = sq.trim_position(sq.trim_length(samples, max_length), max_position)
-    return sq.encode(rows, vocabulary, max_length, SAMPLE_KEYS, percentile_step)
+    return sq.encode(
+        rows, vocabulary, max_length, SAMPLE_KEYS, percentile_step, vocabulary_rows=vocabulary_rows
+    )
 
 
 def multilabel_lab_rows(
@@ -71,6 +79,7 @@ def multilabel_lab_rows(
     max_position: int,
     label: int | None = None,
     groups: int = 10,
+    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """As ``multilabel_rows`` for sequences whose lab tokens still carry value and unit.
 
@@ -80,7 +89,9 @@ def multilabel_lab_rows(
     rewritten = labs.token_percentiles(
         sequences.select("person_id", "seq"), ["person_id"], conversions, percentiles, groups
     )
-    return multilabel_rows(rewritten, vocabulary, max_length, max_position, label, 100 // groups)
+    return multilabel_rows(
+        rewritten, vocabulary, max_length, max_position, label, 100 // groups, vocabulary_rows
+    )
 
 
 def meds_samples(
