@@ -162,7 +162,7 @@ def base_units(labs: DataFrame) -> DataFrame:
 
 def conversion_factors(pairs: DataFrame, base: str, other: str) -> DataFrame:
     """Add ``conversion_factor`` from unit ``other`` to unit ``base``: 1 for equal text, null if incompatible."""
-    units = pairs.select(F.col(base).alias("_unit")).union(pairs.select(F.col(other)))
+    units = pairs.select(F.explode(F.array(base, other)).alias("_unit"))
     factors = unit_factors(units, "_unit")
     side = lambda p, c: factors.select(
         F.col("_unit").alias(c), F.col("factor").alias(f"{p}_f"), F.col("dimension").alias(f"{p}_d")
