@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,22 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="medstrand-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder ``spark.checkpoint.dir`` names; a local one only where it is unset."""
+    """A new path under the shared folder ``spark.checkpoint.dir`` names.
+
+    A machine's own temporary folder serves only a local session without that setting; on a
+    cluster its absence is an error, since other executors could not read what one wrote.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="medstrand-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/medstrand/{name}-{uuid.uuid4().hex}"
 
 
