@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +57,19 @@ def running_total(
     value: Column | None = None,
     out: str = "running",
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` (row number when omitted) without a one-task window.
+    """Inclusive running sum of ``value`` (row number when omitted) without a one-task window."""
+    amount = F.lit(1).cast("bigint") if value is None else value
+    return running_totals(df, order, levels, {out: amount}, by)
+
+
+def running_totals(
+    df: DataFrame,
+    order: Sequence[tuple[str, bool]],
+    levels: Sequence[Level],
+    values: Mapping[str, Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Add an inclusive running sum for each entry of ``values``.
 
     ``levels`` are ``(name, expression, ascending)`` buckets, coarse to fine, each monotone in
     ``order`` (``(column, ascending)`` pairs that order rows fully). Totals are taken per bucket
@@ -65,43 +77,50 @@ def running_total(
     bucket, so neither a hot ``by`` group nor an ungrouped frame lands in one task.
     """
     by = list(by)
+    outs = list(values)
     names = [name for name, _, _ in levels]
-    amount = F.lit(1).cast("bigint") if value is None else value
-    work = df.withColumns({name: expr for name, expr, _ in levels}).withColumn("_amount", amount)
+    work = df.withColumns({name: expr for name, expr, _ in levels})
+    work = work.withColumns({f"_amount_{o}": v for o, v in values.items()})
     # Null keys are equal inside a struct, so the window and the join below share one partitioning.
     work = work.withColumn("_key", F.struct(*by, *names))
 
-    totals = work.groupBy("_key").agg(F.sum("_amount").alias("_total")).select("_key.*", "_total")
-    offsets = totals.withColumn("_offset", F.lit(0))
+    sums = [F.sum(f"_amount_{o}").alias(f"_total_{o}") for o in outs]
+    totals = work.groupBy("_key").agg(*sums).select("_key.*", *[f"_total_{o}" for o in outs])
+    offsets = totals.withColumns({f"_offset_{o}": F.lit(0) for o in outs})
     for depth, (name, _, ascending) in enumerate(levels):
         # Each level is summed from the bucket totals, not from the level before it.
         outer, here = by + names[:depth], by + names[: depth + 1]
-        sums = totals.groupBy(F.struct(*here).alias("_at")).agg(F.sum("_total").alias("_sum"))
+        level = totals.groupBy(F.struct(*here).alias("_at")).agg(
+            *[F.sum(f"_total_{o}").alias(f"_sum_{o}") for o in outs]
+        )
         window = (
             Window.partitionBy(*[f"_at.{c}" for c in outer])
             .orderBy(F.col(f"_at.{name}").asc() if ascending else F.col(f"_at.{name}").desc())
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        before = sums.select("_at", F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias("_before"))
+        before = level.select(
+            "_at", *[F.coalesce(F.sum(f"_sum_{o}").over(window), F.lit(0)).alias(f"_before_{o}") for o in outs]
+        )
         offsets = (
             offsets.withColumn("_at", F.struct(*here))
             .join(before, "_at")
-            .withColumn("_offset", F.col("_offset") + F.col("_before"))
-            .drop("_at", "_before")
+            .withColumns({f"_offset_{o}": F.col(f"_offset_{o}") + F.col(f"_before_{o}") for o in outs})
+            .drop("_at", *[f"_before_{o}" for o in outs])
         )
-    offsets = offsets.select(F.struct(*by, *names).alias("_key"), "_offset")
+    offsets = offsets.select(F.struct(*by, *names).alias("_key"), *[f"_offset_{o}" for o in outs])
 
     inside = (
         Window.partitionBy("_key")
         .orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c, asc in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = work.withColumn("_inside", F.sum("_amount").over(inside))
+    ranked = work.withColumns({f"_inside_{o}": F.sum(f"_amount_{o}").over(inside) for o in outs})
     extra = [n for n in names if n not in df.columns]
+    helpers = [f"_{kind}_{o}" for kind in ("amount", "inside", "offset") for o in outs]
     return (
         ranked.join(offsets, "_key")
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_key", "_amount", "_inside", "_offset", *extra)
+        .withColumns({o: F.col(f"_offset_{o}") + F.col(f"_inside_{o}") for o in outs})
+        .drop("_key", *helpers, *extra)
     )
 
 

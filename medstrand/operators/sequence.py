@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from medstrand.functions.codes import is_label
 from medstrand.functions.keyed import keyed_hash, keyed_uniform
-from medstrand.operators.scale import hash_rank, lookup_join
-from medstrand.operators.timeline import age_in_years
+from medstrand.operators.scale import hash_rank, lookup_join, running_totals, salted_join
+from medstrand.operators.timeline import age_in_years, event_positions
 from medstrand.operators.vocab import CLS, MASK, UNK
 from medstrand.schema import sequence_element
+from medstrand.sources.sinks import materialise
 
 
 def _baseline(seq: str | Column) -> Column:
@@ -377,3 +378,87 @@ def recent_events(
     events = present.filter("days_since_begin <> 0").withColumn("_rank", F.row_number().over(window))
     kept = events.filter(F.col("_rank") <= keep).drop("_rank")
     return present.filter("days_since_begin = 0").unionByName(kept)
+
+
+def window_events(
+    aligned: DataFrame, max_length: int, seed: str | int
+) -> DataFrame:
+    """Long form of ``random_window``'s choice: day-0 rows and a random full window of the others.
+
+    Positions come from ``event_positions``, so a very long person is ranked by many tasks and
+    only ``max_length`` of its rows remain. Collect, rebase and trim afterwards.
+    """
+    present = aligned.filter(F.col("general_event_token").isNotNull())
+    base, events = present.filter("days_since_begin = 0"), present.filter("days_since_begin <> 0")
+    counts = present.groupBy("person_id").agg(
+        F.count(F.when(F.col("days_since_begin") == 0, 1)).alias("_b"),
+        F.count(F.when(F.col("days_since_begin") != 0, 1)).alias("_n"),
+    )
+    width = F.least(F.greatest(F.lit(max_length) - F.col("_b"), F.lit(0)), F.col("_n"))
+    counts = counts.withColumn(
+        "_w", F.when(F.col("_b") + F.col("_n") > max_length, width).otherwise(F.col("_n"))
+    ).withColumn("_off", F.floor(keyed_uniform(seed, "person_id") * (F.col("_n") - F.col("_w") + 1)))
+    placed = salted_join(event_positions(events), counts, ["person_id"])
+    kept = placed.filter((F.col("position") >= F.col("_off")) & (F.col("position") < F.col("_off") + F.col("_w")))
+    return base.unionByName(kept.select(*base.columns))
+
+
+def label_samples_from_events(
+    aligned: DataFrame, recent: int, label: int | None = None, drop_repeats: bool = False
+) -> DataFrame:
+    """``label_samples(recent=...)`` straight from long form, for persons of any length.
+
+    Events are numbered in order and put in blocks of ``recent``; a label needs its own block and
+    the one before. The join is on person and block, so no person is held in one task, and each
+    sample gathers at most ``recent`` events and the day-0 rows.
+    """
+    rows = aligned.filter(F.col("general_event_token").isNotNull())
+    mark = is_label(F.col("general_event_token"))
+    base = rows.filter((F.col("days_since_begin") == 0) & ~mark)
+    ordered = rows.filter((F.col("days_since_begin") != 0) | mark)
+    if drop_repeats:
+        # A repeat has the same day, so looking back inside the day is enough.
+        within = Window.partitionBy("person_id", "days_since_begin").orderBy("date", "general_event_token")
+        events = ordered.filter(~mark).withColumn("_before", F.lag("general_event_token").over(within))
+        events = events.filter(~F.col("_before").eqNullSafe(F.col("general_event_token"))).drop("_before")
+        ordered = events.unionByName(ordered.filter(mark))
+    numbered = running_totals(
+        ordered,
+        order=[("date", True), ("days_since_begin", True), ("general_event_token", True)],
+        levels=[("_on", F.to_date("date"), True)],
+        values={"_seen": F.when(mark, 0).otherwise(1), "_labels": F.when(mark, 1).otherwise(0)},
+        by=["person_id"],
+    )
+    # Labels and events both read the numbering, so it is written to the shared folder once.
+    numbered = materialise(numbered, "numbered")
+    value = F.expr("try_cast(get(split(general_event_token, ':'), 1) as int)")
+    marks = numbered.filter(mark).select(
+        "person_id", "_seen", (F.col("_labels") - 1).alias("label_count"), value.alias("label")
+    )
+    if label is not None:
+        marks = marks.filter(F.col("label") == label)
+    block = F.floor((F.col("_seen") - 1) / recent)
+    events = numbered.filter(~mark).select(
+        "person_id", block.alias("_block"), F.col("_seen").alias("_at"), "date", "days_since_begin", "general_event_token"
+    )
+    wanted = marks.withColumn("_block", F.explode(F.array(block, block - 1)))
+    near = wanted.join(events, ["person_id", "_block"]).filter(
+        (F.col("_at") <= F.col("_seen")) & (F.col("_at") > F.col("_seen") - recent)
+    )
+    at_start = salted_join(marks, base, ["person_id"]).withColumn("_at", F.lit(0))
+    # A label always has its own row, so one without history keeps an empty sample.
+    alone = marks.select("person_id", "label_count", "label", *[
+        F.lit(None).cast(kind).alias(name)
+        for name, kind in (("_at", "bigint"), ("date", "timestamp"), ("days_since_begin", "int"), ("general_event_token", "string"))
+    ])
+    columns = alone.columns
+    item = F.struct(
+        "_at", "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
+    )
+    gathered = near.select(*columns).unionByName(at_start.select(*columns)).unionByName(alone)
+    return gathered.groupBy("person_id", "label_count", "label").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), item))),
+            lambda y: sequence_element(y["date"], y["day"], y["token"]),
+        ).alias("seq")
+    )

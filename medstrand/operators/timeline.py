@@ -85,13 +85,29 @@ def filter_by_span(events: DataFrame, min_days: int) -> DataFrame:
     return salted_join(events, long_enough, ["person_id"], how="left_semi")
 
 
-def consolidate(events: DataFrame, by: Sequence[str] = ("person_id",)) -> DataFrame:
-    """Aligned events to one ``seq`` array per key, ordered by date, day and token; null tokens drop out."""
-    date = F.col("date") if "date" in events.columns else F.lit(None)
-    element = sequence_element(date, F.col("days_since_begin"), F.col("general_event_token"))
+def consolidate(
+    events: DataFrame, by: Sequence[str] = ("person_id",), part_events: int = PART_EVENTS
+) -> DataFrame:
+    """Aligned events to ordered ``seq`` arrays: by date, day and token; null tokens drop out.
+
+    One row per key, or several numbered by ``sequence_part`` for a key with more than
+    ``part_events`` events (see ``build_sequences``).
+    """
+    by = list(by)
+    date = F.col("date") if "date" in events.columns else F.lit(None).cast("timestamp")
+    rows = events.filter(F.col("general_event_token").isNotNull()).select(
+        *by,
+        date.alias("date"),
+        (F.col("days_since_begin") != 0).cast("int").alias("_event"),
+        "days_since_begin",
+        "general_event_token",
+    )
+    order = F.col("date") if "date" in events.columns else F.date_from_unix_date("days_since_begin")
+    cuts = _part_cuts(rows.filter("_event = 1").withColumn("date", order.cast("timestamp")), by, part_events)
+    element = sequence_element(F.col("date"), F.col("days_since_begin"), F.col("general_event_token"))
     return (
-        events.filter(F.col("general_event_token").isNotNull())
-        .groupBy(*by)
+        _with_parts(rows, cuts, by, order)
+        .groupBy(*by, "sequence_part")
         .agg(F.array_sort(F.collect_list(element)).alias("seq"))
     )
 
@@ -146,17 +162,12 @@ def build_sequences(
         )
         rows = rows.unionByName(base)
 
-    # Proven bound: cuts holds at most two dates per part_events input rows.
-    tagged = rows.join(F.broadcast(cuts), by, "left")
-    part = F.when(
-        F.col("_event") == 1, F.size(F.filter("_cuts", lambda d: d <= F.to_date("date")))
-    )
+    tagged = _with_parts(rows, cuts, by, F.col("date"))
     own_first = F.when(F.col("_event") == 1, F.coalesce("_first", "date"))
     own_last = F.when(F.col("_event") == 1, F.coalesce("_last", "date"))
 
     collected = (
-        tagged.withColumn("sequence_part", F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)))
-        .groupBy(*by, "sequence_part")
+        tagged.groupBy(*by, "sequence_part")
         .agg(
             F.min(own_first).alias("_first"),
             F.max(own_last).alias("_last"),
@@ -181,6 +192,15 @@ def build_sequences(
     return collected.select(*by, "sequence_part", F.transform("_rows", settle).alias("seq"))
 
 
+def _with_parts(rows: DataFrame, cuts: DataFrame, by: list[str], date: Column) -> DataFrame:
+    """Add ``sequence_part`` (and the over-long persons' ``_first`` and ``_last``) to ``_event`` rows."""
+    # Proven bound: cuts holds at most two dates per part_events input rows.
+    part = F.size(F.filter("_cuts", lambda d: d <= F.to_date(date)))
+    return rows.join(F.broadcast(cuts), by, "left").withColumn(
+        "sequence_part", F.when((F.col("_event") == 1) & F.col("_cuts").isNotNull(), part).otherwise(0)
+    )
+
+
 def _part_cuts(rows: DataFrame, by: list[str], part_events: int) -> DataFrame:
     """First and last date of each over-long person, with the days on which a new part begins."""
     long_ones = (

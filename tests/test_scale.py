@@ -71,12 +71,34 @@ def test_numbered_rows(spark):
 
 def test_recent_events_equal_length_trim(spark, skewed):
     aligned = timeline.align_to_first_date(skewed)
-    short = timeline.consolidate(sequence.recent_events(aligned, 20))
+    short = timeline.consolidate(sequence.recent_events(aligned, 20)).drop("sequence_part")
     trimmed = sequence.trim_length(short, 12)
-    full = sequence.trim_length(timeline.consolidate(aligned), 12)
+    full = sequence.trim_length(timeline.consolidate(aligned).drop("sequence_part"), 12)
     assert trimmed.exceptAll(full).count() == 0
 
 
+def test_consolidate_splits_a_long_person(spark, skewed):
+    aligned = timeline.align_to_first_date(skewed)
+    parts = timeline.consolidate(aligned, part_events=100)
+    assert parts.select(F.max(F.size("seq"))).first()[0] <= 110
+    assert parts.select(F.sum(F.size("seq"))).first()[0] == 6000
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_samples_from_events_equal_samples_from_arrays(spark, skewed, repeats):
+    marks = skewed.filter("crc32(general_event_token) % 40 = 0").withColumn(
+        "general_event_token", F.concat(F.lit("LABEL:"), (F.crc32("general_event_token") % 2).cast("string"))
+    ).distinct()
+    few = skewed.withColumn("general_event_token", F.concat(F.lit("T:"), (F.crc32("general_event_token") % 2).cast("string")))
+    aligned = timeline.align_to_first_date(few.union(marks))
+    arrays = sequence.label_samples(timeline.consolidate(aligned).drop("sequence_part"), recent=7, drop_repeats=repeats)
+    longs = sequence.label_samples_from_events(aligned, 7, drop_repeats=repeats)
+    columns = ["person_id", "label_count", "label", "seq"]
+    a = arrays.select(F.col("person_id"), F.col("label_count").cast("bigint"), "label", "seq")
+    assert a.count() > 100
+    assert a.exceptAll(longs.select(*columns)).count() == 0 and longs.count() == a.count()
+
+
 def test_matched_controls_cover_every_case(spark):
     people = spark.range(300).select(F.col("id").alias("person_id"), F.when(F.col("id") == 299, "b").otherwise("a").alias("g"))
     pairs = labels.matched_controls(people, people, ["g"], "s")
@@ -98,7 +120,7 @@ def test_sequences_do_not_depend_on_partitioning(spark, sf):
 
 def test_step_by_step_equals_one_shuffle(spark, sf):
     aligned = timeline.align_to_first_date(st.tokens(spark, sf))
-    steps = timeline.consolidate(timeline.add_baseline(aligned, st.patient(spark, sf)))
+    steps = timeline.consolidate(timeline.add_baseline(aligned, st.patient(spark, sf))).drop("sequence_part")
     assert steps.exceptAll(st.sequences(spark, sf)).count() == 0
 
 
