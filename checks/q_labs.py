@@ -7,6 +7,7 @@ from checks.registry import query, time_text
 from medstrand.functions import codes
 from medstrand.operators import labs
 from medstrand.operators import timeline
+from medstrand.sources.sinks import save_sized
 
 LIMITS = (st.MIN_COUNT, st.MIN_VALUES)
 
@@ -160,8 +161,9 @@ def lab_tokens(spark, d):
 
 @query("lab_tokens_apply", "SELECT person_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, token AS general_event_token FROM labtok")
 def lab_tokens_apply(spark, d):
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY)
-    return labs.apply(st.lab(spark, d), conversions, table, *LIMITS).withColumn("date", time_text("date"))
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
+    sizes = conversions.count(), table.count()
+    return labs.apply(st.lab(spark, d), conversions, table, *LIMITS, rows=sizes).withColumn("date", time_text("date"))
 
 
 @query(
@@ -213,6 +215,6 @@ SELECT person_id, string_agg(day || '@' || new, '|' ORDER BY date, day, token) A
 def token_lab_percentiles(spark, d):
     from checks.registry import seq_text
 
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY)
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
     rows = labs.token_percentiles(value_sequences(spark, d), ["person_id"], conversions, table)
     return rows.select("person_id", seq_text().alias("seq"))

@@ -9,6 +9,7 @@ from checks.q_labs import LIMITS
 from checks.registry import CTES, big, list_text, query, seq_text
 from medstrand.operators import labs, sequence, timeline, vocab
 from medstrand.plans import rows as plans
+from medstrand.sources.sinks import save_sized
 
 L, P, KEYS = 20, 1825, "person_id, label_count"
 SPECIAL = "(0, '[MASK]'), (1, '[CLS]'), (2, '[UNK]')"
@@ -208,7 +209,7 @@ SELECT person_id, date, day, new AS token, row_number() OVER (PARTITION BY perso
 
 @query("multilabel_lab_rows", multilabel_sql("SELECT * FROM vlrows", "bvoc", 10))
 def multilabel_lab_rows(spark, d):
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY)
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
     words = vocabulary(spark, d, st.banded_sequences, split=True)
     out = plans.multilabel_lab_rows(value_label_sequences(spark, d), words, conversions, table, L, P, vocabulary_rows=ROWS)
     return encoded_shown(out, "person_id", big("label_count").alias("label_count"), big("labels").alias("labels"))

@@ -285,14 +285,39 @@ def lab_tokens(grouped: DataFrame) -> DataFrame:
     return grouped.select(token.alias("general_event_token"), "date", "person_id")
 
 
+Saved = tuple[DataFrame, int | None]
+
+
+def _lazy(table: DataFrame, name: str) -> Saved:
+    return table, None
+
+
+def _fit(labs, min_count, min_values, step, accuracy, save) -> tuple[DataFrame, Saved, Saved]:
+    """Converted labs, conversions and boundaries; the threshold test rides on the boundary table."""
+    usable = clean(labs)
+    conversions, n_conversions = save(unit_conversions(usable), "conversions")
+    converted = convert(usable, conversions, n_conversions)
+    frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
+    bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
+    return converted, (conversions, n_conversions), save(bounds, "percentiles")
+
+
 def fit(
-    labs: DataFrame, min_count: int, min_values: int, step: int = 10, accuracy: int = 10_000
+    labs: DataFrame,
+    min_count: int,
+    min_values: int,
+    step: int = 10,
+    accuracy: int = 10_000,
+    save: Callable[[DataFrame, str], Saved] = _lazy,
 ) -> tuple[DataFrame, DataFrame]:
-    """Learn ``(conversions, percentiles)`` from raw labs."""
-    usable = clean(labs)
-    conversions = unit_conversions(usable)
-    kept = filter_frequent(convert(usable, conversions), min_count, min_values)
-    return conversions, percentiles(kept, step, accuracy)
+    """Learn ``(conversions, percentiles)`` from raw labs.
+
+    ``save`` may store each small fitted table and return it with its row count: later steps then
+    read it instead of learning it again, and broadcast it when the count allows. By default
+    everything stays one lazy plan.
+    """
+    _, (conversions, _), (table, _) = _fit(labs, min_count, min_values, step, accuracy, save)
+    return conversions, table
 
 
 def apply(
@@ -302,16 +327,16 @@ def apply(
     min_count: int,
     min_values: int,
     step: int = 10,
+    rows: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
-    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs."""
-    converted = convert(clean(labs), conversions)
+    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs.
+
+    ``rows`` are the sizes of the two tables where the caller has them.
+    """
+    converted = convert(clean(labs), conversions, rows[0])
     codes_in = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
     usable = table.join(codes_in, "lx_lab_code", "left_semi")
-    return lab_tokens(percentile_groups(converted, usable, step))
-
-
-def _lazy(table: DataFrame, name: str) -> tuple[DataFrame, int | None]:
-    return table, None
+    return lab_tokens(percentile_groups(converted, usable, step, rows[1]))
 
 
 def fit_apply(
@@ -320,21 +345,12 @@ def fit_apply(
     min_values: int,
     step: int = 10,
     accuracy: int = 10_000,
-    save: Callable[[DataFrame, str], tuple[DataFrame, int | None]] = _lazy,
+    save: Callable[[DataFrame, str], Saved] = _lazy,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(tokens, conversions, percentiles)`` from raw labs.
-
-    Boundaries and thresholds depend only on a code, so the threshold test rides on the boundary
-    lookup. ``save`` may store each small fitted table and return it with its row count: the labs
-    are then read once per fitted table and once for the tokens, and joined by broadcast when the
-    count allows it. By default everything stays one lazy plan.
-    """
-    usable = clean(labs)
-    conversions, n_conversions = save(unit_conversions(usable), "conversions")
-    converted = convert(usable, conversions, n_conversions)
-    frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
-    bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
-    table, n_table = save(bounds, "percentiles")
+    """``(tokens, conversions, percentiles)`` from raw labs, with ``save`` as in ``fit``."""
+    converted, (conversions, _), (table, n_table) = _fit(
+        labs, min_count, min_values, step, accuracy, save
+    )
     return lab_tokens(percentile_groups(converted, table, step, n_table)), conversions, table
 
 

@@ -68,7 +68,11 @@ def prepare(
                 kept["lab"], *limits, accuracy=accuracy, save=sinks.save_sized
             )
         else:
-            lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits)
+            conversions, n_conversions = sinks.save_sized(conversions, "conversions")
+            percentiles, n_percentiles = sinks.save_sized(percentiles, "percentiles")
+            lab_frame = lb.apply(
+                kept["lab"], conversions, percentiles, *limits, rows=(n_conversions, n_percentiles)
+            )
     merged = ev.merge_frames(COLUMNS, tokens, lab_frame)
 
     present = merged.filter(F.col("general_event_token").isNotNull()).withColumn("_on", F.to_date("date"))

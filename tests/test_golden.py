@@ -206,3 +206,24 @@ def test_auc_with_ties(spark):
 def test_missing_class_ids(spark):
     frame = spark.createDataFrame([(1,), (3,)], "label int")
     assert [r[0] for r in splits.class_id_violations(frame).orderBy("missing_class").collect()] == [0, 2]
+
+
+def test_fitted_tables_give_the_same_sequences(spark, sf):
+    from checks import q_pipelines as qp
+    from medstrand.plans.base import prepare
+
+    first = prepare(qp.CONFIG, qp.tables(spark, sf))
+    again = prepare(qp.CONFIG, qp.tables(spark, sf), conversions=first.conversions, percentiles=first.percentiles)
+    assert first.sequences.exceptAll(again.sequences).count() == 0
+    assert first.sequences.count() == again.sequences.count() > 0
+    counts = [r["number_patients"] for r in first.cutflow.orderBy("step").collect()]
+    assert counts == sorted(counts, reverse=True)
+
+
+def test_absent_tables_are_skipped(spark, sf):
+    from checks import q_pipelines as qp
+    from medstrand.plans.base import prepare
+
+    tables = dict(qp.tables(spark, sf), lab=None, prescription=None)
+    out = prepare(qp.CONFIG, tables)
+    assert out.conversions is None and out.sequences.count() > 0
