@@ -6,6 +6,7 @@ from checks import standins as st
 from checks.registry import big, query, time_text
 from medstrand.functions.keyed import keyed_hash
 from medstrand.operators import labels, sequence, splits, vocab
+from medstrand.sources.sinks import materialise
 
 U, H = st.sql_uniform, st.sql_hash
 
@@ -237,7 +238,8 @@ def token_counts_split(spark, d):
          round(sum(n) OVER (ORDER BY n DESC, token) / sum(n) OVER (), 9) AS cum_count_frac FROM wordcounts""",
 )
 def token_cumfrac(spark, d):
-    out = vocab.cumulative_fractions(vocab.token_counts(st.documents(spark, d)))
+    counts = materialise(vocab.token_counts(st.documents(spark, d)), "token-counts")
+    out = vocab.cumulative_fractions(counts)
     return out.withColumn("cum_count_frac", F.round("cum_count_frac", 9))
 
 

@@ -250,7 +250,7 @@ def fn_regex(spark, d):
 @query(
     "fn_date",
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days,
-         date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS epoch_day, NULL AS bad FROM orders""",
+         date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS epoch_day, CAST(NULL AS VARCHAR) AS bad FROM orders""",
 )
 def fn_date(spark, d):
     text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")

@@ -82,10 +82,9 @@ def derive_translation(data: DataFrame, vocabulary: DataFrame, mappings: DataFra
         .groupBy("CUI")
         .agg(F.min(F.struct("source", "code", "vocab_token")).alias("_best"))
     )
+    concepts_of_code = vocabulary_misses(data, vocabulary).join(pairs, ["source", "code"])
     best_of_code = (
-        vocabulary_misses(data, vocabulary)
-        .join(pairs, ["source", "code"])
-        .join(best_of_concept, "CUI")
+        salted_join(concepts_of_code, best_of_concept, ["CUI"])
         .groupBy(F.col("source").alias("original_source"), F.col("code").alias("original_code"))
         .agg(
             F.min(

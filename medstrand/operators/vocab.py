@@ -25,7 +25,7 @@ def cumulative_fractions(counts: DataFrame) -> DataFrame:
     """Running count and fraction in order of frequency, then token.
 
     Buckets go by count and then by a growing prefix of the token, so the many tokens seen once
-    are summed by many tasks.
+    are summed by many tasks. ``counts`` is read for each level: give a stored table.
     """
     running = running_total(
         counts,

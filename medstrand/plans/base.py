@@ -27,6 +27,7 @@ class Prepared:
 
 
 def step_names(min_days: int) -> list[str]:
+    # Names of the report's steps.
     return [
         "overall patients",
         "After yaml selections",

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed value: rows per output file of a split.
 ROWS_PER_FILE = 10_000
@@ -18,12 +19,22 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True) -> None:
 
 
 def write_splits(
-    df: DataFrame, path: str, by: Sequence[str] = ("split", "label"), rows_per_file: int = ROWS_PER_FILE
+    df: DataFrame,
+    path: str,
+    by: Sequence[str] = ("split", "label"),
+    rows_per_file: int = ROWS_PER_FILE,
+    tasks: int | None = None,
+    key: str = "person_id",
 ) -> None:
-    """All splits and classes in one pass, one directory each.
+    """All splits and classes in one pass, one directory each, files bounded by row count.
 
-    Files are bounded by row count; tasks are not tied to a directory, so a large split is written by all of them.
+    As it stands every task writes to every directory it has rows for. With ``tasks`` the rows are
+    first gathered so that a directory is written by at most that many tasks: fewer files, and a
+    directory with most of the rows is still shared out.
     """
+    if tasks is not None:
+        share = F.pmod(F.xxhash64(key), F.lit(tasks))
+        df = df.repartition(*[F.col(c) for c in by], share)
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 

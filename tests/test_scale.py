@@ -1,6 +1,6 @@
 """Hot keys, bounded pieces, stable results and plan shapes."""
 
-import datetime as dt
+import glob
 import io
 from contextlib import redirect_stdout
 
@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
 from medstrand.operators import labels, scale, sequence, splits, timeline
+from medstrand.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +155,13 @@ def test_group_limit_runs_before_the_shuffle(spark, sf):
     orders = st.table(spark, sf, "orders")
     text = plan_of(labels.top_n_per_group(orders, ["o_custkey"], "o_totalprice", 3))
     assert text.count("WindowGroupLimit") >= 2
+
+
+def test_split_files_are_bounded(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.col("id").alias("person_id"), F.when(F.col("id") % 9 == 0, "test").otherwise("train").alias("split"), (F.col("id") % 2).alias("label")
+    )
+    sinks.write_splits(rows.repartition(20), str(tmp_path / "s"), tasks=3, rows_per_file=1000)
+    assert len(glob.glob(str(tmp_path / "s/split=train/label=0/*.parquet"))) <= 6
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 5000 and back.filter("split = 'test'").count() == rows.filter("split = 'test'").count()
