@@ -121,10 +121,10 @@ def capped_sample(
 
 
 def label_metadata(labels: DataFrame, splits: DataFrame) -> DataFrame:
-    """Labels per split and value."""
-    person = splits.select(F.col("omop_person_id").alias("patient_id"), "split")
-    joined = salted_join(labels.select("patient_id", "value"), person, ["patient_id"])
-    return joined.groupBy("split", "value").agg(F.count("*").alias("n"))
+    """Labels per split and value; counted per person before the join, so a hot person is one row per value."""
+    person = splits.select(F.col("omop_person_id").alias("patient_id"), "split").distinct()
+    counts = labels.groupBy("patient_id", "value").agg(F.count("*").alias("n"))
+    return counts.join(person, "patient_id").groupBy("split", "value").agg(F.sum("n").alias("n"))
 
 
 def matched_controls(
