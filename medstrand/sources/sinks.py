@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +38,7 @@ def write_splits(
 
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     """One token per line in id order; the vocabulary's size is bounded, so one file is fine."""
-    vocabulary.orderBy("id").select("token").coalesce(1).write.mode("overwrite").text(path)
+    vocabulary.repartition(1).sortWithinPartitions("id").select("token").write.mode("overwrite").text(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -48,22 +46,13 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="medstrand-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder ``spark.checkpoint.dir`` names.
 
-    A machine's own temporary folder serves only a local session without that setting; on a
-    cluster its absence is an error, since other executors could not read what one wrote.
+    Where the session does not set it, the warehouse directory serves, which driver and executors
+    share as well; a machine's own temporary folder is never used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_scratch()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/medstrand/{name}-{uuid.uuid4().hex}"
 
 
