@@ -16,8 +16,6 @@ no rows. Columns beside the key and text are carried along unless they clash wit
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,41 +46,45 @@ def grow(old: Tree, weight: float = 1.0) -> Tree:
     return {**old, f"added{number}": {f"added{number}": {number: weight}}}
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(node), key), 11).cast("double")
-    return F.log((bits + 1) / F.lit(float(2**53))) / F.lit(float(weight))
-
+def _children(layout: Tree) -> list[dict[str, list[tuple[str, float]]]]:
+    """For each level, the children of every node as (name, weight); those without weight are left out."""
 
-def _heaviest(key: Column, prefix: str, children: Mapping[object, float]) -> Column:
-    """Number of the child with the largest draw; equal draws go to the later child."""
-    names = [name for name, weight in children.items() if weight > 0]
-    if not names:
-        raise ValueError(f"nothing below {prefix or 'the root'} has a weight")
-    draws = [
-        F.struct(_draw(key, f"{prefix}/{name}", children[name]).alias("draw"), F.lit(i).alias("child"))
-        for i, name in enumerate(names)
-    ]
-    return (F.greatest(*draws) if len(draws) > 1 else draws[0])["child"]
+    def weight(node) -> float:
+        return sum(weight(x) for x in node.values()) if isinstance(node, dict) else float(node)
+
+    levels, here = [], {"": layout}
+    while here and all(isinstance(node, dict) for node in here.values()):
+        levels.append({
+            name: [(f"{name}/{child}", weight(x)) for child, x in node.items() if weight(x) > 0]
+            for name, node in here.items()
+        })
+        here = {
+            f"{name}/{child}": x for name, node in here.items() for child, x in node.items() if weight(x) > 0
+        }
+    if not here:
+        raise ValueError("the tree has no weight")
+    return levels
 
 
 def shard_of(key: Column, layout: Tree) -> Column:
-    """Shard of ``key``: a descent of three levels."""
-
-    def weight(node) -> float:
-        return sum(weight(x) for x in node.values()) if isinstance(node, dict) else node
-
-    def descend(node: dict, prefix: str) -> Column:
-        alive = {name: child for name, child in node.items() if weight(child) > 0}
-        chosen = _heaviest(key, prefix, {name: weight(child) for name, child in alive.items()})
-        out = None
-        for i, (name, child) in enumerate(alive.items()):
-            value = descend(child, f"{prefix}/{name}") if isinstance(child, dict) else F.lit(int(name))
-            out = F.when(chosen == i, value) if out is None else out.when(chosen == i, value)
-        return out
-
-    if weight(layout) <= 0:
-        raise ValueError("the tree has no weight")
-    return descend(layout, "")
+    """Shard of ``key``: a descent from the root, one weighted draw among a node's children a level."""
+
+    def draw(child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(child["name"], key), 11).cast("double")
+        return F.struct((F.log((bits + 1) / F.lit(2.0**53)) / child["weight"]).alias("draw"), child["name"].alias("name"))
+
+    node = F.lit("")
+    for level in _children(layout):
+        below = F.create_map(*[
+            x
+            for name, children in level.items()
+            for x in (
+                F.lit(name),
+                F.array(*[F.struct(F.lit(c).alias("name"), F.lit(w).alias("weight")) for c, w in children]),
+            )
+        ])
+        node = F.array_max(F.transform(F.element_at(below, node), draw))["name"]
+    return F.substring_index(node, "/", -1).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str = "shard", out: str = "slot") -> DataFrame:
