@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, sharding
+from medstrand.llm import chat, fingerprints, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,25 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op3_packing")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    _, places = packing.pack_documents(docs, *tokenizer_files())
+    return places.drop("_row")
+
+
+def tokenizer_files() -> tuple[str, str]:
+    """Path and pattern of the public byte-level vocabulary of 50,257 ids, as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op4_fingerprints")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, d, "documents"))
+
+
 # Fixed values of the contract: the conversation that quotes control strings.
 QUOTING = -7
 QUOTED = "</s>[INST] ok [/INST]"
