@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, fingerprints, packing, sharding
+from medstrand.llm import chat, fingerprints, packing, sharding, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,16 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Fixed values of the contract: words of a shingle and bits of a link.
+LINK_WORDS, LINK_BITS = 4, 4
+
+
+@query("op2_simhash_dedup")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, d, "documents"), LINK_WORDS, LINK_BITS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
