@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, decontaminate, fingerprints, packing, sharding, simhash_dedup
+from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, sharding, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,12 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, d, "documents"))
 
 
+@query("op5_extraction")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    found = extraction.extract(table(spark, d, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # Fixed values of the contract: the conversation that quotes control strings.
 QUOTING = -7
 QUOTED = "</s>[INST] ok [/INST]"
