@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, sharding, simhash_dedup
+from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, quality, sharding, simhash_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,34 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+# Fixed values of the contract: the part of the labels kept back and the bounds of a positive.
+HELD = 2
+TOXIC_FROM, GOOD_FROM = 0.3, 0.7
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels"), held=HELD)
+    return _judged(toxicity.score(docs, model), TOXIC_FROM)
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    ensemble = quality.fit(docs, table(spark, d, "labels"), held=HELD)
+    return _judged(quality.score(docs, ensemble), GOOD_FROM)
+
+
+def _judged(scored: DataFrame, bound: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (toxicity.part(F.col("doc_id")) == HELD).alias("held_out"),
+        "score",
+        (F.col("score") >= bound).cast("int").alias("predicted"),
+    )
+
+
 # Fixed values of the contract: the conversation that quotes control strings.
 QUOTING = -7
 QUOTED = "</s>[INST] ok [/INST]"
