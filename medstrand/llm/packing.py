@@ -272,8 +272,9 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = placed.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_first"))
     whole = placed.filter("_size = length")
     part = F.expr("substring(ids, cast(4 * _cut as int) + 1, cast(4 * _size as int))")
+    # Stored first: then the join knows how few they are.
     cut = (
-        placed.filter("_size < length")
+        materialise(placed.filter("_size < length"), "cuts")
         .join(tokens.select("_row", "start", "ids"), ["_row", "start"])
         .withColumn("ids_crc32", F.crc32(part))
     )
