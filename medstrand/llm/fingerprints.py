@@ -28,7 +28,7 @@ from medstrand.llm import text as tx
 
 BITS = 128
 TERM_WORDS = 3
-# Groups of neighbouring keys that one task walks in order.
+# Ranges of neighbouring keys that a task walks in order, at least; twice the shuffle partitions if those are more.
 RANGES = 256
 
 
@@ -106,11 +106,12 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Adds ``_range`` and ``_copy``. The order is descending by ``key`` (nulls last, equal keys by their
     text); after the last row comes the first. Range bounds come from the keys alone; only the first
-    row of each range, RANGES rows at most, is sent twice.
+    row of each range is sent twice.
     """
     n = docs.select(F.count(key)).first()[0]
     if n:
-        steps = [i / RANGES for i in range(1, RANGES)]
+        ranges = max(RANGES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        steps = [i / ranges for i in range(1, ranges)]
         found = docs.select(F.percentile_approx(key, steps, 10_000)).first()[0]
         bounds = sorted(set(found), reverse=True)
     else:
@@ -119,7 +120,7 @@ def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     place = F.size(F.filter(F.lit(bounds), lambda b: b >= F.col(key))) if bounds else F.lit(0)
     ranged = docs.withColumn("_range", F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(place))
     top = ranged.groupBy("_range").agg(F.max(key).alias("_top"))
-    tops = sorted(top.collect())  # at most RANGES + 1 rows
+    tops = sorted(top.collect())  # one row a range
     if not tops:
         return ranged.withColumn("_copy", F.lit(False))
     before = {tops[i]["_range"]: tops[i - 1]["_range"] for i in range(len(tops))}

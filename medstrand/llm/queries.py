@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, quality, sharding, simhash_dedup, toxicity
+from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds, and the documents that do."""
+    return substring_dedup.passages(table(spark, d, "documents")).drop("_row")
+
+
 SHARDS = 40
 
 
