@@ -244,7 +244,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, share: fl
     marked = docs.withColumn("__own", own)
     narrow = marked.select(F.xxhash64(F.col(key), F.col("__own")).alias("doc_id"), "text")
     bad = hits(narrow, items, size).filter(F.col("n_hit") > F.lit(share) * F.col("n_words"))
-    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
+    # Stored: its size then tells the planner whether it can be broadcast.
+    bad = materialise(bad.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     here = F.xxhash64(F.col(key), F.col("__own")) == F.col("__bad")
     return marked.join(bad, here, "left_anti").drop("__own")
 
