@@ -1,17 +1,16 @@
 """Toxicity by gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-1. Lexicon. From labelled texts, at most LEXICON_TEXTS of each class and equal texts once, the log
+1. Lexicon. From labelled texts, at most LEXICON_TEXTS of each class and half, and equal texts once, the log
    odds of every word and of every beginning of a word of 3 to 8 letters. The LEXICON_TERMS
    strongest stay; a text's lexicon features are densities of words by the log odds they carry.
 2. Features. Lexicon densities, nearness of lexicon words to second-person words, rates of capitals
    and punctuation, of masked and repeated letters, and lexicon words found only after digits and
    signs are read as letters. No label, language, source or id is among them.
-3. Boosted trees on labelled rows that gave the lexicon nothing, then isotonic regression of the
-   label on the trees' probability. Steps of equal calibrated value keep the trees' order by a
-   hundredth of their probability.
+3. Boosted trees, then isotonic regression of the label on the trees' probability. Steps of equal
+   calibrated value keep the trees' order by a hundredth of their probability. Trees see the rows
+   of each half of the labels through the other half's lexicon, so no row through its own.
 
-``part`` splits the rows for learning: rows of ``held`` are never learned from, those of ``words``
-give the lexicon and the others the trees.
+``part`` splits the rows for learning: rows of ``held`` are never learned from.
 
 Nulls: a null text is empty and has all features 0; a null label or id is not learned from. Repeated
 rows are scored each. With labels of one class only, or none, every score is that class's share. An
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from medstrand.sources.sinks import materialise
 
-# Bounds of the sample the lexicon is learned from, and of the lexicon.
+# Bounds of each half's sample for the lexicon, for a class, and of the lexicon.
 LEXICON_TEXTS = 4_000
 LEXICON_TERMS = 3_000
 LEAST_TEXTS = 3
@@ -223,17 +222,18 @@ def _sample(labelled: DataFrame, bound: int) -> DataFrame:
     return labelled.filter(dice < share).dropDuplicates(["text", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, words: Sequence[int] = (0, 1), key: str = "doc_id", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "doc_id", label: str = "toxic") -> Model:
     """Learns from the labelled rows whose part is not ``held``."""
     known = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["_id"])
-    known = known.withColumn("_part", part(F.col("_id")))
     if held is not None:
-        known = known.filter(F.col("_part") != held)
+        known = known.filter(part(F.col("_id")) != held)
+    known = known.withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)))
     labelled = docs.select(F.col(key).alias("_id"), "text").join(known, "_id")
-    for_words = labelled.filter(F.col("_part").isin(list(words)))
-    odds = lexicon(_sample(for_words, LEXICON_TEXTS))
-    for_trees = labelled.filter(~F.col("_part").isin(list(words)))
-    rows = materialise(features(for_trees, odds, ["_id", "label"]), "toxic-features")
+    sample = materialise(_sample(labelled, 2 * LEXICON_TEXTS), "toxic-sample")
+    halves = [lexicon(sample.filter(F.col("_half") == half)) for half in (0, 1)]
+    odds = lexicon(sample)
+    seen = [features(labelled.filter(F.col("_half") == half), halves[1 - half], ["_id", "label"]) for half in (0, 1)]
+    rows = materialise(seen[0].unionByName(seen[1]), "toxic-features")
     sides = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(sides.values())
     if len(sides) < 2:
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, words: Sequenc
     vectors = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("_vector"))
     trees = GBTClassifier(
         labelCol="label", featuresCol="_vector", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7,
-        minInstancesPerNode=max(2, min(20, total // 200)), cacheNodeIds=False,
+        minInstancesPerNode=max(4, min(20, total // 100)),
     ).fit(vectors)
     raw = trees.transform(vectors).select("label", vector_to_array("probability")[1].alias("_raw"))
     even = IsotonicRegression(labelCol="label", featuresCol="_raw", predictionCol="_even").fit(raw)
