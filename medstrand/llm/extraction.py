@@ -50,7 +50,7 @@ _BREAKS = _CONTAINERS | {
 _MARK = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"|<[!?/][^>]*>|<[a-zA-Z/][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)

@@ -19,7 +19,8 @@ bands in 9,998 of 10,000 cases. The links are then checked against the shingles
 The trees of all shards hold all fingerprints, which no broadcast may; each shard's tree is built
 in the task its members are shuffled to.
 
-Nulls: a null text is empty, and has the fingerprint zero. Equal texts and repeated rows share a
+Nulls: a null text is empty, and has the fingerprint zero; to ``deduplicate``, texts without words
+are alike only where they are equal. Equal texts and repeated rows share a
 fingerprint and so a component. A component whose rows all lack an id has a null id. An empty
 table gives no rows. Other columns are left out by ``near_duplicates`` and kept by ``deduplicate``.
 """

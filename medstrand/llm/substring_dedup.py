@@ -405,10 +405,11 @@ def cut(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "tex
 
     A passage is cut from its first word to the word after it, or to the end of the text.
     """
-    spans = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__spans"))
+    gathered = F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__spans")
+    spans = found.groupBy(F.col("_row").alias("__cut")).agg(gathered)
     columns = docs.columns
     marked = docs.withColumn("__row", document(key, text))
-    joined = marked.join(spans, F.col("__row") == F.col("_row"), "left").drop("_row")
+    joined = marked.join(spans, F.col("__row") == F.col("__cut"), "left")
     whole = joined.filter(F.col("__spans").isNull()).select(*columns)
     parted = joined.filter(F.col("__spans").isNotNull()).select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__own"), F.col(text).alias("__text"), "__spans"
