@@ -7,7 +7,7 @@ from checks.registry import query, time_text
 from medstrand.functions import codes
 from medstrand.operators import labs
 from medstrand.operators import timeline
-from medstrand.sources.sinks import save_sized
+from medstrand.sources.sinks import materialise
 
 LIMITS = (st.MIN_COUNT, st.MIN_VALUES)
 
@@ -155,15 +155,14 @@ def percentile_group(spark, d):
 
 @query("lab_tokens", "SELECT person_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, token AS general_event_token FROM labtok")
 def lab_tokens(spark, d):
-    tokens, _, _ = labs.fit_apply(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY)
+    tokens, _, _ = labs.fit_apply(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
     return tokens.withColumn("date", time_text("date"))
 
 
 @query("lab_tokens_apply", "SELECT person_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, token AS general_event_token FROM labtok")
 def lab_tokens_apply(spark, d):
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
-    sizes = conversions.count(), table.count()
-    return labs.apply(st.lab(spark, d), conversions, table, *LIMITS, rows=sizes).withColumn("date", time_text("date"))
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
+    return labs.apply(st.lab(spark, d), conversions, table, *LIMITS).withColumn("date", time_text("date"))
 
 
 @query(
@@ -187,7 +186,7 @@ def value_sequences(spark, d):
     marked = lab.select(
         "person_id", "date", F.when(F.col("lx_lab_code_type") == "TNX", short).otherwise(token).alias("general_event_token")
     )
-    return timeline.build_sequences(st.coded(spark, d, "diagnosis").union(marked), st.patient(spark, d)).drop("sequence_part")
+    return timeline.build_sequences(st.coded(spark, d, "diagnosis").union(marked), st.patient(spark, d))
 
 
 TOKEN_PCT_SQL = """WITH vev AS (
@@ -215,6 +214,6 @@ SELECT person_id, string_agg(day || '@' || new, '|' ORDER BY date, day, token) A
 def token_lab_percentiles(spark, d):
     from checks.registry import seq_text
 
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
     rows = labs.token_percentiles(value_sequences(spark, d), ["person_id"], conversions, table)
     return rows.select("person_id", seq_text().alias("seq"))

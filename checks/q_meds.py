@@ -69,7 +69,7 @@ SAMPLE_ITEMS = measured(q.samples("SELECT * FROM lseqrows"), SAMPLE_KEYS)
 
 @query("meds_label_samples", nested_sql(trimmed(SAMPLE_ITEMS, SAMPLE_KEYS, 12), SAMPLE_KEYS))
 def meds_label_samples(spark, d):
-    out = plans.meds_samples(st.labelled_sequences(spark, d), max_length=12)
+    out = plans.meds_samples(st.labelled_events(spark, d), 12)
     return nested_text(out, "person_id", big("label_count").alias("label_count"), big("label").alias("label"))
 
 
@@ -139,8 +139,8 @@ def masked_accuracy(spark, d):
 @query(
     "best_run",
     " UNION ALL ".join(
-        f"SELECT {i} AS run, avg((label = list_position(embedding[{10 * i + 1}:{10 * i + 10}], list_max(embedding[{10 * i + 1}:{10 * i + 10}])) - 1)::INT) AS accuracy FROM embeddings"
-        for i in range(6)
+        f"SELECT {i} AS run, avg((label = list_position(embedding[{8 * i + 1}:{8 * i + 8}], list_max(embedding[{8 * i + 1}:{8 * i + 8}])) - 1)::INT) AS accuracy FROM embeddings"
+        for i in range(8)
     ).join(["WITH runs AS (", ") SELECT 'run_' || run AS config, round(accuracy, 9) AS accuracy FROM runs ORDER BY accuracy DESC, run LIMIT 1"]),
 )
 def best_run(spark, d):
@@ -150,9 +150,9 @@ def best_run(spark, d):
         [
             rows.select(
                 F.lit(i).alias("run"),
-                (F.col("label") == sc.argmax(F.slice("embedding", 10 * i + 1, 10))).cast("int").alias("hit"),
+                (F.col("label") == sc.argmax(F.slice("embedding", 8 * i + 1, 8))).cast("int").alias("hit"),
             )
-            for i in range(6)
+            for i in range(8)
         ],
     )
     table = runs.groupBy("run").agg(F.avg("hit").alias("accuracy"))

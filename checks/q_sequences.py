@@ -9,7 +9,7 @@ from checks.q_labs import LIMITS
 from checks.registry import CTES, big, list_text, query, seq_text
 from medstrand.operators import labs, sequence, timeline, vocab
 from medstrand.plans import rows as plans
-from medstrand.sources.sinks import save_sized
+from medstrand.sources.sinks import materialise
 
 L, P, KEYS = 20, 1825, "person_id, label_count"
 SPECIAL = "(0, '[MASK]'), (1, '[CLS]'), (2, '[UNK]')"
@@ -24,7 +24,6 @@ def vocabulary(spark, d, sequences=st.sequences, split=False):
     return vocab.vocabulary(counts, VOCAB_SIZE)
 
 
-ROWS = VOCAB_SIZE + 3  # the size limit and the special tokens
 
 
 def shown(df, *keys):
@@ -61,9 +60,9 @@ def random_window(spark, d):
     return shown(sequence.random_window(st.sequences(spark, d), L, P, "rw"), "person_id")
 
 
-@query("correct_age", q.text(q.age("SELECT * FROM seqrows WHERE day = 0 OR day > 300")))
+@query("correct_age", q.text(q.age("SELECT * FROM seqrows WHERE day <> 1")))
 def correct_age(spark, d):
-    later = st.sequences(spark, d).withColumn("seq", F.filter("seq", lambda x: (x["day"] == 0) | (x["day"] > 300)))
+    later = st.sequences(spark, d).withColumn("seq", F.filter("seq", lambda x: x["day"] != 1))
     return shown(sequence.correct_age(later), "person_id")
 
 
@@ -143,7 +142,7 @@ def percentile_type_ids(spark, d):
 def encode_sequences(spark, d):
     rows = st.banded_sequences(spark, d)
     words = vocabulary(spark, d, st.banded_sequences, split=True)
-    return encoded_shown(sequence.encode(rows, words, 32, percentile_step=10, vocabulary_rows=ROWS), "person_id")
+    return encoded_shown(sequence.encode(rows, words, 32, percentile_step=10), "person_id")
 
 
 PRE = q.age(q.trim_position(q.trim_length(q.random_window(FIRST, L, P, "pre"), L), P))
@@ -151,7 +150,7 @@ PRE = q.age(q.trim_position(q.trim_length(q.random_window(FIRST, L, P, "pre"), L
 
 @query("pretrain_rows", q.encoded_text(q.encoded(PRE, "voc", L)))
 def pretrain_rows(spark, d):
-    out = plans.pretrain_rows(st.sequences(spark, d), vocabulary(spark, d), L, P, window_seed="pre", vocabulary_rows=ROWS)
+    out = plans.pretrain_rows(st.aligned(spark, d, st.tokens(spark, d)), vocabulary(spark, d), L, P, window_seed="pre")
     return encoded_shown(out, "person_id")
 
 
@@ -160,8 +159,8 @@ def pretrain_rows(spark, d):
     f"""SELECT e.*, (person_id % 3)::BIGINT AS labels FROM ({q.encoded_text(q.encoded(FIRST, "voc", L))}) e""",
 )
 def labelled_rows(spark, d):
-    rows = st.sequences(spark, d).withColumn("label", F.col("person_id") % 3)
-    out = plans.labelled_rows(rows, vocabulary(spark, d), L)
+    people = st.patient(spark, d).select("person_id", (F.col("person_id") % 3).alias("label"))
+    out = plans.labelled_rows(st.aligned(spark, d, st.tokens(spark, d)), people, vocabulary(spark, d), L)
     return encoded_shown(out, "person_id", big("labels").alias("labels"))
 
 
@@ -174,17 +173,17 @@ def multilabel_sql(src, voc, step=None):
 
 @query("multilabel_rows", multilabel_sql("SELECT * FROM lseqrows", "voc"))
 def multilabel_rows(spark, d):
-    out = plans.multilabel_rows(st.labelled_sequences(spark, d), vocabulary(spark, d), L, P, vocabulary_rows=ROWS)
+    out = plans.multilabel_rows(st.labelled_events(spark, d), vocabulary(spark, d), L, P)
     return encoded_shown(out, "person_id", big("label_count").alias("label_count"), big("labels").alias("labels"))
 
 
-def value_label_sequences(spark, d):
+def value_label_events(spark, d):
     """Diagnosis, label and lab tokens; lab tokens carry value and unit."""
-    lab = st.lab(spark, d).filter("lx_lab_code_type = 'LOINC'")
+    lab = st.lab(spark, d)
     token = F.concat_ws(":", F.lit("LOINC"), "lx_lab_code", "lx_result_val", "lx_result_unit")
     marked = lab.select("person_id", "date", token.alias("general_event_token"))
     rows = st.coded(spark, d, "diagnosis").union(marked).union(st.label_marks(spark, d))
-    return timeline.build_sequences(rows, st.patient(spark, d)).drop("sequence_part")
+    return st.aligned(spark, d, rows)
 
 
 CTES["vlev"] = """
@@ -194,7 +193,7 @@ SELECT l.person_id, l.date, 'LOINC:' || l.lx_lab_code || ':' || l.lx_result_val
   CASE WHEN b.b IS NOT NULL AND v IS NOT NULL THEN
     'LOINC:' || l.lx_lab_code || ':' || (len(list_filter(b.b, lambda x: x <= v)) * 10) || '-' || (len(list_filter(b.b, lambda x: x <= v)) * 10 + 10) END
 FROM (SELECT lab.*, TRY_CAST(lab.lx_result_val AS DOUBLE) * round(c.conversion_factor, 9) AS v FROM lab LEFT JOIN conversion c
-      ON c.lx_lab_code = lab.lx_lab_code AND c.lx_result_other_unit = lab.lx_result_unit WHERE lab.lx_lab_code_type = 'LOINC') l
+      ON c.lx_lab_code = lab.lx_lab_code AND c.lx_result_other_unit = lab.lx_result_unit) l
 LEFT JOIN bounds b ON b.lx_lab_code = l.lx_lab_code"""
 CTES["vlrows"] = """
 SELECT person_id, date, day, new AS token, row_number() OVER (PARTITION BY person_id ORDER BY date NULLS FIRST, day, token) - 1 AS pos FROM (
@@ -209,9 +208,9 @@ SELECT person_id, date, day, new AS token, row_number() OVER (PARTITION BY perso
 
 @query("multilabel_lab_rows", multilabel_sql("SELECT * FROM vlrows", "bvoc", 10))
 def multilabel_lab_rows(spark, d):
-    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=save_sized)
+    conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
     words = vocabulary(spark, d, st.banded_sequences, split=True)
-    out = plans.multilabel_lab_rows(value_label_sequences(spark, d), words, conversions, table, L, P, vocabulary_rows=ROWS)
+    out = plans.multilabel_lab_rows(value_label_events(spark, d), words, conversions, table, L, P)
     return encoded_shown(out, "person_id", big("label_count").alias("label_count"), big("labels").alias("labels"))
 
 

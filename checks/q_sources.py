@@ -22,23 +22,23 @@ def scan_parquet(spark, d):
 
 @query(
     "csv_roundtrip",
-    """SELECT patient_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, code, value, unit FROM raw WHERE code LIKE 'ECONOMY/%'""",
+    """SELECT patient_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, code, value, unit FROM raw""",
 )
 def csv_roundtrip(spark, d):
     path = sinks.scratch_path(spark, "raw.csv")
     st.raw_events(spark, d).write.option("header", True).csv(path)
     rows = readers.read_table(spark, path, "patient_id string, start string, end string, code string, value string, unit string")
-    return rows.filter(F.col("code").startswith("ECONOMY/")).select("patient_id", "start", "code", "value", "unit")
+    return rows.select("patient_id", "start", "code", "value", "unit")
 
 
 @query(
     "parquet_roundtrip",
-    "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey < 10",
+    "SELECT c_custkey, c_name, c_mktsegment FROM customer",
 )
 def parquet_roundtrip(spark, d):
     path = sinks.scratch_path(spark, "customer")
     sinks.write_table(st.table(spark, d, "customer"), path, overwrite=False)
-    return readers.read_table(spark, path).filter("c_nationkey < 10").select("c_custkey", "c_name", "c_mktsegment")
+    return readers.read_table(spark, path).select("c_custkey", "c_name", "c_mktsegment")
 
 
 @query(
@@ -56,20 +56,49 @@ def rrf_scan(spark, d):
 
 @query(
     "rrf_columns",
-    """SELECT s_name AS COL, 'column of ' || s_nationkey AS DES FROM supplier
-       WHERE s_nationkey = 3 AND s_suppkey % 10 < 8""",
+    """SELECT s_nationkey::BIGINT % 3 AS nation, s_name AS "COL", 'column of ' || (s_nationkey % 3) AS "DES" FROM supplier""",
 )
 def rrf_columns(spark, d):
+    """Column lists of three files, read from the release's own file list, and what it says of each column."""
     s = st.table(spark, d, "supplier")
-    described = s.select(
-        F.col("s_name").alias("COL"),
-        F.concat(F.lit("column of "), F.col("s_nationkey").cast("string")).alias("DES"),
-        F.col("s_nationkey").cast("string").alias("FIL"),
-        (F.col("s_suppkey") % 10).alias("d"),
-    )
-    # The last digit of a supplier's name is its key's last digit.
-    wanted = described.filter(F.substring("COL", -1, 1).isin(*[str(i) for i in range(8)])).drop("d")
-    return wanted.filter(F.col("FIL") == "3").select("COL", "DES")
+    nation = (F.col("s_nationkey") % 3).cast("string")
+    files = s.groupBy(nation.alias("FIL")).agg(F.array_join(F.sort_array(F.collect_list("s_name")), ",").alias("FMT"))
+    described = s.select(F.col("s_name").alias("COL"), F.concat(F.lit("column of "), nation).alias("DES"), nation.alias("FIL"))
+    parts = [
+        readers.column_descriptions(described, str(n), readers.rrf_columns(files, str(n))).select(
+            F.lit(n).cast("bigint").alias("nation"), "COL", "DES"
+        )
+        for n in range(3)
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    "catalog",
+    """SELECT 'nation' AS name, n_nationkey::BIGINT AS key FROM nation UNION ALL SELECT 'customer', c_custkey FROM customer""",
+)
+def catalog(spark, d):
+    """Tables of one base directory, one Parquet, one CSV with its schema, and one that is absent."""
+    base = sinks.scratch_path(spark, "catalog")
+    sinks.write_table(st.table(spark, d, "nation").select("n_nationkey"), f"{base}/nation.parquet")
+    st.table(spark, d, "customer").select("c_custkey").write.option("header", True).csv(f"{base}/customer.csv")
+    tails = {"nation": "/nation.parquet", "customer": "customer.csv", "region": None}
+    found = readers.read_catalog(spark, base + "/", tails, {"customer": "c_custkey bigint"})
+    assert found.pop("region") is None
+    parts = [df.select(F.lit(name).alias("name"), F.col(df.columns[0]).cast("bigint").alias("key")) for name, df in found.items()]
+    return parts[0].union(parts[1])
+
+
+@query(
+    "report_sink",
+    """SELECT l_returnflag, count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1""",
+)
+def report_sink(spark, d):
+    path = sinks.scratch_path(spark, "report")
+    lines = st.table(spark, d, "lineitem")
+    report = lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+    sinks.write_report(report, path)
+    return readers.read_csv(spark, path, "l_returnflag string, n bigint, quantity bigint")
 
 
 @query(
@@ -104,11 +133,11 @@ def split_sink(spark, d):
     """SELECT 'task_' || substr(o_orderpriority, 1, 1) AS task, CAST(o_custkey AS VARCHAR) AS patient_id,
          CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END AS value,
          strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS prediction_time
-       FROM orders WHERE o_orderkey % 5 = 0 AND substr(o_orderpriority, 1, 1) <> '5'""",
+       FROM orders WHERE substr(o_orderpriority, 1, 1) <> '5'""",
 )
 def multi_task_labels(spark, d):
     base = sinks.scratch_path(spark, "tasks")
-    rows = st.table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(
+    rows = st.table(spark, d, "orders").select(
         F.substring("o_orderpriority", 1, 1).alias("t"),
         F.col("o_custkey").cast("string").alias("patient_id"),
         F.when(F.col("o_orderstatus") == "F", "True").otherwise("False").alias("value"),
@@ -120,7 +149,7 @@ def multi_task_labels(spark, d):
         one = rows.filter(F.col("t") == digit).drop("t")
         one.write.option("header", True).csv(f"{base}/{task}/labeled_patients.csv")
     ddl = "patient_id string, value string, label_type string, prediction_time string"
-    return readers.read_label_tasks(spark, base, ddl).drop("label_type")
+    return readers.read_label_tasks(spark, base, ddl, ("chexpert",)).drop("label_type")
 
 
 @query(

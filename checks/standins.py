@@ -168,7 +168,16 @@ def tokens(spark, d):
 
 
 def sequences(spark, d):
-    return timeline.build_sequences(tokens(spark, d), patient(spark, d)).drop("sequence_part")
+    return timeline.build_sequences(tokens(spark, d), patient(spark, d))
+
+
+def aligned(spark, d, rows):
+    """Long form of the same sequences: aligned rows with their day-0 rows."""
+    return timeline.add_baseline(timeline.align_to_first_date(rows), patient(spark, d))
+
+
+def labelled_events(spark, d):
+    return aligned(spark, d, tokens(spark, d).union(label_marks(spark, d)))
 
 
 CTES["dx_tok"] = "SELECT person_id, date, dx_diagnosis_code_type || ':' || dx_diagnosis_code AS token FROM diagnosis"
@@ -210,7 +219,7 @@ def banded_sequences(spark, d):
         band.alias("general_event_token"),
     )
     rows = coded(spark, d, "diagnosis").union(labs)
-    return timeline.build_sequences(rows, patient(spark, d)).drop("sequence_part")
+    return timeline.build_sequences(rows, patient(spark, d))
 
 
 CTES["bev"] = """
@@ -228,7 +237,7 @@ FROM (SELECT * FROM baligned UNION ALL SELECT * FROM bbase)"""
 
 
 def prediction_labels(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(
+    return table(spark, d, "orders").select(
         F.col("o_custkey").alias("patient_id"),
         F.expr("case when o_orderstatus = 'F' then 'True' else 'False' end").alias("value"),
         F.lit("boolean").alias("label_type"),
@@ -238,7 +247,7 @@ def prediction_labels(spark, d):
 
 CTES["plabels"] = """
 SELECT o_custkey AS patient_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS value, o_orderdate AS prediction_time
-FROM orders WHERE o_orderkey % 5 = 0"""
+FROM orders"""
 
 
 def label_marks(spark, d):
@@ -252,7 +261,7 @@ def label_marks(spark, d):
 def labelled_sequences(spark, d):
     """Diagnosis and procedure sequences with their labels placed inside."""
     rows = tokens(spark, d).union(label_marks(spark, d))
-    return timeline.build_sequences(rows, patient(spark, d)).drop("sequence_part")
+    return timeline.build_sequences(rows, patient(spark, d))
 
 
 CTES["lab_marks"] = "SELECT patient_id AS person_id, prediction_time AS date, 'LABEL:' || value AS token FROM plabels"
@@ -495,14 +504,14 @@ CTES["wordcounts"] = "SELECT token, count(*) AS n FROM words GROUP BY 1"
 
 
 def predictions(spark, d):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("person_id"), F.col("label").cast("int").alias("label"), scores.alias("scores")
     )
 
 
 CTES["preds"] = """
-SELECT vec_id AS person_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS scores FROM embeddings"""
+SELECT vec_id AS person_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS scores FROM embeddings"""
 CTES["scored"] = """
 SELECT person_id, label, list_position(scores, list_max(scores)) - 1 AS prediction,
   list_transform(scores, lambda x: exp(x - list_max(scores)) / list_sum(list_transform(scores, lambda y: exp(y - list_max(scores))))) AS prob

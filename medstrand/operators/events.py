@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
-from medstrand.operators.scale import bounded_broadcast
 from medstrand.schema import CODE_COLUMNS
 
 Tables = Mapping[str, DataFrame | None]
@@ -91,7 +90,7 @@ def mapping_table(spark, mapping: Mapping[str, str], column: str, new_column: st
 def apply_mapping(df: DataFrame, mapping: Mapping[str, str], column: str, new_column: str) -> DataFrame:
     """Add ``new_column`` = mapping of ``column``, null where the mapping has no such key."""
     table = mapping_table(df.sparkSession, mapping, column, new_column)
-    return df.join(bounded_broadcast(table, len(mapping)), on=column, how="left")
+    return df.join(table, on=column, how="left")
 
 
 def value_differences(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

@@ -24,7 +24,7 @@ def derive_labels(cohort: DataFrame, config: Mapping) -> DataFrame:
 
 
 def join_labels(sequences: DataFrame, cohort: DataFrame, config: Mapping) -> DataFrame:
-    """Sequences with their person's label; a person labelled twice fails the job.
+    """Sequences, one a person, with the person's label; a person labelled twice fails the job.
 
     The check travels with the data: the aggregate that makes labels unique raises when it meets
     a second row, so there is no separate counting job.
@@ -37,7 +37,7 @@ def join_labels(sequences: DataFrame, cohort: DataFrame, config: Mapping) -> Dat
         .agg(F.count("*").alias("_n"), F.first("label").alias("_label"))
         .select(key, F.when(F.col("_n") == 1, F.col("_label")).otherwise(twice).alias("label"))
     )
-    return sequences.join(labels, key).distinct()
+    return sequences.dropDuplicates([key]).join(labels, key)
 
 
 def cast_labels(labels: DataFrame) -> DataFrame:

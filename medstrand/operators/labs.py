@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
-from medstrand.operators.scale import lookup_join, salted_join
+from medstrand.operators.scale import salted_join
 from medstrand.schema import sequence_element
 
 # Decimal prefixes of unit symbols.
@@ -65,6 +65,15 @@ PLAIN_UNITS = {
     "%": (0.01, (0, 0, 0, 0, 0, 0, 0)),
     "percent": (0.01, (0, 0, 0, 0, 0, 0, 0)),
 }
+# Long names of prefixes and of prefixable units; a plural ends in s.
+PREFIX_NAMES = {
+    "": "", "kilo": "k", "deci": "d", "centi": "c", "milli": "m", "micro": "u", "nano": "n", "pico": "p", "femto": "f",
+}
+UNIT_NAMES = {
+    "gram": "g", "liter": "L", "litre": "L", "mole": "mol", "meter": "m", "metre": "m", "second": "s", "unit": "U",
+    "joule": "J", "pascal": "Pa", "katal": "kat", "equivalent": "eq",
+}
+PLURALS = ("minute", "hour", "day", "week", "year")
 DIMENSIONS = ("kg", "m", "s", "mol", "K", "A", "cd")
 # One factor of a unit: operator, symbol or number, exponent; and a text made of such factors only.
 _TERM = r"([*/ ]?)([A-Za-z%µμ]+|[0-9]+\.?[0-9]*)(?:\*\*(-?[0-9]+))?"
@@ -78,6 +87,10 @@ def unit_table(spark: SparkSession) -> DataFrame:
         for symbol, (factor, dims) in PREFIXED_UNITS.items()
         for prefix, scale in PREFIXES.items()
     }
+    for long, short in PREFIX_NAMES.items():
+        for name, symbol in UNIT_NAMES.items():
+            rows[long + name] = rows[long + name + "s"] = rows[short + symbol]
+    rows.update({name + "s": PLAIN_UNITS[name] for name in PLURALS})
     rows.update(PLAIN_UNITS)  # an exact name wins over a prefixed reading, e.g. ``min``
     ddl = "symbol string, factor double, " + ", ".join(f"`{d}` int" for d in DIMENSIONS)
     return spark.createDataFrame([(s, f, *d) for s, (f, d) in rows.items()], ddl)
@@ -89,7 +102,10 @@ def unit_factors(units: DataFrame, column: str) -> DataFrame:
     Works on distinct texts: the terms of a product or quotient become rows, meet the unit table,
     and are multiplied back together.
     """
-    text = codes.clean_unit(F.col(column))
+    text = F.regexp_replace(F.col(column), r"\^", "**")
+    text = F.regexp_replace(text, r"\s*(\*\*|\*|/)\s*", "$1")
+    text = F.regexp_replace(text, r"\(([A-Za-z%µμ]+)\)", "$1")
+    text = codes.clean_unit(text)
     text = F.regexp_replace(text, r"\b10\*(\d+)", "10**$1")
     distinct = units.select(column).filter(F.col(column).isNotNull()).distinct()
     read = distinct.withColumn("_text", F.trim(text)).withColumn(
@@ -207,20 +223,13 @@ def clean(labs: DataFrame) -> DataFrame:
     return numeric_results(filter_codes(labs))
 
 
-def convert(labs: DataFrame, conversions: DataFrame, rows: int | None = None) -> DataFrame:
-    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out.
-
-    ``rows`` is the size of ``conversions`` where the caller has it.
-    """
+def convert(labs: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out (``pass_rates`` counts them)."""
     table = conversions.filter(F.col("conversion_factor").isNotNull()).select(
         "lx_lab_code", "lx_result_other_unit", "conversion_factor", "lx_result_unit"
     )
-    joined = lookup_join(
-        labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit"),
-        table,
-        ["lx_lab_code", "lx_result_other_unit"],
-        rows=rows,
-    )
+    named = labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit")
+    joined = salted_join(named, table, ["lx_lab_code", "lx_result_other_unit"])
     scaled = joined.withColumn(
         "lx_result_val_converted", F.col("lx_result_val") * F.col("conversion_factor")
     )
@@ -266,14 +275,12 @@ def percentiles(converted: DataFrame, step: int = 10, accuracy: int = 10_000) ->
 
 
 def percentile_groups(
-    converted: DataFrame, table: DataFrame, step: int = 10, rows: int | None = None
+    converted: DataFrame, table: DataFrame, step: int = 10
 ) -> DataFrame:
     """Add ``percentile_group`` text; codes without boundaries drop out."""
     if 100 // step < 3:
         raise ValueError("need at least three percentile groups")
-    joined = lookup_join(
-        converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"], rows=rows
-    )
+    joined = salted_join(converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"])
     group = codes.percentile_group(
         F.col("lx_result_val_converted"), F.col("percentile_boundaries"), step
     )
@@ -285,21 +292,21 @@ def lab_tokens(grouped: DataFrame) -> DataFrame:
     return grouped.select(token.alias("general_event_token"), "date", "person_id")
 
 
-Saved = tuple[DataFrame, int | None]
+def _lazy(table: DataFrame, name: str) -> DataFrame:
+    return table
 
 
-def _lazy(table: DataFrame, name: str) -> Saved:
-    return table, None
+Save = Callable[[DataFrame, str], DataFrame]
 
 
-def _fit(labs, min_count, min_values, step, accuracy, save) -> tuple[DataFrame, Saved, Saved]:
+def _fit(labs, min_count, min_values, step, accuracy, save: Save) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Converted labs, conversions and boundaries; the threshold test rides on the boundary table."""
     usable = clean(labs)
-    conversions, n_conversions = save(unit_conversions(usable), "conversions")
-    converted = convert(usable, conversions, n_conversions)
+    conversions = save(unit_conversions(usable), "conversions")
+    converted = save(convert(usable, conversions), "converted")
     frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
     bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
-    return converted, (conversions, n_conversions), save(bounds, "percentiles")
+    return converted, conversions, save(bounds, "percentiles")
 
 
 def fit(
@@ -308,35 +315,25 @@ def fit(
     min_values: int,
     step: int = 10,
     accuracy: int = 10_000,
-    save: Callable[[DataFrame, str], Saved] = _lazy,
+    save: Save = _lazy,
 ) -> tuple[DataFrame, DataFrame]:
     """Learn ``(conversions, percentiles)`` from raw labs.
 
-    ``save`` may store each small fitted table and return it with its row count: later steps then
-    read it instead of learning it again, and broadcast it when the count allows. By default
-    everything stays one lazy plan.
+    ``save`` may store the converted labs and the two fitted tables, which later steps then read
+    instead of making them again. By default everything stays one lazy plan.
     """
-    _, (conversions, _), (table, _) = _fit(labs, min_count, min_values, step, accuracy, save)
+    _, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save)
     return conversions, table
 
 
 def apply(
-    labs: DataFrame,
-    conversions: DataFrame,
-    table: DataFrame,
-    min_count: int,
-    min_values: int,
-    step: int = 10,
-    rows: tuple[int | None, int | None] = (None, None),
+    labs: DataFrame, conversions: DataFrame, table: DataFrame, min_count: int, min_values: int, step: int = 10
 ) -> DataFrame:
-    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs.
-
-    ``rows`` are the sizes of the two tables where the caller has them.
-    """
-    converted = convert(clean(labs), conversions, rows[0])
+    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs."""
+    converted = convert(clean(labs), conversions)
     codes_in = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
     usable = table.join(codes_in, "lx_lab_code", "left_semi")
-    return lab_tokens(percentile_groups(converted, usable, step, rows[1]))
+    return lab_tokens(percentile_groups(converted, usable, step))
 
 
 def fit_apply(
@@ -345,13 +342,11 @@ def fit_apply(
     min_values: int,
     step: int = 10,
     accuracy: int = 10_000,
-    save: Callable[[DataFrame, str], Saved] = _lazy,
+    save: Save = _lazy,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(tokens, conversions, percentiles)`` from raw labs, with ``save`` as in ``fit``."""
-    converted, (conversions, _), (table, n_table) = _fit(
-        labs, min_count, min_values, step, accuracy, save
-    )
-    return lab_tokens(percentile_groups(converted, table, step, n_table)), conversions, table
+    converted, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save)
+    return lab_tokens(percentile_groups(converted, table, step)), conversions, table
 
 
 def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFrame:
@@ -386,30 +381,20 @@ def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFra
     )
 
 
-def token_percentiles(
-    sequences: DataFrame,
-    keys: Sequence[str],
-    conversions: DataFrame,
-    table: DataFrame,
-    groups: int = 10,
-) -> DataFrame:
-    """Rewrite ``LOINC:code:value:unit`` elements of ``seq`` to ``LOINC:code:a-b``.
+def _rewrites(tokens: DataFrame, conversions: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """``_token`` and ``_new`` of the distinct lab tokens that can be read and converted.
 
-    Distinct lab tokens are translated once and joined back; malformed or unconvertible ones are dropped.
+    Boundaries fitted for another number of groups stop the job.
     """
     step = 100 // groups
-    keys = list(keys)
-    items = sequences.select(*keys, F.posexplode_outer("seq").alias("_pos", "_x"))
-    is_lab = F.col("_x.token").startswith("LOINC")
-    lab_tokens_seen = items.filter(is_lab).select(F.col("_x.token").alias("_token")).distinct()
     part = F.split("_token", ":")
     parsed = (
-        lab_tokens_seen.filter(F.size(part) == 4)
+        tokens.filter(F.size(part) == 4)
         .select(
             "_token",
-            part[1].alias("lx_lab_code"),
-            part[2].alias("_value"),
-            part[3].alias("_unit"),
+            F.get(part, F.lit(1)).alias("lx_lab_code"),
+            F.get(part, F.lit(2)).alias("_value"),
+            F.get(part, F.lit(3)).alias("_unit"),
         )
         .withColumn("_value", codes.plain_number(F.col("_value")))
         .filter(F.col("_value").isNotNull())
@@ -418,23 +403,46 @@ def token_percentiles(
     factors = conversion_factors(
         parsed.join(base, "lx_lab_code").select("_base", "_unit").distinct(), "_base", "_unit"
     )
-    rewritten = (
+    bounds = F.col("percentile_boundaries")
+    other = F.raise_error(F.concat(F.lit(f"not a table of {groups} groups: "), F.size(bounds).cast("string"), F.lit(" boundaries")))
+    group = F.when(
+        F.size(bounds) + 1 == groups, codes.percentile_group(F.col("_value") * F.col("conversion_factor"), bounds, step)
+    ).otherwise(other.cast("string"))
+    return (
         parsed.join(base, "lx_lab_code")
         .join(factors, ["_base", "_unit"])
         .filter(F.col("conversion_factor").isNotNull())
         .join(table.select("lx_lab_code", "percentile_boundaries"), "lx_lab_code")
-        .select(
-            "_token",
-            F.concat(
-                F.lit("LOINC:"),
-                "lx_lab_code",
-                F.lit(":"),
-                codes.percentile_group(
-                    F.col("_value") * F.col("conversion_factor"), F.col("percentile_boundaries"), step
-                ),
-            ).alias("_new"),
-        )
+        .select("_token", F.concat(F.lit("LOINC:"), "lx_lab_code", F.lit(":"), group).alias("_new"))
     )
+
+
+def event_percentiles(events: DataFrame, conversions: DataFrame, table: DataFrame, groups: int = 10) -> DataFrame:
+    """Long events with ``LOINC:code:value:unit`` tokens rewritten to ``LOINC:code:a-b``; those that cannot be drop."""
+    is_lab = F.col("general_event_token").startswith("LOINC")
+    seen = events.filter(is_lab).select(F.col("general_event_token").alias("_token")).distinct()
+    named = events.withColumn("_token", F.col("general_event_token"))
+    joined = salted_join(named, _rewrites(seen, conversions, table, groups), ["_token"], "left")
+    kept = joined.filter(F.col("_new").isNotNull() | ~is_lab | F.col("general_event_token").isNull())
+    return kept.withColumn("general_event_token", F.coalesce("_new", "general_event_token")).select(*events.columns)
+
+
+def token_percentiles(
+    sequences: DataFrame,
+    keys: Sequence[str],
+    conversions: DataFrame,
+    table: DataFrame,
+    groups: int = 10,
+) -> DataFrame:
+    """Rewrite ``LOINC:code:value:unit`` elements of ``seq`` to ``LOINC:code:a-b``.
+
+    Distinct lab tokens are translated once and joined back; malformed or unconvertible ones are dropped.
+    """
+    keys = list(keys)
+    items = sequences.select(*keys, F.posexplode_outer("seq").alias("_pos", "_x"))
+    is_lab = F.col("_x.token").startswith("LOINC")
+    seen = items.filter(is_lab).select(F.col("_x.token").alias("_token")).distinct()
+    rewritten = _rewrites(seen, conversions, table, groups)
     joined = salted_join(items.withColumn("_token", F.col("_x.token")), rewritten, ["_token"], "left")
     keep = F.col("_new").isNotNull() | ~F.col("_x.token").startswith("LOINC")
     token = F.coalesce("_new", F.col("_x.token"))

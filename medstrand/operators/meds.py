@@ -31,30 +31,53 @@ def _measurement(order: Column, token: Column) -> Column:
 def to_meds(df: DataFrame, keys: Sequence[str] = ("person_id",)) -> DataFrame:
     """``keys, events`` from ``seq``: one event per calendar day, in array order, repeats within a day dropped.
 
-    Days are gathered before persons, so the ordering work of a long history is spread by day.
+    All inside the row, without a shuffle: sorted by day and token the repeats are neighbours, and
+    sorted by day and place the days are slices.
     """
-    keys = list(keys)
-    items = df.select(*keys, F.posexplode("seq").alias("_pos", "_x")).select(
-        *keys,
-        "_pos",
-        F.col("_x.date").alias("_time"),
-        F.to_date("_x.date").alias("_on"),
-        F.when(F.col("_x.token") == BIRTH_IN, BIRTH_OUT).otherwise(F.col("_x.token")).alias("_token"),
-    )
-    distinct = items.groupBy(*keys, "_on", "_token").agg(
-        F.min(F.struct("_pos", "_time")).alias("_first")
-    )
-    measurement = _measurement(F.col("_first._pos"), F.col("_token"))
-    days = distinct.groupBy(*keys, "_on").agg(
-        F.min("_first").alias("_first"), F.array_sort(F.collect_list(measurement)).alias("_m")
+
+    def item(x: Column, i: Column) -> Column:
+        token = F.when(x["token"] == BIRTH_IN, BIRTH_OUT).otherwise(x["token"])
+        return F.struct(
+            F.to_date(x["date"]).alias("on"), token.alias("token"), i.alias("pos"), x["date"].alias("time")
+        )
+
+    def changes(column: str, fields: Sequence[str]):
+        def changed(x: Column, i: Column) -> Column:
+            before = F.get(F.col(column), i - 1)
+            same = F.lit(True)
+            for field in fields:
+                same = same & before[field].eqNullSafe(x[field])
+            return (i == 0) | ~same
+
+        return changed
+
+    placed = F.transform("_d", lambda x: F.struct(x["on"].alias("on"), x["pos"].alias("pos"), x["time"].alias("time"), x["token"].alias("token")))
+    work = (
+        df.select(*keys, "seq")
+        .withColumn("_i", F.array_sort(F.transform("seq", item)))
+        .withColumn("_d", F.filter("_i", changes("_i", ["on", "token"])))
+        .withColumn("_d", F.array_sort(placed))
+        .withColumn("_starts", F.filter(F.transform("_d", lambda x, i: F.when(changes("_d", ["on"])(x, i), i)), lambda i: i.isNotNull()))
     )
-    event = F.struct("_first", F.transform("_m", lambda m: m.dropFields("pos")).alias("measurements"))
-    return days.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(event)),
-            lambda e: F.struct(e["_first"]["_time"].alias("time"), e["measurements"].alias("measurements")),
-        ).alias("events")
+
+    def day(start: Column, number: Column) -> Column:
+        stop = F.coalesce(F.get(F.col("_starts"), number + 1), F.size("_d"))
+        first = F.get(F.col("_d"), start)
+        return F.struct(
+            first["pos"].alias("pos"),
+            first["time"].alias("time"),
+            F.transform(F.slice("_d", start + 1, stop - start), lambda x: _measurement(x["pos"], x["token"])).alias("measurements"),
+        )
+
+    days = F.array_sort(F.transform("_starts", day))
+    event = F.transform(
+        days,
+        lambda e: F.struct(
+            e["time"].alias("time"),
+            F.transform(e["measurements"], lambda m: m.dropFields("pos")).alias("measurements"),
+        ),
     )
+    return work.select(*keys, event.alias("events"))
 
 
 def trim_meds(df: DataFrame, max_length: int) -> DataFrame:

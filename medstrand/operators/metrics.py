@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medstrand.functions import scores as sc
-from medstrand.operators.scale import running_total
+from medstrand.operators.scale import ranged, running_total
+from medstrand.sources.sinks import materialise
 
 
 def score_rows(predictions: DataFrame) -> DataFrame:
@@ -16,11 +17,11 @@ def score_rows(predictions: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(predictions: DataFrame, scores: str = "probabilities") -> DataFrame:
+def roc_auc(predictions: DataFrame, scores: str = "probabilities", save=materialise) -> DataFrame:
     """One-vs-rest AUC of each class among the labels; null when a class has no negatives.
 
     Scores are first counted by distinct value, then negatives below each score are a running
-    total over score buckets, so a class is not sorted in one task.
+    total over even, stored ranges of scores, so a class is not sorted in one task.
     """
     present = predictions.agg(F.collect_set("label")).scalar()  # one entry per class
     long = predictions.select("label", F.posexplode(scores).alias("class", "score"))
@@ -29,13 +30,11 @@ def roc_auc(predictions: DataFrame, scores: str = "probabilities") -> DataFrame:
         F.count(F.when(F.col("label") == F.col("class"), 1)).alias("_pos"),
         F.count(F.when(F.col("label") != F.col("class"), 1)).alias("_neg"),
     )
+    counts = ranged(counts, [("class", True), ("score", True)], save)
     running = running_total(
         counts,
         order=[("score", True)],
-        levels=[
-            ("_coarse", F.floor(F.col("score") * 1024), True),
-            ("_fine", F.floor(F.col("score") * 1048576), True),
-        ],
+        levels=[("_range", F.col("_range"), True)],
         by=["class"],
         value=F.col("_neg"),
         out="_upto",

@@ -7,16 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Copies of a lookup side in a salted join; a hot key is spread over this many tasks.
+# Copies of a lookup side in a salted join; a hot key is spread over this many tasks. A session may
+# set ``spark.medstrand.salts``, a call its own number.
 SALTS = 8
-# Largest lookup the planner is told to broadcast; anything bigger is left to a shuffled join.
-BROADCAST_ROWS = 200_000
 # Length of a block of consecutive numbers generated by one task.
 BLOCK = 65_536
 
 
 def salted_join(
-    fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
+    fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Equi-join of a large side with a lookup whose keys may be hot on the large side.
 
@@ -26,26 +25,14 @@ def salted_join(
     broadcasts the lookup when its measured size is under its own threshold.
     """
     on = list(on)
+    if salts is None:
+        salts = int(fact.sparkSession.conf.get("spark.medstrand.salts", str(SALTS)))
     hashable = [F.col(f"`{name}`") for name, kind in fact.dtypes if "map<" not in kind]
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, on=[*on, "_salt"], how=how).drop("_salt")
 
 
-def bounded_broadcast(lookup: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only for a lookup whose row count the caller knows and that is small."""
-    return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
-
-
-def lookup_join(
-    fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", rows: int | None = None
-) -> DataFrame:
-    """Join with a lookup of ``rows`` rows: broadcast when that is known and small, else salted."""
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return fact.join(F.broadcast(lookup), list(on), how)
-    return salted_join(fact, lookup, on, how)
-
-
 Level = tuple[str, Column, bool]
 
 
@@ -124,6 +111,15 @@ def running_totals(
     )
 
 
+def ranged(df: DataFrame, order: Sequence[tuple[str, bool]], save) -> DataFrame:
+    """``df`` with ``_range``, a bucket number monotone in ``order``: even ranges found from the data.
+
+    ``save`` must store its argument, because the bounds are sampled and a second run could choose others.
+    """
+    by = [F.col(c).asc() if ascending else F.col(c).desc() for c, ascending in order]
+    return save(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranged")
+
+
 def hash_rank(
     df: DataFrame, hash_column: str, ties: Sequence[str], by: Sequence[str] = (), out: str = "rank"
 ) -> DataFrame:

@@ -6,18 +6,17 @@ Each step is its own projection so that an array is computed once and then refer
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medstrand.functions.codes import is_label
 from medstrand.functions.keyed import keyed_hash, keyed_uniform
-from medstrand.operators.scale import hash_rank, lookup_join, running_totals, salted_join
+from medstrand.operators.scale import hash_rank, running_totals, salted_join
 from medstrand.operators.timeline import age_in_years, event_positions
 from medstrand.operators.vocab import CLS, MASK, UNK
 from medstrand.schema import sequence_element
-from medstrand.sources.sinks import materialise
 
 
 def _baseline(seq: str | Column) -> Column:
@@ -108,15 +107,9 @@ def random_window(
     width = F.greatest(F.lit(max_length) - F.size("_b"), F.lit(0))
     cut = cut.withColumn("_w", F.least(width, F.size("_e")))
     start = F.floor(keyed_uniform(seed, *keys) * (F.size("_e") - F.col("_w") + 1)).cast("int")
-    cut = cut.withColumn("_e", F.slice("_e", start + 1, F.col("_w")))
-    cut = cut.withColumn(
-        "seq", F.when(F.col("_long"), F.concat("_b", _rebased("_e"))).otherwise(F.col("seq"))
-    ).drop("_b", "_e", "_w")
-    trimmed = trim_position(cut.withColumn("_kept", F.col("seq")), max_position)
-    trimmed = trimmed.withColumn(
-        "seq", F.when(F.col("_long"), F.col("seq")).otherwise(F.col("_kept"))
-    ).drop("_kept")
-    return _correct_age(trimmed, F.col("_long")).drop("_long")
+    chosen = F.concat("_b", F.slice("_e", start + 1, F.col("_w")))
+    cut = cut.withColumn("seq", F.when(F.col("_long"), chosen).otherwise(F.col("seq"))).drop("_b", "_e", "_w")
+    return settle_window(cut, max_position, "_long")
 
 
 def dedupe_consecutive(df: DataFrame) -> DataFrame:
@@ -240,14 +233,12 @@ def encode(
     percentile_step: int | None = None,
     add_cls: bool = True,
     single_age_token: bool = False,
-    vocabulary_rows: int | None = None,
 ) -> DataFrame:
     """``input_ids, position_ids, attention_mask`` (and ``token_type_ids``) of each sequence.
 
     Arrays are cut to ``max_length`` before the tokens become rows, so each row gathers back a
-    bounded number of ids. Common tokens are hot keys, so the vocabulary is broadcast when
-    ``vocabulary_rows`` says it is small and meets salted tokens otherwise. Unknown tokens take
-    the id of ``[UNK]``. ``keys`` identify a row.
+    bounded number of ids. Common tokens are hot keys, so the vocabulary meets salted tokens.
+    Unknown tokens take the id of ``[UNK]``. ``keys`` identify a row.
     """
     keys = list(keys)
     work = with_cls(df) if add_cls else df
@@ -268,7 +259,7 @@ def encode(
             "token", F.when(F.col("token").startswith("AGE:"), "AGE").otherwise(F.col("token"))
         )
     unknown = vocabulary.filter(F.col("token") == UNK).agg(F.max("id")).scalar()
-    found = lookup_join(items, vocabulary.select("token", "id"), ["token"], "left", vocabulary_rows)
+    found = salted_join(items, vocabulary.select("token", "id"), ["token"], "left")
     found = found.withColumn("id", F.coalesce("id", unknown))
     item = F.struct("_pos", "id", "_day", "_type")
     rows = found.groupBy(*keys).agg(
@@ -380,13 +371,20 @@ def recent_events(
     return present.filter("days_since_begin = 0").unionByName(kept)
 
 
-def window_events(
-    aligned: DataFrame, max_length: int, seed: str | int
-) -> DataFrame:
+def oldest_events(aligned: DataFrame, keep: int, keys: Sequence[str] = ("person_id",)) -> DataFrame:
+    """The first ``keep`` rows of each person's order, limited in each task before the shuffle."""
+    present = aligned.filter(F.col("general_event_token").isNotNull())
+    window = Window.partitionBy(*keys).orderBy("date", "days_since_begin", "general_event_token")
+    ranked = present.withColumn("_rank", F.row_number().over(window))
+    return ranked.filter(F.col("_rank") <= keep).drop("_rank")
+
+
+def window_events(aligned: DataFrame, max_length: int, seed: str | int) -> DataFrame:
     """Long form of ``random_window``'s choice: day-0 rows and a random full window of the others.
 
     Positions come from ``event_positions``, so a very long person is ranked by many tasks and
-    only ``max_length`` of its rows remain. Collect, rebase and trim afterwards.
+    only ``max_length`` of its rows remain. ``windowed`` tells whose events were cut, as
+    ``settle_window`` needs to know.
     """
     present = aligned.filter(F.col("general_event_token").isNotNull())
     base, events = present.filter("days_since_begin = 0"), present.filter("days_since_begin <> 0")
@@ -398,19 +396,44 @@ def window_events(
     counts = counts.withColumn(
         "_w", F.when(F.col("_b") + F.col("_n") > max_length, width).otherwise(F.col("_n"))
     ).withColumn("_off", F.floor(keyed_uniform(seed, "person_id") * (F.col("_n") - F.col("_w") + 1)))
-    placed = salted_join(event_positions(events), counts, ["person_id"])
+    counts = counts.withColumn("windowed", F.col("_b") + F.col("_n") > max_length)
+    placed = event_positions(events).join(counts, "person_id")
     kept = placed.filter((F.col("position") >= F.col("_off")) & (F.col("position") < F.col("_off") + F.col("_w")))
+    base = base.join(counts.select("person_id", "windowed"), "person_id")
     return base.unionByName(kept.select(*base.columns))
 
 
+def settle_window(df: DataFrame, max_position: int, windowed: str = "windowed") -> DataFrame:
+    """What follows the choice of a window: its first day becomes 1, it is trimmed by day, the age corrected."""
+    cut = df.withColumns({"_b": _baseline("seq"), "_e": _events("seq"), "_long": F.col(windowed)})
+    cut = cut.withColumn(
+        "seq", F.when(F.col("_long"), F.concat("_b", _rebased("_e"))).otherwise(F.col("seq"))
+    ).drop("_b", "_e")
+    trimmed = trim_position(cut.withColumn("_kept", F.col("seq")), max_position)
+    trimmed = trimmed.withColumn(
+        "seq", F.when(F.col("_long"), F.col("seq")).otherwise(F.col("_kept"))
+    ).drop("_kept")
+    return _correct_age(trimmed, F.col("_long")).drop("_long", windowed)
+
+
 def label_samples_from_events(
-    aligned: DataFrame, recent: int, label: int | None = None, drop_repeats: bool = False
+    aligned: DataFrame,
+    recent: int,
+    label: int | None = None,
+    drop_repeats: bool = False,
+    save: Callable[[DataFrame, str], DataFrame] | None = None,
+    tie: str = "general_event_token",
+    always: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``label_samples(recent=...)`` straight from long form, for persons of any length.
 
     Events are numbered in order and put in blocks of ``recent``; a label needs its own block and
     the one before. The join is on person and block, so no person is held in one task, and each
-    sample gathers at most ``recent`` events and the day-0 rows.
+    sample gathers at most ``recent`` events and the day-0 rows. Events whose token ``always``
+    accepts are gathered whatever their age.
+
+    Labels and events both read the numbering; ``save`` may store it. ``tie`` is the column that
+    orders equal dates and days.
     """
     rows = aligned.filter(F.col("general_event_token").isNotNull())
     mark = is_label(F.col("general_event_token"))
@@ -418,19 +441,19 @@ def label_samples_from_events(
     ordered = rows.filter((F.col("days_since_begin") != 0) | mark)
     if drop_repeats:
         # A repeat has the same day, so looking back inside the day is enough.
-        within = Window.partitionBy("person_id", "days_since_begin").orderBy("date", "general_event_token")
+        within = Window.partitionBy("person_id", "days_since_begin").orderBy("date", tie)
         events = ordered.filter(~mark).withColumn("_before", F.lag("general_event_token").over(within))
         events = events.filter(~F.col("_before").eqNullSafe(F.col("general_event_token"))).drop("_before")
         ordered = events.unionByName(ordered.filter(mark))
     numbered = running_totals(
         ordered,
-        order=[("date", True), ("days_since_begin", True), ("general_event_token", True)],
+        order=[("date", True), ("days_since_begin", True), (tie, True)],
         levels=[("_on", F.to_date("date"), True)],
         values={"_seen": F.when(mark, 0).otherwise(1), "_labels": F.when(mark, 1).otherwise(0)},
         by=["person_id"],
     )
-    # Labels and events both read the numbering, so it is written to the shared folder once.
-    numbered = materialise(numbered, "numbered")
+    if save is not None:
+        numbered = save(numbered, "numbered")
     value = F.expr("try_cast(get(split(general_event_token, ':'), 1) as int)")
     marks = numbered.filter(mark).select(
         "person_id", "_seen", (F.col("_labels") - 1).alias("label_count"), value.alias("label")
@@ -445,7 +468,7 @@ def label_samples_from_events(
     near = wanted.join(events, ["person_id", "_block"]).filter(
         (F.col("_at") <= F.col("_seen")) & (F.col("_at") > F.col("_seen") - recent)
     )
-    at_start = salted_join(marks, base, ["person_id"]).withColumn("_at", F.lit(0))
+    at_start = marks.join(base, "person_id").withColumn("_at", F.lit(0))
     # A label always has its own row, so one without history keeps an empty sample.
     alone = marks.select("person_id", "label_count", "label", *[
         F.lit(None).cast(kind).alias(name)
@@ -456,6 +479,10 @@ def label_samples_from_events(
         "_at", "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
     )
     gathered = near.select(*columns).unionByName(at_start.select(*columns)).unionByName(alone)
+    if always is not None:
+        old = events.filter(always(F.col("general_event_token"))).drop("_block")
+        kept = marks.join(old, "person_id").filter(F.col("_at") <= F.col("_seen") - recent)
+        gathered = gathered.unionByName(kept.select(*columns))
     return gathered.groupBy("person_id", "label_count", "label").agg(
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), item))),

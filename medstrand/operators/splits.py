@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medstrand.functions.keyed import keyed_hash, keyed_uniform
-from medstrand.operators.scale import BLOCK, hash_rank, numbered_rows, running_total, salted_join
+from medstrand.operators.scale import BLOCK, hash_rank, numbered_rows, running_total
 
 
 def hash_sample(df: DataFrame, fraction: float, seed: str | int, key: str = "person_id") -> DataFrame:
@@ -40,7 +40,7 @@ def random_split(
 def prior_overlap(df: DataFrame, prior: DataFrame, key: str = "person_id") -> DataFrame:
     """Add ``in_prior``: whether the row's key appears in ``prior``."""
     seen = prior.select(key).distinct().withColumn("_seen", F.lit(True))
-    joined = salted_join(df, seen, [key], "left")
+    joined = df.join(seen, key, "left")
     return joined.withColumn("in_prior", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
@@ -70,7 +70,7 @@ def split_with_prior(
 def split_membership(df: DataFrame, splits: DataFrame, key: str = "person_id") -> DataFrame:
     """Keep rows of persons in a predefined split and add ``split``."""
     member = splits.select(F.col("omop_person_id").alias(key), "split").distinct()
-    return salted_join(df, member, [key])
+    return df.join(member, key)
 
 
 def min_history(df: DataFrame, minimum: int, column: str = "sorted_event_tokens") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
@@ -39,7 +39,8 @@ def vocabulary_misses(data: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def to_concepts(mappings: DataFrame, df: DataFrame) -> DataFrame:
     """Add ``CUI`` to rows with ``code`` and ``source``; one row per (code, source, CUI)."""
-    wanted = df.dropDuplicates(["code", "source"])
+    rest = [c for c in df.columns if c not in ("code", "source")]
+    wanted = df.groupBy("code", "source").agg(F.min(F.struct(*rest)).alias("_row")).select("code", "source", "_row.*") if rest else df.distinct()
     return wanted.join(mappings.select("CUI", "code", "source").distinct(), ["code", "source"])
 
 
@@ -175,10 +176,17 @@ def lab_value_suffix(translated: DataFrame) -> DataFrame:
     return translated.withColumn("vocab_token", F.when(is_test, text).otherwise(F.col("vocab_token")))
 
 
+def _single(value: Column, kind: str) -> Column:
+    """The one value of a group; two different ones stop the job."""
+    twice = F.raise_error(F.lit(f"a patient has two values of {kind}")).cast("string")
+    return F.when(F.min(value).eqNullSafe(F.max(value)), F.max(value)).otherwise(twice)
+
+
 def demographics_wide(raw: DataFrame) -> DataFrame:
     """Gender, race and ethnicity rows to one row per patient, in one conditional aggregate.
 
-    ``n_<kind>`` counts how often each kind was given, for ``demographics_violations``.
+    ``n_<kind>`` counts how often each kind was given, for ``demographics_violations``. A patient
+    given two different codes of one kind stops the job.
     """
     kinds = {"gender": "Gender/", "race": "Race/", "ethnicity": "Ethnicity/"}
     aggregates = []
@@ -186,7 +194,7 @@ def demographics_wide(raw: DataFrame) -> DataFrame:
         here = F.col("code").contains(prefix)
         aggregates += [
             F.max(F.when(here, F.col("start"))).alias(f"{kind}_date"),
-            F.max(F.when(here, F.col("code"))).alias(f"{kind}_code"),
+            _single(F.when(here, F.col("code")), kind).alias(f"{kind}_code"),
             F.count(F.when(here, 1)).alias(f"n_{kind}"),
         ]
     some = codes.contains_any(F.col("code"), ["Race", "Gender", "Ethnicity"])

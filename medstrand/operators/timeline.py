@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medstrand.operators.scale import running_total, salted_join
+from medstrand.operators.scale import running_total
 from medstrand.schema import sequence_element
 
-# A person with more events than this gets several rows, numbered by ``sequence_part``.
-PART_EVENTS = 200_000
-
 
 def first_dates(events: DataFrame, by: Sequence[str] = ("person_id",)) -> DataFrame:
     return events.groupBy(*by).agg(F.min("date").alias("first_date"))
@@ -20,7 +17,7 @@ def first_dates(events: DataFrame, by: Sequence[str] = ("person_id",)) -> DataFr
 
 def align_to_first_date(events: DataFrame) -> DataFrame:
     """Add ``days_since_begin``: 1 on the person's first date."""
-    joined = salted_join(events, first_dates(events), ["person_id"])
+    joined = events.join(first_dates(events), "person_id")
     return joined.select(
         "person_id",
         "general_event_token",
@@ -82,34 +79,20 @@ def filter_by_span(events: DataFrame, min_days: int) -> DataFrame:
         .filter(F.col("_last") >= min_days)
         .select("person_id")
     )
-    return salted_join(events, long_enough, ["person_id"], how="left_semi")
+    return events.join(long_enough, "person_id", "left_semi")
 
 
-def consolidate(
-    events: DataFrame, by: Sequence[str] = ("person_id",), part_events: int = PART_EVENTS
-) -> DataFrame:
-    """Aligned events to ordered ``seq`` arrays: by date, day and token; null tokens drop out.
+def consolidate(events: DataFrame, by: Sequence[str] = ("person_id",)) -> DataFrame:
+    """Aligned events to one row of an ordered ``seq`` array per key: by date, day and token; null tokens drop out.
 
-    One row per key, or several numbered by ``sequence_part`` for a key with more than
-    ``part_events`` events (see ``build_sequences``).
+    A key's events meet in one row. Where only some of them are wanted, cut the long form first
+    (``recent_events``, ``oldest_events``, ``window_events``, ``label_samples_from_events``).
     """
     by = list(by)
     date = F.col("date") if "date" in events.columns else F.lit(None).cast("timestamp")
-    rows = events.filter(F.col("general_event_token").isNotNull()).select(
-        *by,
-        date.alias("date"),
-        (F.col("days_since_begin") != 0).cast("int").alias("_event"),
-        "days_since_begin",
-        "general_event_token",
-    )
-    order = F.col("date") if "date" in events.columns else F.date_from_unix_date("days_since_begin")
-    cuts = _part_cuts(rows.filter("_event = 1").withColumn("date", order.cast("timestamp")), by, part_events)
-    element = sequence_element(F.col("date"), F.col("days_since_begin"), F.col("general_event_token"))
-    return (
-        _with_parts(rows, cuts, by, order)
-        .groupBy(*by, "sequence_part")
-        .agg(F.array_sort(F.collect_list(element)).alias("seq"))
-    )
+    element = sequence_element(date, F.col("days_since_begin"), F.col("general_event_token"))
+    present = events.filter(F.col("general_event_token").isNotNull())
+    return present.groupBy(*by).agg(F.array_sort(F.collect_list(element)).alias("seq"))
 
 
 def parallel_arrays(sequences: DataFrame, with_date: bool = True) -> DataFrame:
@@ -138,39 +121,31 @@ def build_sequences(
     events: DataFrame,
     patients: DataFrame | None = None,
     min_days: int | None = None,
-    part_events: int = PART_EVENTS,
     by: Sequence[str] = ("person_id",),
 ) -> DataFrame:
-    """Raw ``person_id, date, general_event_token`` events to ordered sequences in one shuffle.
+    """Raw ``person_id, date, general_event_token`` events to one ordered sequence per person in one shuffle.
 
     Alignment, baseline tokens, ages and the span filter need nothing but a person's own rows, so
     demographic rows ride along in the same union and all of it is settled inside the collected
-    array: no join with first dates, no second pass.
-
-    A person with more than ``part_events`` events is not collected into one task: the person's
-    days are cut where the running count passes a multiple of ``part_events``, and each piece
-    becomes a row with its own ``sequence_part``. The parts in order are the whole sequence.
+    array: no join with first dates, no second pass. The row is as long as the person's history;
+    model rows are made from the long form instead, which is cut before it is gathered.
     """
     by = list(by)
     rows = events.filter(F.col("general_event_token").isNotNull()).select(
         *by, "date", F.lit(1).alias("_event"), "general_event_token"
     )
-    cuts = _part_cuts(rows, by, part_events)
     if patients is not None:
         base = baseline_rows(patients, by).select(
             *by, "date", F.lit(0).alias("_event"), "general_event_token"
         )
         rows = rows.unionByName(base)
 
-    tagged = _with_parts(rows, cuts, by, F.col("date"))
-    own_first = F.when(F.col("_event") == 1, F.coalesce("_first", "date"))
-    own_last = F.when(F.col("_event") == 1, F.coalesce("_last", "date"))
-
+    own = F.when(F.col("_event") == 1, F.col("date"))
     collected = (
-        tagged.groupBy(*by, "sequence_part")
+        rows.groupBy(*by)
         .agg(
-            F.min(own_first).alias("_first"),
-            F.max(own_last).alias("_last"),
+            F.min(own).alias("_first"),
+            F.max(own).alias("_last"),
             F.array_sort(
                 F.collect_list(F.struct("date", "_event", "general_event_token"))
             ).alias("_rows"),
@@ -189,45 +164,7 @@ def build_sequences(
             x["date"], day, F.when(waiting, age).otherwise(x["general_event_token"])
         )
 
-    return collected.select(*by, "sequence_part", F.transform("_rows", settle).alias("seq"))
-
-
-def _with_parts(rows: DataFrame, cuts: DataFrame, by: list[str], date: Column) -> DataFrame:
-    """Add ``sequence_part`` (and the over-long persons' ``_first`` and ``_last``) to ``_event`` rows."""
-    # Proven bound: cuts holds at most two dates per part_events input rows.
-    part = F.size(F.filter("_cuts", lambda d: d <= F.to_date(date)))
-    return rows.join(F.broadcast(cuts), by, "left").withColumn(
-        "sequence_part", F.when((F.col("_event") == 1) & F.col("_cuts").isNotNull(), part).otherwise(0)
-    )
-
-
-def _part_cuts(rows: DataFrame, by: list[str], part_events: int) -> DataFrame:
-    """First and last date of each over-long person, with the days on which a new part begins."""
-    long_ones = (
-        rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > part_events).select(*by)
-    )
-    # Proven bound: more than part_events rows each, so rows / part_events persons at most.
-    per_day = (
-        rows.join(F.broadcast(long_ones), by, "left_semi")
-        .groupBy(*by, F.to_date("date").alias("_on"))
-        .agg(F.count("*").alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"))
-    )
-    before = (
-        Window.partitionBy(*by).orderBy("_on").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    starts = per_day.withColumn(
-        "_part", F.floor((F.sum("_n").over(before) - F.col("_n")) / part_events)
-    )
-    return (
-        starts.groupBy(*by, "_part")
-        .agg(F.min("_on").alias("_on"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-        .groupBy(*by)
-        .agg(
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last"),
-            F.array_sort(F.collect_list(F.when(F.col("_part") > 0, F.col("_on")))).alias("_cuts"),
-        )
-    )
+    return collected.select(*by, F.transform("_rows", settle).alias("seq"))
 
 
 def event_positions(aligned: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medstrand.operators.scale import running_total
+from medstrand.operators.scale import ranged, running_total
+from medstrand.sources.sinks import materialise
 
 # Special tokens, in the order their ids follow the ranked tokens.
 MASK, CLS, UNK = "[MASK]", "[CLS]", "[UNK]"
@@ -21,23 +22,16 @@ def token_counts(
     return tokens.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def cumulative_fractions(counts: DataFrame) -> DataFrame:
+def cumulative_fractions(counts: DataFrame, save=materialise) -> DataFrame:
     """Running count and fraction in order of frequency, then token.
 
-    Buckets go by count and then by a growing prefix of the token, so the many tokens seen once
-    are summed by many tasks. ``counts`` is read for each level: give a stored table.
+    Buckets are even ranges of that order, whatever the tokens look like; they are stored once.
     """
+    order = [("n", False), ("token", True)]
+    counts = ranged(counts, order, save)
     running = running_total(
-        counts,
-        order=[("n", False), ("token", True)],
-        levels=[
-            ("_by_count", F.col("n"), False),
-            ("_by_start", F.substring("token", 1, 3), True),
-            ("_by_prefix", F.substring("token", 1, 12), True),
-        ],
-        value=F.col("n"),
-        out="cum_count",
-    )
+        counts, order=order, levels=[("_range", F.col("_range"), True)], value=F.col("n"), out="cum_count"
+    ).drop("_range")
     total = counts.agg(F.sum("n")).scalar()
     return running.withColumn("cum_count_frac", F.col("cum_count") / total)
 

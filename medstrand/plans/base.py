@@ -46,7 +46,6 @@ def prepare(
     conversions: DataFrame | None = None,
     percentiles: DataFrame | None = None,
     accuracy: int = 10_000,
-    part_events: int = timeline.PART_EVENTS,
 ) -> Prepared:
     """Project, filter, tokenise, merge, deduplicate and collect.
 
@@ -66,21 +65,17 @@ def prepare(
         limits = config["min_loinc_counts"], config["min_loinc_value_counts"]
         if conversions is None or percentiles is None:
             lab_frame, conversions, percentiles = lb.fit_apply(
-                kept["lab"], *limits, accuracy=accuracy, save=sinks.save_sized
+                kept["lab"], *limits, accuracy=accuracy, save=sinks.materialise
             )
         else:
-            conversions, n_conversions = sinks.save_sized(conversions, "conversions")
-            percentiles, n_percentiles = sinks.save_sized(percentiles, "percentiles")
-            lab_frame = lb.apply(
-                kept["lab"], conversions, percentiles, *limits, rows=(n_conversions, n_percentiles)
-            )
+            lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits)
     merged = ev.merge_frames(COLUMNS, tokens, lab_frame)
 
     present = merged.filter(F.col("general_event_token").isNotNull()).withColumn("_on", F.to_date("date"))
     unique = ev.dedupe_events(present, ["person_id", "_on", "general_event_token"]).select(*COLUMNS)
     unique = sinks.materialise(unique, "tokens")
     patients = kept.get("patient")
-    sequences = timeline.build_sequences(unique, patients, min_days=min_days, part_events=part_events)
+    sequences = timeline.build_sequences(unique, patients, min_days=min_days)
     steps = _tagged_steps(selected, config, unique)
     return Prepared(sequences, conversions, percentiles, quality.cutflow(steps, step_names(min_days), min_days))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from medstrand.operators import labels as lab
 from medstrand.operators import timeline
-from medstrand.operators.scale import salted_join
 
 SMALL = "small_val"
 
@@ -19,7 +18,6 @@ def label_sequences(
     splits: DataFrame,
     seed: str | int,
     threshold: int = lab.LABEL_ROWS,
-    part_events: int = timeline.PART_EVENTS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(sequences, metadata)``; sequences carry ``split`` in train, val, test and small_val.
 
@@ -33,11 +31,10 @@ def label_sequences(
     ).distinct()
 
     # The validation split appears twice; its events are copied in the scan, not read again.
-    plain = salted_join(events.select("person_id", "date", "general_event_token"), member, ["person_id"])
-    marked = salted_join(
-        marks.select(F.col("person_id").cast(dict(events.dtypes)["person_id"]).alias("person_id"), "date", "general_event_token"),
-        member, ["person_id"],
-    )
+    plain = events.select("person_id", "date", "general_event_token").join(member, "person_id")
+    marked = marks.select(
+        F.col("person_id").cast(dict(events.dtypes)["person_id"]).alias("person_id"), "date", "general_event_token"
+    ).join(member, "person_id")
     small = lab.capped_sample(
         marked.filter(F.col("split") == "val"), seed, ["person_id", "date", "general_event_token"], threshold
     ).withColumn("split", F.lit(SMALL))
@@ -48,7 +45,5 @@ def label_sequences(
         .unionByName(small)
     )
     patients = demographics.join(member, "person_id").withColumn("split", F.explode(both))
-    sequences = timeline.build_sequences(
-        rows, patients, part_events=part_events, by=["person_id", "split"]
-    )
+    sequences = timeline.build_sequences(rows, patients, by=["person_id", "split"])
     return sequences, lab.label_metadata(cast, splits)

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: a label task that is never read.
-SKIPPED_TASKS = ("chexpert",)
 # Columns of the terminology release's own description files.
 FILE_COLUMNS = ("FIL", "DES", "FMT", "CLS", "RWS", "BTS")
 COLUMN_COLUMNS = ("COL", "DES", "REF", "MIN", "AV", "MAX", "FIL", "DTY")
@@ -37,11 +35,11 @@ def resolve_path(base: str, tail: str | None) -> str | None:
 
 
 def read_catalog(
-    spark: SparkSession, base: str, tails: Mapping[str, str | None]
+    spark: SparkSession, base: str, tails: Mapping[str, str | None], ddls: Mapping[str, str] | None = None
 ) -> dict[str, DataFrame | None]:
-    """Named tables under one base directory; a table without a tail is absent."""
+    """Named tables under one base directory; a table without a tail is absent. ``ddls`` are the CSV tables' schemas."""
     return {
-        name: None if tail is None else read_table(spark, resolve_path(base, tail))
+        name: None if tail is None else read_table(spark, resolve_path(base, tail), (ddls or {}).get(name))
         for name, tail in tails.items()
     }
 
@@ -99,11 +97,12 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.col("token") != "").select("token", "id")
 
 
-def read_label_tasks(spark: SparkSession, base: str, ddl: str) -> DataFrame:
-    """All prediction tasks in one scan, ``<base>/<task>/labeled_patients.csv``, with a ``task`` column."""
+def read_label_tasks(spark: SparkSession, base: str, ddl: str, skipped: Sequence[str] = ()) -> DataFrame:
+    """All prediction tasks in one scan but the ``skipped`` ones, ``<base>/<task>/labeled_patients.csv``, with a ``task`` column."""
     frame = read_csv(spark, f"{base.rstrip('/')}/*/labeled_patients.csv", ddl)
     task = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/labeled_patients\.csv", 1)
-    return frame.withColumn("task", task).filter(~F.col("task").isin(*SKIPPED_TASKS))
+    tasks = frame.withColumn("task", task)
+    return tasks.filter(~F.col("task").isin(*skipped)) if skipped else tasks
 
 
 def with_file(df: DataFrame) -> DataFrame:

@@ -63,7 +63,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def save_sized(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``materialise`` with the row count, which the written files know without a scan."""
-    saved = materialise(df, name)
-    return saved, saved.count()

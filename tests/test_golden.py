@@ -182,9 +182,8 @@ def test_vocabulary_with_two_colons_fails(spark):
 def test_single_age_token_encodes(spark):
     words = spark.createDataFrame([("A", 0), ("AGE", 1), ("[MASK]", 2), ("[CLS]", 3), ("[UNK]", 4)], "token string, id int")
     rows = seq(spark, [(0, "AGE:25"), (1, "A"), (2, "zzz")])
-    for known in (None, 5):
-        got = sequence.encode(rows, words, 10, single_age_token=True, vocabulary_rows=known).first()
-        assert got["input_ids"] == [3, 1, 0, 4] and got["position_ids"] == [0, 0, 1, 2]
+    got = sequence.encode(rows, words, 10, single_age_token=True).first()
+    assert got["input_ids"] == [3, 1, 0, 4] and got["position_ids"] == [0, 0, 1, 2]
 
 
 def test_nested_numbers_and_birth(spark):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
-from medstrand.operators import labels, scale, sequence, splits, timeline
+from medstrand.operators import labels, meds, scale, sequence, splits, timeline
+from medstrand.plans import rows
 from medstrand.sources import sinks
 
 
@@ -25,26 +26,78 @@ def skewed(spark):
     )
 
 
-def test_long_person_is_split_without_loss(spark, skewed):
-    whole = timeline.build_sequences(skewed)
-    parts = timeline.build_sequences(skewed, part_events=100)
-    sizes = [(r[0], r[1], r[2]) for r in parts.select("person_id", "sequence_part", F.size("seq")).collect()]
-    assert max(s for _, _, s in sizes) <= 110
-    assert len([1 for p, _, _ in sizes if p == 0]) >= 20
-    pieces = {}
-    for r in parts.orderBy("person_id", "sequence_part").collect():
-        pieces.setdefault(r["person_id"], []).extend([(x["day"], x["token"]) for x in r["seq"]])
-    assert pieces == {r["person_id"]: [(x["day"], x["token"]) for x in r["seq"]] for r in whole.collect()}
+@pytest.fixture(scope="module")
+def busy(skewed):
+    """A third of all events are one person's, most of them on one day, and labels stand among them."""
+    day = F.when((F.col("person_id") == 0) & (F.crc32("general_event_token") % 3 > 0), F.lit("2001-01-01").cast("timestamp"))
+    events = skewed.withColumn("date", F.coalesce(day, "date"))
+    marks = events.filter("crc32(general_event_token) % 60 = 0").withColumn("general_event_token", F.lit("LABEL:1")).distinct()
+    return timeline.align_to_first_date(events.union(marks))
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    tokens = [("[CLS]",), ("[MASK]",), ("[UNK]",), ("LABEL:1",)] + [(f"T:{i}",) for i in range(0, 6000, 2)]
+    return spark.createDataFrame([(i, t) for i, (t,) in enumerate(tokens)], "id int, token string")
+
+
+def same(a, b, *columns):
+    shown = [c for c in (*columns, "input_ids", "position_ids", "attention_mask")]
+    a, b = (x.select(*[F.col(c).cast("bigint") if c in columns else c for c in shown]) for x in (a, b))
+    return a.exceptAll(b).count() == 0 and a.count() == b.count() > 0
+
+
+@pytest.mark.parametrize("seed", [None, "w"])
+def test_pretrain_rows_equal_the_array_route(busy, words, seed):
+    whole = sequence.baseline_first(timeline.consolidate(busy))
+    if seed is not None:
+        whole = sequence.random_window(whole, 20, 300, seed)
+    whole = sequence.correct_age(sequence.trim_position(sequence.trim_length(whole, 20), 300))
+    assert same(rows.pretrain_rows(busy, words, 20, 300, seed), sequence.encode(whole, words, 20), "person_id")
+
+
+def test_labelled_rows_equal_the_array_route(busy, words):
+    people = busy.select("person_id").distinct().withColumn("label", F.col("person_id") % 2)
+    got = rows.labelled_rows(busy, people, words, 20)
+    assert same(got, sequence.encode(timeline.consolidate(busy), words, 20), "person_id")
+
 
+def test_multilabel_rows_equal_the_array_route(busy, words):
+    samples = sequence.label_samples(timeline.consolidate(busy), recent=20, drop_repeats=True)
+    whole = sequence.trim_position(sequence.trim_length(samples, 20), 300)
+    want = sequence.encode(whole, words, 20, ["person_id", "label_count"])
+    assert same(rows.multilabel_rows(busy, words, 20, 300), want, "person_id", "label_count")
 
-def test_span_filter_of_split_person(spark, skewed):
-    long = timeline.build_sequences(skewed, part_events=100, min_days=2900)
-    assert long.filter("person_id = 0").count() > 1
+
+def test_bounded_meds_samples_equal_full_history(busy):
+    full = sequence.label_samples(timeline.consolidate(busy)).withColumn("label_count", F.col("label_count").cast("bigint"))
+    want = meds.trim_meds(meds.to_meds(full, [*rows.SAMPLE_KEYS, "label"]), 9)
+    got = rows.meds_samples(busy, 9).select(*want.columns)
+    assert got.count() == want.count() > 50 and got.exceptAll(want).count() == 0
+
+
+def test_meds_need_no_shuffle_after_the_sequence(spark, sf):
+    text = plan_of(meds.to_meds(st.sequences(spark, sf)))
+    assert text.count("Exchange") == plan_of(st.sequences(spark, sf)).count("Exchange")
+
+
+def test_buckets_are_even_for_equal_prefixes_and_tiny_scores(spark):
+    tokens = spark.range(9000).select(F.lit(1).alias("n"), F.concat(F.lit("LOINC:12345-6:"), "id").alias("token"))
+    scores = spark.range(9000).select(F.lit(0).alias("class"), (F.col("id") * 1e-14).alias("score"))
+    for df, order in ((tokens, [("n", False), ("token", True)]), (scores, [("class", True), ("score", True)])):
+        sizes = [r["count"] for r in scale.ranged(df.repartition(6), order, sinks.materialise).groupBy("_range").count().collect()]
+        assert sum(sizes) == 9000 and (len(sizes) == 1 or max(sizes) < 9000 / len(sizes) * 2)
+
+
+def test_persons_are_joined_without_salt(spark, sf):
+    for name in ("pretrain_rows", "label_sequences", "person_sequences"):
+        for line in plan_of(entry.queries()[name](spark, sf)).split("\n"):
+            assert not ("_salt" in line and "person_id" in line and "keys" in line.lower())
 
 
 def test_running_total_equals_plain_window(spark, skewed):
-    rows = skewed.withColumn("h", keyed_hash("s", "general_event_token"))
-    ours = scale.hash_rank(rows, "h", ["general_event_token"], by=["person_id"], out="r")
+    hashed = skewed.withColumn("h", keyed_hash("s", "general_event_token"))
+    ours = scale.hash_rank(hashed, "h", ["general_event_token"], by=["person_id"], out="r")
     plain = F.row_number().over(Window.partitionBy("person_id").orderBy("h", "general_event_token"))
     assert ours.withColumn("p", plain).filter("r <> p").count() == 0
     assert ours.count() == 6000
@@ -72,19 +125,12 @@ def test_numbered_rows(spark):
 
 def test_recent_events_equal_length_trim(spark, skewed):
     aligned = timeline.align_to_first_date(skewed)
-    short = timeline.consolidate(sequence.recent_events(aligned, 20)).drop("sequence_part")
+    short = timeline.consolidate(sequence.recent_events(aligned, 20))
     trimmed = sequence.trim_length(short, 12)
-    full = sequence.trim_length(timeline.consolidate(aligned).drop("sequence_part"), 12)
+    full = sequence.trim_length(timeline.consolidate(aligned), 12)
     assert trimmed.exceptAll(full).count() == 0
 
 
-def test_consolidate_splits_a_long_person(spark, skewed):
-    aligned = timeline.align_to_first_date(skewed)
-    parts = timeline.consolidate(aligned, part_events=100)
-    assert parts.select(F.max(F.size("seq"))).first()[0] <= 110
-    assert parts.select(F.sum(F.size("seq"))).first()[0] == 6000
-
-
 @pytest.mark.parametrize("repeats", [False, True])
 def test_samples_from_events_equal_samples_from_arrays(spark, skewed, repeats):
     marks = skewed.filter("crc32(general_event_token) % 40 = 0").withColumn(
@@ -92,7 +138,7 @@ def test_samples_from_events_equal_samples_from_arrays(spark, skewed, repeats):
     ).distinct()
     few = skewed.withColumn("general_event_token", F.concat(F.lit("T:"), (F.crc32("general_event_token") % 2).cast("string")))
     aligned = timeline.align_to_first_date(few.union(marks))
-    arrays = sequence.label_samples(timeline.consolidate(aligned).drop("sequence_part"), recent=7, drop_repeats=repeats)
+    arrays = sequence.label_samples(timeline.consolidate(aligned), recent=7, drop_repeats=repeats)
     longs = sequence.label_samples_from_events(aligned, 7, drop_repeats=repeats)
     columns = ["person_id", "label_count", "label", "seq"]
     a = arrays.select(F.col("person_id"), F.col("label_count").cast("bigint"), "label", "seq")
@@ -115,13 +161,13 @@ def test_splits_are_whole_and_disjoint(spark):
 
 def test_sequences_do_not_depend_on_partitioning(spark, sf):
     a = st.sequences(spark, sf)
-    b = timeline.build_sequences(st.tokens(spark, sf).repartition(13), st.patient(spark, sf)).drop("sequence_part")
+    b = timeline.build_sequences(st.tokens(spark, sf).repartition(13), st.patient(spark, sf))
     assert a.exceptAll(b).count() == 0
 
 
 def test_step_by_step_equals_one_shuffle(spark, sf):
     aligned = timeline.align_to_first_date(st.tokens(spark, sf))
-    steps = timeline.consolidate(timeline.add_baseline(aligned, st.patient(spark, sf))).drop("sequence_part")
+    steps = timeline.consolidate(timeline.add_baseline(aligned, st.patient(spark, sf)))
     assert steps.exceptAll(st.sequences(spark, sf)).count() == 0
 
 
