@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -32,6 +33,12 @@ STATISTICS = (
     "symbols", "marks", "bars", "exclaims", "stops", "short_words", "lines", "line_words", "repeated_lines", "ended_lines",
     "upper_words", "marked_words", "spread",
 )
+# Classes of UTF-8 bytes: capital, small letter, digit, mark, other sign, first byte of another character, all else.
+_CLASS = np.full(256, 6, dtype=np.uint8)
+_CLASS[33:127] = 4
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[192:256] = 2, 0, 1, 5
+_CLASS[[ord(c) for c in ".,;:!?"]] = 3
+_CLASS[[ord(c) for c in "'\"()|-_"]] = 6
 TREES, DEPTH = 24, 4
 PENALTY = 0.002
 # A rule is one (statistic, is at most, bound) or more.
@@ -48,7 +55,9 @@ def statistics(text: str | None) -> list[float]:
     counts = Counter(words)
     rows = [line for line in text.split("\n") if line.strip()]
     repeated = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    letters = len(re.findall(r"[^\W\d_]", text))
+    kinds = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)], minlength=7).tolist()
+    capitals, small, digits, marks, signs, other = kinds[:6]
+    letters = capitals + small + other
     entropy = math.log(n) - sum(c * math.log(c) for c in counts.values()) / n
     return [
         math.log1p(n),
@@ -58,10 +67,10 @@ def statistics(text: str | None) -> list[float]:
         max(counts.values()) / n,
         repeated / n,
         letters / chars,
-        len(re.findall(r"\d", text)) / chars,
-        len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / max(letters, 1),
-        len(re.findall(r"[^\w\s.,;:!?'\"()|-]", text)) / chars,
-        len(re.findall(r"[.,;:!?]", text)) / n,
+        digits / chars,
+        capitals / max(letters, 1),
+        signs / chars,
+        marks / n,
         text.count("|") / n,
         text.count("!") / n,
         len(re.findall(r"[.!?](?:\s|\Z)", text)) / n,
@@ -137,13 +146,16 @@ class Ensemble:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "doc_id", label: str = "quality") -> Ensemble:
-    """Learns rules and weights from all labelled rows whose part is not ``held``."""
+def fit(found: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "doc_id", label: str = "quality") -> Ensemble:
+    """Learns rules and weights from all labelled rows whose part is not ``held``.
+
+    ``found`` has ``key`` and ``statistics``, best stored: labels meet statistics, never texts.
+    """
     known = labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("label")).dropna().dropDuplicates(["_id"])
     if held is not None:
         known = known.filter(part(F.col("_id")) != held)
-    labelled = docs.select(F.col(key).alias("_id"), "text").join(known, "_id")
-    rows = materialise(with_statistics(labelled, ["label"]), "quality-statistics")
+    labelled = found.select(F.col(key).alias("_id"), "statistics").join(known, "_id")
+    rows = materialise(labelled.select("label", "statistics"), "quality-labelled")
     sides = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(sides.values())
     if len(sides) < 2:
@@ -167,7 +179,6 @@ def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "do
     return Ensemble(lasso.intercept, chosen, linear)
 
 
-def score(docs: DataFrame, ensemble: Ensemble, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``columns`` and ``score`` (0 to 1, higher is better) of every row."""
-    found = with_statistics(docs, list(columns))
+def score(found: DataFrame, ensemble: Ensemble, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``columns`` and ``score`` (0 to 1, higher is better) of every row of ``found``, which has ``statistics``."""
     return found.select(*columns, ensemble.score(F.col("statistics")).alias("score"))

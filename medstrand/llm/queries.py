@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from medstrand.sources.sinks import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,8 +140,9 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    ensemble = quality.fit(docs, table(spark, d, "labels"), held=HELD)
-    return _judged(quality.score(docs, ensemble), GOOD_FROM)
+    found = materialise(quality.with_statistics(docs, ["doc_id"]), "statistics")
+    ensemble = quality.fit(found, table(spark, d, "labels"), held=HELD)
+    return _judged(quality.score(found, ensemble), GOOD_FROM)
 
 
 def _judged(scored: DataFrame, bound: float) -> DataFrame:

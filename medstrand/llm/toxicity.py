@@ -6,7 +6,8 @@
 2. Features. Lexicon densities, nearness of lexicon words to second-person words, rates of capitals
    and punctuation, of masked and repeated letters, and lexicon words found only after digits and
    signs are read as letters. No label, language, source or id is among them.
-3. Boosted trees, then isotonic regression of the label on the trees' probability. Steps of equal
+3. Boosted trees on TREE_TEXTS labelled rows at most, then isotonic regression of the label on the
+   trees' probability. Steps of equal
    calibrated value keep the trees' order by a hundredth of their probability. Trees see the rows
    of each half of the labels through the other half's lexicon, so no row through its own.
 
@@ -36,6 +37,8 @@ from medstrand.sources.sinks import materialise
 
 # Bounds of each half's sample for the lexicon, for a class, and of the lexicon.
 LEXICON_TEXTS = 4_000
+# Bound of the sample the trees and the calibration are learned from.
+TREE_TEXTS = 24_000
 LEXICON_TERMS = 3_000
 LEAST_TEXTS = 3
 LEAST_ODDS = 1.5
@@ -46,8 +49,12 @@ THRESHOLD = 0.3
 NEAR = 5
 
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+[@$!*#0-9]+[^\W\d_]+")
-_AGAIN = re.compile(r"([^\W\d_])\1{2,}")
+# Signs and digits between letters.
+_MASK = re.compile(r"(?<=[^\W\d_])[@$!*#0-9]+(?=[^\W\d_])")
+# Classes of UTF-8 bytes: capital, small letter, digit, sign, first byte of another character, all else.
+_CLASS = np.full(256, 5, dtype=np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[192:256] = 2, 0, 1, 4
 _READ = str.maketrans("013457@$!", "oieastasi")
 _YOU = frozenset("you your yours yourself u ur tu te toi vous votre vos du dich dir ihr euch dein tú ti usted ustedes vosotros".split())
 _KEPT_WORDS = 400_000
@@ -142,19 +149,25 @@ class _Reader:
         you = [i for i, w in enumerate(words) if w in _YOU]
         near = 0
         if len(hit) and you:
-            gaps = np.abs(hit[:, None] - np.array(you)[None, :]) if len(hit) * len(you) < 100_000 else None
-            if gaps is None:
-                at = np.searchsorted(you, hit)
-                left = np.abs(hit - np.array(you)[np.maximum(at - 1, 0)])
-                right = np.abs(hit - np.array(you)[np.minimum(at, len(you) - 1)])
-                near = int((np.minimum(left, right) <= NEAR).sum())
-            else:
-                near = int((gaps.min(axis=1) <= NEAR).sum())
-        masked = _MASKED.findall(lower)
-        unmasked = sum(self.value(m.translate(_READ).replace("*", "").replace("#", "")) >= 2.5 for m in masked)
+            places = np.array(you)
+            at = np.searchsorted(places, hit)
+            left = np.abs(hit - places[np.maximum(at - 1, 0)])
+            right = np.abs(hit - places[np.minimum(at, len(places) - 1)])
+            near = int((np.minimum(left, right) <= NEAR).sum())
+        masked = {lower.rfind(" ", 0, m.start()) + 1: m for m in _MASK.finditer(lower)}
+        unmasked = 0
+        for start in masked:
+            word = lower[start:].split(None, 1)[0] if start < len(lower) else ""
+            read = _WORD.findall(word.translate(_READ).replace("*", "").replace("#", ""))
+            unmasked += any(self.value(w) >= 2.5 for w in read)
         per = 1.0 / max(n, 1)
         top = np.sort(values)[-2:] if n else np.zeros(0)
-        letters = sum(map(str.isalpha, text)) if chars < 64 else len(lower) - len(re.findall(r"[\W\d_]", lower))
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        kinds = _CLASS[raw]
+        capital, small, digit, sign, other, _ = np.bincount(kinds, minlength=6).tolist()
+        upper = kinds == 0
+        shouts = int((upper[1:] & upper[:-1]).sum() - (upper[2:] & upper[1:-1] & upper[:-2]).sum()) if len(raw) > 2 else 0
+        thrice = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (kinds[2:] < 2)
         return [
             len(hit) * per,
             float(((values >= 2.0) & (values < 2.5)).sum()) * per,
@@ -167,15 +180,15 @@ class _Reader:
             len(you) * per,
             unmasked * per,
             len(masked) * per,
-            len(_AGAIN.findall(lower)) * per,
-            sum(1 for _ in re.finditer(r"[A-Z]", text)) / chars,
-            len(re.findall(r"\b[A-Z]{2,}\b", text)) * per,
+            float(thrice.sum()) * per,
+            capital / chars,
+            shouts * per,
             text.count("!") * per,
             text.count("?") * per,
-            len(re.findall(r"[^\w\s]", text)) / chars,
-            len(re.findall(r"\d", text)) / chars,
+            sign / chars,
+            digit / chars,
             math.log1p(n),
-            letters * per,
+            (capital + small + other) * per,
         ]
 
 
@@ -212,27 +225,39 @@ class Model:
         return found.withColumn("score", score).drop("_vector", "rawPrediction", "probability", "prediction", "_raw", "_even")
 
 
-def _sample(labelled: DataFrame, bound: int) -> DataFrame:
-    """About ``bound`` rows of each class at most, by a hash of the id; distinct texts."""
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def _dice(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(name), "_id"), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _sample(known: DataFrame) -> DataFrame:
+    """Labelled ids for the lexicon and the trees: about LEXICON_TEXTS of each class and half, and TREE_TEXTS of all."""
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, bound / n))).otherwise(share)
-    dice = F.pmod(F.xxhash64(F.lit("lexicon"), "_id"), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.filter(dice < share).dropDuplicates(["text", "label"])
+        share = F.when(F.col("label") == label, F.lit(min(1.0, 2 * LEXICON_TEXTS / n))).otherwise(share)
+    trees = min(1.0, TREE_TEXTS / max(1, sum(counts.values())))
+    chosen = known.withColumns({"_words": _dice("words") < share, "_trees": _dice("trees") < trees})
+    return chosen.filter("_words or _trees")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learns from the labelled rows whose part is not ``held``."""
+    """Learns from the labelled rows whose part is not ``held``, at most about 4 x LEXICON_TEXTS + TREE_TEXTS of them.
+
+    Those ids, a bounded number, are broadcast to the texts, so no text is shuffled to be found.
+    """
     known = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["_id"])
     if held is not None:
         known = known.filter(part(F.col("_id")) != held)
     known = known.withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)))
-    labelled = docs.select(F.col(key).alias("_id"), "text").join(known, "_id")
-    sample = materialise(_sample(labelled, 2 * LEXICON_TEXTS), "toxic-sample")
+    chosen = F.broadcast(materialise(_sample(known), "toxic-ids"))
+    labelled = materialise(docs.select(F.col(key).alias("_id"), "text").join(chosen, "_id"), "toxic-texts")
+    sample = labelled.filter("_words").dropDuplicates(["text", "label"])
     halves = [lexicon(sample.filter(F.col("_half") == half)) for half in (0, 1)]
     odds = lexicon(sample)
-    seen = [features(labelled.filter(F.col("_half") == half), halves[1 - half], ["_id", "label"]) for half in (0, 1)]
+    seen = [
+        features(labelled.filter((F.col("_half") == half) & F.col("_trees")), halves[1 - half], ["_id", "label"])
+        for half in (0, 1)
+    ]
     rows = materialise(seen[0].unionByName(seen[1]), "toxic-features")
     sides = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(sides.values())

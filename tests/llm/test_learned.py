@@ -177,9 +177,10 @@ def test_toxicity_on_held_out_rows(labelled):
 
 def test_quality_on_held_out_rows(labelled):
     docs, labels = labelled
-    ensemble = quality.fit(docs, labels)
+    found = quality.with_statistics(docs, ["doc_id"])
+    ensemble = quality.fit(found, labels)
     assert 0 < len(ensemble.rules) + len(ensemble.linear) < 200
-    scored = quality.score(docs, ensemble)
+    scored = quality.score(found, ensemble)
     assert scored.count() == 904 and scored.filter("score is null or score < 0 or score > 1").count() == 0
     assert held(scored, lambda i: i % 5 != 0, 0.7) > 0.97
 
@@ -187,6 +188,7 @@ def test_quality_on_held_out_rows(labelled):
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_classifiers_without_labels(labelled, operator):
     docs, labels = labelled
+    docs = docs if operator is toxicity else quality.with_statistics(docs, ["doc_id"])
     one = labels.filter("quality = 1 and toxic = 0")
     for known in (labels.limit(0), one):
         scored = operator.score(docs, operator.fit(docs, known)).select("score").distinct().collect()
