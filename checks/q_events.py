@@ -212,19 +212,29 @@ def min_history(spark, d):
 
 @query(
     "dq_checks",
-    """SELECT 'negative_days' AS rule, count(*) FILTER (WHERE day < 0) AS violations FROM seqrows
-       UNION ALL SELECT 'null_person_ids', count(*) FILTER (WHERE person_id IS NULL) FROM patient
-       UNION ALL SELECT 'repeated_persons', 0
+    """SELECT 'negative_days' AS rule, count(*) FILTER (WHERE day < 0) AS violations
+         FROM (SELECT CASE WHEN person_id % 6 = 0 THEN -day ELSE day END AS day FROM seqrows UNION ALL SELECT day FROM seqrows WHERE person_id % 9 = 1)
+       UNION ALL SELECT 'null_person_ids', count(*) FILTER (WHERE person_id % 8 = 0) FROM patient
+       UNION ALL SELECT 'repeated_persons', count(DISTINCT person_id) FILTER (WHERE person_id % 9 = 1) FROM seqrows
        UNION ALL SELECT 'persons_in_several_splits', count(*) FROM
          (SELECT c_nationkey FROM customer JOIN splitmap ON c_custkey = omop_person_id GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
 )
 def dq_checks(spark, d):
+    """Rows that break each rule are planted: turned days, repeated persons, lost ids; nations stand in for split persons."""
     wide = timeline.parallel_arrays(st.sequences(spark, d))
-    # Nations stand in for persons here, so that the rule has something to find.
+    wide = wide.unionByName(wide.filter("person_id % 9 = 1"))
+    turned = F.when(F.col("person_id") % 6 == 0, F.transform("day_position_tokens", lambda x: -x)).otherwise(F.col("day_position_tokens"))
+    wide = wide.withColumn("day_position_tokens", turned)
+    people = st.patient(spark, d).withColumn("person_id", F.when(F.col("person_id") % 8 != 0, F.col("person_id")))
     c = st.table(spark, d, "customer")
     s = st.split_map(spark, d)
     members = s.join(c, s.omop_person_id == c.c_custkey).select(F.col("c_nationkey").alias("omop_person_id"), "split")
-    return quality.data_checks(wide, st.patient(spark, d), members)
+    return quality.data_checks(wide, people, members)
+
+
+@query("unique_keys", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def unique_keys(spark, d):
+    return quality.unique_key_violations(st.table(spark, d, "orders"), "o_custkey")
 
 
 @query(

@@ -95,6 +95,29 @@ def unit_factors(spark, d):
     return factors.withColumn("conversion_factor", F.round("conversion_factor", 9))
 
 
+# Unit texts and what they come to in kg, m3 and mol; null where they cannot be read.
+UNIT_TEXTS = [
+    ("mg/dL", 0.01), ("mg / dL", 0.01), ("mg/(dL)", 0.01), ("milligram/dL", 0.01), ("milligrams/deciliter", 0.01), ("grams/L", 1.0),
+    ("gram/liter", 1.0), ("g/L", 1.0), ("ug/mL", 0.001), ("microgram/milliliter", 0.001), ("ng/mL", 1e-6), ("nanograms / mL", 1e-6),
+    ("pg/mL", 1e-9), ("kg/m^3", 1.0), ("kg/m**3", 1.0), ("kg / m ^ 3", 1.0), ("mmol/L", 1.0), ("millimole/liter", 1.0), ("umol/L", 0.001),
+    ("mol/L", 1000.0), ("10^3/uL", 1e12), ("10*3/uL", 1e12), ("10**3/uL", 1e12), ("10^9/L", 1e12), ("10^6/mL", 1e12), ("1/L", 1000.0),
+    ("mL", 1e-6), ("milliliters", 1e-6), ("minutes", 60.0), ("hours", 3600.0), ("%", 0.01), ("cm^2", 1e-4), ("furlong", None), ("(g", None),
+]
+
+
+@query(
+    "unit_texts",
+    f"""SELECT t.unit, count(*) AS n, t.factor FROM lineitem JOIN (VALUES {", ".join(f"({i}, '{u}', {f if f is not None else 'NULL'}::DOUBLE)" for i, (u, f) in enumerate(UNIT_TEXTS))}) t(i, unit, factor)
+       ON l_partkey % {len(UNIT_TEXTS)} = t.i GROUP BY ALL""",
+)
+def unit_texts(spark, d):
+    texts = F.array(*[F.lit(u) for u, _ in UNIT_TEXTS])
+    used = st.table(spark, d, "lineitem").select(F.element_at(texts, (F.col("l_partkey") % len(UNIT_TEXTS) + 1).cast("int")).alias("unit"))
+    factors = labs.unit_factors(used, "unit")
+    counted = used.groupBy("unit").agg(F.count("*").alias("n")).join(factors, "unit")
+    return counted.select("unit", "n", labs._significant(F.col("factor"), 9).alias("factor"))
+
+
 @query(
     "unit_conversions",
     """SELECT lx_lab_code, lx_result_unit, lx_result_other_unit, round(conversion_factor::DOUBLE, 9) AS conversion_factor FROM conversion""",

@@ -151,11 +151,31 @@ def demographics_mapped(spark, d):
 
 @query(
     "demographics_violations",
-    """SELECT 0::BIGINT AS without_demographics, 0::BIGINT AS without_gender, 0::BIGINT AS repeated_kind, 0::BIGINT AS differing_dates
-       WHERE NOT EXISTS (SELECT 1 FROM raw WHERE code LIKE 'Gender/%' GROUP BY patient_id HAVING count(*) > 1)""",
+    """WITH planted AS (
+         SELECT patient_id, code, start FROM raw
+         WHERE NOT (patient_id::BIGINT % 7 = 0 AND code LIKE 'Gender/%') AND NOT (patient_id::BIGINT % 11 = 0 AND regexp_matches(code, 'Race|Gender|Ethnicity'))
+         UNION ALL SELECT patient_id, 'Race/9', start FROM raw WHERE patient_id::BIGINT % 5 = 0 AND code LIKE 'Race/%'
+         UNION ALL SELECT patient_id, 'Ethnicity/E9', start + INTERVAL 1 DAY FROM raw WHERE patient_id::BIGINT % 13 = 0 AND code LIKE 'Ethnicity/%'),
+       w AS (SELECT patient_id, count(*) FILTER (WHERE code LIKE '%Gender/%') AS ng, count(*) FILTER (WHERE code LIKE '%Race/%') AS nr,
+           count(*) FILTER (WHERE code LIKE '%Ethnicity/%') AS ne, max(start) FILTER (WHERE code LIKE '%Gender/%') AS gd,
+           max(start) FILTER (WHERE code LIKE '%Race/%') AS rd, max(start) FILTER (WHERE code LIKE '%Ethnicity/%') AS ed
+         FROM planted WHERE regexp_matches(code, 'Race|Gender|Ethnicity') GROUP BY 1),
+       e AS (SELECT DISTINCT p.patient_id, w.patient_id IS NULL AS missing, ng, nr, ne, gd, rd, ed FROM planted p LEFT JOIN w USING (patient_id))
+       SELECT count(*) FILTER (WHERE missing) AS without_demographics, count(*) FILTER (WHERE ng = 0) AS without_gender,
+         count(*) FILTER (WHERE ng > 1 OR nr > 1 OR ne > 1) AS repeated_kind, count(*) FILTER (WHERE gd <> rd OR ed <> rd) AS differing_dates FROM e""",
 )
 def demographics_violations(spark, d):
-    return _translated(spark, d).demographic_violations
+    """Rows that break each rule are planted among the raw events."""
+    raw = raw_codes.parse_times(st.raw_events(spark, d)).select("patient_id", "code", "start")
+    number, code = F.col("patient_id").cast("bigint"), F.col("code")
+    known = code.contains("Race") | code.contains("Gender") | code.contains("Ethnicity")
+    kept = raw.filter(~((number % 7 == 0) & code.startswith("Gender/")) & ~((number % 11 == 0) & known))
+    second = raw.filter((number % 5 == 0) & code.startswith("Race/")).withColumn("code", F.lit("Race/9"))
+    later = raw.filter((number % 13 == 0) & code.startswith("Ethnicity/")).select(
+        "patient_id", F.lit("Ethnicity/E9").alias("code"), (F.col("start") + F.expr("interval 1 day")).alias("start")
+    )
+    planted = kept.unionByName(second).unionByName(later)
+    return terms.demographics_violations(terms.demographics_wide(planted, strict=False), planted)
 
 
 def _translated(spark, d):

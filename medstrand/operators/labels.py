@@ -149,17 +149,12 @@ def matched_controls(
     sizes = candidates.dropna(subset=matching).groupBy(*matching).agg(F.count("*").alias("_n"))
     asked = hash_rank(keyed(cases, "case"), "_h", ["person_id"], by=matching, out="_rank")
     asked = salted_join(asked.drop("_h"), sizes, matching).withColumnRenamed("person_id", "case_id")
-    first = asked.withColumn("_slot", F.pmod(F.col("_rank") - 1, F.col("_n")))
-    met = first.join(pool, [*matching, "_slot"])
-    fine = met.filter("case_id <> control_id")
-    again = (
-        met.filter("case_id = control_id AND _n > 1")
-        .drop("control_id")
-        .withColumn("_slot", F.pmod(F.col("_slot") + 1, F.col("_n")))
-        .join(pool, [*matching, "_slot"])
-        .filter("case_id <> control_id")
-    )
-    pairs = fine.unionByName(again).select("case_id", "control_id", *matching, "_rank")
+    # The own slot and the next one, met in one join; a case takes the first that is not itself.
+    slots = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.struct(i.alias("try"), F.pmod(F.col("_rank") - 1 + i, F.col("_n")).alias("slot")))
+    tried = asked.withColumn("_s", F.explode(slots)).withColumns({"_try": F.col("_s.try"), "_slot": F.col("_s.slot")}).drop("_s")
+    met = tried.join(pool, [*matching, "_slot"]).filter("case_id <> control_id")
+    chosen = met.groupBy(*matching, "_rank", "case_id").agg(F.min_by("control_id", "_try").alias("control_id"))
+    pairs = chosen.select("case_id", "control_id", *matching, "_rank")
     if one_per_stratum:
         return (
             pairs.groupBy(*matching)

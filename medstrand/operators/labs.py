@@ -145,7 +145,7 @@ def unit_factors(units: DataFrame, column: str) -> DataFrame:
 
 def _significant(x: Column, digits: int = 12) -> Column:
     """Drop float noise beyond ``digits`` significant digits."""
-    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+    return F.format_string(f"%.{digits - 1}e", x).try_cast("double")
 
 
 def unit_counts(labs: DataFrame) -> DataFrame:

@@ -176,17 +176,19 @@ def lab_value_suffix(translated: DataFrame) -> DataFrame:
     return translated.withColumn("vocab_token", F.when(is_test, text).otherwise(F.col("vocab_token")))
 
 
-def _single(value: Column, kind: str) -> Column:
-    """The one value of a group; two different ones stop the job."""
+def _single(value: Column, kind: str, strict: bool) -> Column:
+    """The one value of a group; of two different ones the larger, or, when strict, none: the job stops."""
+    if not strict:
+        return F.max(value)
     twice = F.raise_error(F.lit(f"a patient has two values of {kind}")).cast("string")
     return F.when(F.min(value).eqNullSafe(F.max(value)), F.max(value)).otherwise(twice)
 
 
-def demographics_wide(raw: DataFrame) -> DataFrame:
+def demographics_wide(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Gender, race and ethnicity rows to one row per patient, in one conditional aggregate.
 
     ``n_<kind>`` counts how often each kind was given, for ``demographics_violations``. A patient
-    given two different codes of one kind stops the job.
+    given two different codes of one kind stops the job, unless a report of such is wanted.
     """
     kinds = {"gender": "Gender/", "race": "Race/", "ethnicity": "Ethnicity/"}
     aggregates = []
@@ -194,7 +196,7 @@ def demographics_wide(raw: DataFrame) -> DataFrame:
         here = F.col("code").contains(prefix)
         aggregates += [
             F.max(F.when(here, F.col("start"))).alias(f"{kind}_date"),
-            _single(F.when(here, F.col("code")), kind).alias(f"{kind}_code"),
+            _single(F.when(here, F.col("code")), kind, strict).alias(f"{kind}_code"),
             F.count(F.when(here, 1)).alias(f"n_{kind}"),
         ]
     some = codes.contains_any(F.col("code"), ["Race", "Gender", "Ethnicity"])

@@ -9,12 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medstrand import schema
 from medstrand.operators import events as ev
 from medstrand.operators import labs as lb
 from medstrand.operators import quality, timeline
 from medstrand.sources import sinks
 
 COLUMNS = ["person_id", "date", "general_event_token"]
+# Demographic columns a patient table may lack.
+OPTIONAL = ("px_race", "px_ethnicity", "px_gender", "px_region")
 EVENT_TABLES = ("diagnosis", "prescription", "procedure", "lab")
 
 
@@ -58,6 +61,9 @@ def prepare(
     """
     min_days = config["number_of_days_threshold"]
     selected = ev.select_columns(tables, config)
+    for name, df in selected.items():
+        if df is not None and name in schema.TABLES:
+            schema.require(df, schema.TABLES[name], OPTIONAL)
     kept = ev.filter_dates(ev.filter_rows(selected, config), config["event_date_filter"])
 
     lab_frame, tokens = None, ev.event_tokens(kept)

@@ -40,13 +40,18 @@ CODE_COLUMNS = {
 }
 
 
+def require(df: DataFrame, ddl: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as it is, if it has the columns of ``ddl``; else an error here, not later."""
+    missing = [name for name in (part.strip().split(" ", 1)[0] for part in ddl.split(",")) if name not in (*df.columns, *optional)]
+    if missing:
+        raise ValueError(f"missing columns {missing}; have {df.columns}")
+    return df
+
+
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Project ``df`` to the columns and types of ``ddl``; a missing column is an error here, not later."""
     fields = [part.strip().split(" ", 1) for part in ddl.split(",")]
-    missing = [name for name, _ in fields if name not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")
-    return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
+    return require(df, ddl).select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
 
 
 def sequence_element(date: Column, day: Column, token: Column) -> Column:
