@@ -75,12 +75,19 @@ def _select(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
         extra.append(a + int(grams[a:b].argmin()))
     chosen = np.concatenate((chosen, np.array(extra, dtype=np.int64))) if extra else chosen
     grams, first, owner = grams[chosen], first[chosen], owner[chosen]
-    # Of a seed that comes again within a window of itself only the first place stays.
+    # A seed that comes again within a window of itself, and so on, is a stretch that repeats itself. It
+    # stays at its first place, and from there every SPREAD words as a seed of its own, numbered from
+    # the first, so that it links to the first document whose stretch goes on as far.
     order = np.lexsort((first, grams, owner))
     grams, first, owner = grams[order], first[order], owner[order]
     keep = np.ones(len(grams), dtype=bool)
     keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(first) > SPREAD)
-    return grams[keep], first[keep]
+    at = np.flatnonzero(keep)
+    more = (first[np.append(at[1:], len(first)) - 1] - first[at]) // SPREAD
+    number = np.arange(len(at) + more.sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    grams, first = np.repeat(grams[at], more + 1), np.repeat(first[at], more + 1)
+    numbered = tx.mix(grams + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(number > 0, numbered, grams), first + SPREAD * number
 
 
 def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,6 +320,8 @@ def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> list[tu
     """
     parts: list[list[int]] = []
     for x, y in zip(xs, ys, strict=True):
+        if not np.array_equal(a[x : x + SEED_WORDS], b[y : y + SEED_WORDS]):
+            continue
         if parts:
             last = parts[-1]
             skip = max(0, last[1] - x, last[4] - y)  # seeds may overlap
