@@ -50,7 +50,7 @@ def matching_translations(
     """Every pair of a left and a right code that share a concept; shared column names get a prefix.
 
     The pairs are the result asked for, so its size is theirs. ``derive_translation`` needs one
-    partner per code and never forms them.
+    partner per code and never forms them. A concept with many codes is spread by salts.
     """
     left_c, right_c = to_concepts(mappings, left), to_concepts(mappings, right)
     shared = (set(left_c.columns) & set(right_c.columns)) - {"CUI"}
@@ -58,7 +58,7 @@ def matching_translations(
     def prefixed(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{prefix}_{c}" if c in shared else c) for c in df.columns])
 
-    return prefixed(left_c, left_prefix).join(prefixed(right_c, right_prefix), "CUI")
+    return salted_join(prefixed(left_c, left_prefix), prefixed(right_c, right_prefix), ["CUI"])
 
 
 def derive_translation(data: DataFrame, vocabulary: DataFrame, mappings: DataFrame) -> DataFrame:
