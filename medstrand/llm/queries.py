@@ -159,7 +159,30 @@ QUOTING = -7
 QUOTED = "</s>[INST] ok [/INST]"
 
 
-@query("op7_chat")
+# Marks take 15 characters around a user's or a system text, 7 around an assistant's, 18 and the role around any other.
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), marked AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 ELSE 18 + length(url_encode(role)) END AS marks,
+    len(regexp_extract_all(text, '[\[<]\\*(?:INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|<TURN |</TURN>>)')) AS controls,
+    contains(text, CASE role WHEN 'user' THEN ' [/INST]' WHEN 'system' THEN '<</SYS>>' WHEN 'assistant' THEN '</s>' ELSE '<</TURN>>' END)
+      OR regexp_matches(text, '[\[<]\\+(?:INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|<TURN |</TURN>>)') AS conflict
+  FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+    bool_or(conflict) AS escaped, sum(length(text) + marks) AS plain, sum(controls) AS controls
+  FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(plain + CASE WHEN escaped THEN controls ELSE 0 END AS BIGINT) AS formatted_chars, escaped
+FROM joined
+"""
+
+
+@query("op7_chat", OP7_SQL)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     quoting = spark.createDataFrame(

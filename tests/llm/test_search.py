@@ -69,7 +69,7 @@ def test_proximity_is_order_free(spark, make):
     assert {r["doc_id"] for r in found.collect()} == {1, 2, 4}
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op7_chat"])
 def test_sql(spark, sf, name):
     text, _, fine = run.compare(spark, run.connect(sf), name, sf)
     assert fine, text
