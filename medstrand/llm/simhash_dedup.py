@@ -14,7 +14,11 @@ share a shard: the search is exact.
 
 ``band_shards``: for a radius at which blocks would be too short to part anything, a shard is a
 band of three smallest shingle hashes; texts whose shingle sets are alike at 0.8 share one of 12
-bands in 9,998 of 10,000 cases. The links are then checked against the shingles themselves.
+bands in 9,998 of 10,000 cases. The links are then checked against the shingles themselves. That
+makes most groups at little cost. Shards whose members are then not all of one group are searched
+again without fingerprints: all their pairs of different groups that are alike are found through
+each text's rarest shingles, of which one must be shared, so no pair that shares a band is lost. A
+task holds the shingles of one such shard.
 
 The trees of all shards hold all fingerprints, which no broadcast may; each shard's tree is built
 in the task its members are shuffled to.
@@ -264,6 +268,101 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def alike_links(sets: list[np.ndarray], groups: list, likeness: float) -> list[tuple[int, int]]:
+    """Pairs of a shard's members that, with ``groups``, connect all whose distinct shingles are alike.
+
+    Sets of n shingles that are alike at ``likeness`` have ``likeness * n`` in common at least, so each
+    has one of those among its ``n - likeness * n + 1`` rarest; only these are indexed. Members of the
+    largest group are only searched for.
+    """
+    number: dict = {}
+    own = np.array([number.setdefault(g, len(number)) for g in groups])
+    largest = np.bincount(own).argmax()
+    order = np.argsort(own != largest, kind="stable")
+    sizes = np.array([len(sets[i]) for i in order])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    _, inverse, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranked = rank[inverse]
+    members = [np.sort(ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    heads = [m[: len(m) - int(np.ceil(likeness * len(m) - 1e-9)) + 1] for m in members]
+    keys = np.concatenate(heads)
+    holders = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    by_key = np.argsort(keys, kind="stable")
+    keys, holders = keys[by_key], holders[by_key]
+    parent = list(range(len(number)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    part = own[order].tolist()
+    marks = np.zeros(len(counts), dtype=bool)
+    out = []
+    for x in range(int((own == largest).sum()), len(members)):
+        low, high = np.searchsorted(keys, heads[x]), np.searchsorted(keys, heads[x], side="right")
+        reach = high - low
+        at = np.repeat(low - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+        others = np.unique(holders[at])
+        others = others[(others < x) & (np.minimum(sizes[others], sizes[x]) >= likeness * np.maximum(sizes[others], sizes[x]) - 1e-9)]
+        marks[members[x]] = True
+        while len(others):
+            mine = find(part[x])
+            others = others[[find(part[y]) != mine for y in others.tolist()]]
+            some, others = others[:256], others[256:]
+            if not len(some):
+                break
+            starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+            both = np.add.reduceat(marks[np.concatenate([members[y] for y in some])].astype(np.int64), starts)
+            for y in some[both >= likeness * (sizes[x] + sizes[some] - both)].tolist():
+                if find(part[x]) != find(part[y]):
+                    parent[find(part[y])] = find(part[x])
+                    out.append((int(order[x]), int(order[y])))
+        marks[members[x]] = False
+    return out
+
+
+def mixed_links(members: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Links ``a``, ``b`` between members of a shard and of different groups that are alike.
+
+    ``members`` has ``shard``, ``node``, its group's ``root`` and ``text``.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+
+    def linked(nodes: list, roots: list, sets: list[np.ndarray], like: pa.DataType) -> pa.RecordBatch:
+        found = alike_links(sets, roots, likeness) if len(set(roots)) > 1 else []
+        ends = [pa.array([nodes[pair[i]] for pair in found], like) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_shard, held = None, ([], [], [])
+        like = pa.binary()
+        for batch in batches:
+            like = batch.column(1).type
+            for shard, node, root, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if shard.as_py() != open_shard:
+                    yield linked(*held, like)
+                    open_shard, held = shard.as_py(), ([], [], [])
+                held[0].append(node.as_py())
+                held[1].append(root.as_py())
+                held[2].append(np.unique(shingle_hashes(text.as_py(), words)))
+        yield linked(*held, like)
+
+    dealt = members.select("shard", "node", "root", "text").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``digest`` and ``text`` of the wanted digests, one row each."""
+    wanted = wanted.join(members.select("digest", "_least"), "digest").withColumnRenamed("digest", "_wanted")
+    same = (F.col("digest") == F.col("_wanted")) & F.col("_key").eqNullSafe(F.col("_least"))
+    own = docs.select("digest", F.col(key).alias("_key"), "text")
+    return own.join(wanted, same).select("digest", "text").dropDuplicates(["digest"])
+
+
 def like_groups(
     docs: DataFrame, words: int = SHINGLE_WORDS, likeness: float = LIKENESS, radius: int = LIKE_RADIUS, key: str = "doc_id"
 ) -> DataFrame:
@@ -280,19 +379,21 @@ def like_groups(
     shards = members.select(F.col("digest").alias("node"), "fp", F.explode("bands").alias("shard"))
     links = materialise(shard_links(shards, radius, nearest=True), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    wanted = ends.join(members.select("digest", "_least"), "digest")
     # One row of each text that has a link.
-    texts = (
-        docs.select("digest", F.col(key).alias("_key"), "text")
-        .join(wanted.withColumnRenamed("digest", "_wanted"), (F.col("digest") == F.col("_wanted")) & F.col("_key").eqNullSafe(F.col("_least")))
-        .select("digest", "text")
-        .dropDuplicates(["digest"])
-    )
-    texts = materialise(texts, "texts")
+    texts = materialise(_texts(docs, members, ends, key), "texts")
     paired = links.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("a_text")), "a").join(
         texts.select(F.col("digest").alias("b"), F.col("text").alias("b_text")), "b"
     )
     roots = components(_alike(paired, words, likeness).distinct()).withColumnRenamed("node", "digest")
+    # Shards in which groups are left that may still be alike.
+    rooted = members.select("digest", "bands").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    banded = materialise(rooted.select("digest", "root", F.explode("bands").alias("shard")), "banded")
+    several = banded.groupBy("shard").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    mixed = materialise(banded.join(several.select("shard"), "shard"), "mixed")
+    texts = materialise(_texts(docs, members, mixed.select("digest").distinct(), key), "texts")
+    rest = mixed_links(mixed.join(texts, "digest").withColumnRenamed("digest", "node"), words, likeness)
+    joined = roots.select(F.col("digest").alias("a"), F.col("root").alias("b")).unionByName(rest)
+    roots = components(joined).withColumnRenamed("node", "digest")
     return members.select("digest", "_least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 

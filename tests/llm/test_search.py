@@ -212,3 +212,43 @@ def test_chain_takes_matches_in_order():
     parts = substring_dedup.chain(xs, ys)
     assert parts[0] == [0, 1, 3, 4] and parts[1] == [2]
     assert substring_dedup.chain([0, 10, 500], [0, 10, 500]) in ([[0, 1], [2]], [[0, 1], [2]])
+
+
+def shingles(text, n=5):
+    listed = text.lower().split()
+    return {" ".join(listed[i : i + n]) for i in range(max(1, len(listed) - n + 1))}
+
+
+def like_components(texts):
+    """Group of each text: all pairs at 0.8 or more are linked."""
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            parent[find(j)] = find(i)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_families_around_the_likeness_match_brute_force(make):
+    rng = np.random.default_rng(4)
+    texts = []
+    for family in range(4):
+        base = prose(300 + family, 200).split()
+        for _ in range(60):
+            copy = list(base)
+            for at in rng.choice(200, int(rng.integers(2, 9)), replace=False):
+                copy[at] = f"edit{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    docs = make(list(enumerate(texts)))
+    narrow = docs.select("doc_id", "text", simhash_dedup.digest(docs["text"]).alias("digest"))
+    got = {r["_least"]: bytes(r["root"]) for r in simhash_dedup.like_groups(narrow).collect()}
+    want = like_components(texts)
+    pairs = list(combinations(range(len(texts)), 2))
+    assert [got[i] == got[j] for i, j in pairs] == [want[i] == want[j] for i, j in pairs]
+    assert 4 < len(set(want)) < len(texts)
