@@ -16,7 +16,7 @@ share a shard: the search is exact.
 band of three smallest shingle hashes; texts whose shingle sets are alike at 0.8 share one of 12
 bands in 9,998 of 10,000 cases. The links are then checked against the shingles themselves. That
 makes most groups at little cost. Shards whose members are then not all of one group are searched
-again without fingerprints: all their pairs of different groups that are alike are found through
+again without fingerprints, at any distance of these: all their pairs of different groups that are alike are found through
 each text's rarest shingles, of which one must be shared, so no pair that shares a band is lost. A
 task holds the shingles of one such shard.
 
@@ -94,11 +94,13 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def fingerprint(docs: DataFrame, words: int, columns: list[str], text: str = "text", with_bands: bool = False) -> DataFrame:
-    """``columns`` and ``fp``, a signed 64-bit fingerprint; with bands also ``bands``."""
+    """``columns`` and ``fp``, a signed 64-bit fingerprint; with bands also ``bands``, and of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = (shingle_hashes(x, words) for x in batch.column(len(columns)).to_pylist())
+            if with_bands:
+                hashed = map(np.unique, hashed)
             found = [(simhash(h), bands(h) if with_bands else None) for h in hashed]
             out = [batch.column(i) for i in range(len(columns))]
             out.append(pa.array([f for f, _ in found], pa.int64()))

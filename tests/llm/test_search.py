@@ -252,3 +252,12 @@ def test_families_around_the_likeness_match_brute_force(make):
     pairs = list(combinations(range(len(texts)), 2))
     assert [got[i] == got[j] for i, j in pairs] == [want[i] == want[j] for i, j in pairs]
     assert 4 < len(set(want)) < len(texts)
+
+
+def test_repeated_lines_do_not_part_like_texts(make):
+    texts = []
+    for i in range(6):
+        body, line = prose(400 + i, 400), f" line{i} " + prose(500 + i, 15)
+        texts += [(10 * i, body + line), (10 * i + 1, body + line * 20), (10 * i + 2, body + line * 50)]
+    kept = simhash_dedup.deduplicate(make(texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * i for i in range(6)]
