@@ -4,8 +4,9 @@
    passages of ``SEED_WORDS + SPREAD - 1`` words or more share a seed wherever they stand.
 2. Each seed links a document to the first document (smallest id) that holds it: one link for each
    place, however many documents share it, so no pairs are formed.
-3. Links of two documents are chained in order in both: a Fenwick tree over places in the first
-   document keeps the best chain that ends before a place, and gaps cost by their length.
+3. Links of two documents are chained in order in both: a tree of maxima over places in the first
+   document keeps the best chain that ends near before a place, and gaps cost by their length.
+   Matches that are too far back are taken out of the tree.
 4. Chains are aligned word by word between their seeds and beyond their ends, which finds where
    fuzzy passages begin and end, and parts chains where too much differs.
 5. The aligned parts of a document, whichever document they were found in, are united; runs of
@@ -19,6 +20,7 @@ passages. An empty table gives no rows. ``cut`` keeps all other columns.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,25 +136,41 @@ def links(found: DataFrame) -> DataFrame:
     return found.join(shared, "seed").filter("_row <> f_row").select("_row", "doc_id", "pos", "f_row", "f_doc", "f_pos")
 
 
-class _Fenwick:
-    """Largest value, and its number, among keys below a bound."""
+class _Maxima:
+    """Largest value, and its number, in a range of keys; values can be taken out again."""
 
     def __init__(self, size: int):
-        self.best = [(-1e18, -1)] * (size + 1)
+        self.size = size
+        self.best = [(-1e18, -1)] * (2 * size)
+        self.held: list[list[tuple[float, int]]] = [[] for _ in range(size)]
+
+    def _lift(self, key: int) -> None:
+        at = key + self.size
+        self.best[at] = max(self.held[key], default=(-1e18, -1))
+        while at > 1:
+            at >>= 1
+            self.best[at] = max(self.best[2 * at], self.best[2 * at + 1])
 
     def put(self, key: int, value: float, number: int) -> None:
-        key += 1
-        while key < len(self.best):
-            if value > self.best[key][0]:
-                self.best[key] = (value, number)
-            key += key & -key
+        self.held[key].append((value, number))
+        self._lift(key)
+
+    def take(self, key: int, value: float, number: int) -> None:
+        self.held[key].remove((value, number))
+        self._lift(key)
 
-    def below(self, key: int) -> tuple[float, int]:
+    def between(self, low: int, high: int) -> tuple[float, int]:
+        """Of the keys from ``low`` on and below ``high``."""
         out = (-1e18, -1)
-        while key > 0:
-            if self.best[key][0] > out[0]:
-                out = self.best[key]
-            key -= key & -key
+        low, high = low + self.size, high + self.size
+        while low < high:
+            if low & 1:
+                out = max(out, self.best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                out = max(out, self.best[high])
+            low, high = low >> 1, high >> 1
         return out
 
 
@@ -163,22 +181,26 @@ def chain(xs: list[int], ys: list[int]) -> list[list[int]]:
         return [[0]]
     if all(0 < xs[i] - xs[i - 1] <= MAX_GAP and ys[i] - ys[i - 1] == xs[i] - xs[i - 1] for i in range(1, n)):
         return [list(range(n))]
-    rank = {y: i for i, y in enumerate(sorted(set(ys)))}
-    tree = _Fenwick(len(rank))
-    score, before = [0.0] * n, [-1] * n
-    i = 0
+    heights = sorted(set(ys))
+    rank = {y: i for i, y in enumerate(heights)}
+    tree = _Maxima(len(heights))
+    worth, score, before = [0.0] * n, [0.0] * n, [-1] * n
+    i = gone = 0
     while i < n:
+        while xs[i] - xs[gone] > MAX_GAP:  # too far for this match and all later ones
+            tree.take(rank[ys[gone]], worth[gone], gone)
+            gone += 1
         stop = i
         while stop < n and xs[stop] == xs[i]:  # equal places do not follow each other
             at = GAP_COST * (xs[stop] + ys[stop])
-            value, j = tree.below(rank[ys[stop]])
+            value, j = tree.between(bisect_left(heights, ys[stop] - 2 * MAX_GAP), rank[ys[stop]])
             score[stop] = SEED_WORDS
-            near = j >= 0 and xs[stop] - xs[j] <= MAX_GAP and ys[stop] - ys[j] <= 2 * MAX_GAP
-            if near and value - at > 0:
+            if j >= 0 and value - at > 0:
                 score[stop], before[stop] = SEED_WORDS + value - at, j
             stop += 1
         for k in range(i, stop):
-            tree.put(rank[ys[k]], score[k] + GAP_COST * (xs[k] + ys[k]), k)
+            worth[k] = score[k] + GAP_COST * (xs[k] + ys[k])
+            tree.put(rank[ys[k]], worth[k], k)
         i = stop
     used, out = [False] * n, []
     for end in sorted(range(n), key=lambda k: -score[k]):

@@ -261,3 +261,12 @@ def test_repeated_lines_do_not_part_like_texts(make):
         texts += [(10 * i, body + line), (10 * i + 1, body + line * 20), (10 * i + 2, body + line * 50)]
     kept = simhash_dedup.deduplicate(make(texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * i for i in range(6)]
+
+
+def test_chain_finds_a_second_passage_after_a_long_one():
+    first = list(range(0, 120, 8))
+    second = [220, 231, 240, 252, 263, 271, 280]
+    xs = first + second
+    ys = [x + 1000 for x in first] + [x + 1030 + (x > 250) * 4 for x in second]
+    parts = substring_dedup.chain(xs, ys)
+    assert sorted(parts) == [list(range(15)), list(range(15, 22))]
