@@ -9,7 +9,10 @@
    Matches that are too far back are taken out of the tree.
 4. Chains are aligned word by word between their seeds and beyond their ends, which finds where
    fuzzy passages begin and end, and parts chains where too much differs.
-5. The aligned parts of a document, whichever document they were found in, are united; runs of
+5. Where shared seeds may make a passage that the chains have not, all runs of MIN_WORDS words are
+   compared whole: each links to the first document that holds all of it. So a passage whose seeds
+   others held first is found, word by word.
+6. The aligned parts of a document, whichever document they were found in, are united; runs of
    MIN_WORDS words or more are passages. The first document keeps its own.
 
 Words are runs of letters and digits (every character outside ASCII counts), lower-cased over ASCII.
@@ -20,8 +23,8 @@ passages. An empty table gives no rows. ``cut`` keeps all other columns.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +118,7 @@ def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def links(found: DataFrame) -> DataFrame:
-    """Places of seeds that another document held first: ``_row, doc_id, pos, f_row, f_doc, f_pos``.
+    """Places of seeds that another document held first: ``seed, _row, doc_id, pos, f_row, f_doc, f_pos``.
 
     ``found`` is the stored table of ``seeds``. First places are minima with map-side combine; the
     join is an ordinary one whose hot seeds can be split.
@@ -133,7 +136,7 @@ def links(found: DataFrame) -> DataFrame:
         )
     )
     shared = materialise(shared, "shared-seeds")
-    return found.join(shared, "seed").filter("_row <> f_row").select("_row", "doc_id", "pos", "f_row", "f_doc", "f_pos")
+    return found.join(shared, "seed").filter("_row <> f_row").select("seed", "_row", "doc_id", "pos", "f_row", "f_doc", "f_pos")
 
 
 class _Maxima:
@@ -335,8 +338,8 @@ def _go_on(a: np.ndarray, b: np.ndarray) -> int:
     return at
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> list[tuple[int, int, int, int]]:
-    """Parts of a chain that hold together: ``(from, to, matched words, from in b)``.
+def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Parts of a chain that hold together: ``(from, to, matched words, from in b, to in b)``.
 
     ``a`` and ``b`` are the two stretches, ``xs`` and ``ys`` the seeds' places in them.
     """
@@ -363,11 +366,11 @@ def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int]) -> list[tu
         back = _go_on(a[max(0, x - room) : x][::-1], b[:y][::-1])
         room = (parts[number + 1][0] if number + 1 < len(parts) else len(a)) - stop
         on = _go_on(a[stop : stop + max(0, room)], b[y_stop:])
-        out.append((x - back, stop + on, met + back + on, y - back))
+        out.append((x - back, stop + on, met + back + on, y - back, y_stop + on))
     return out
 
 
-ALIGNED = "_row long, doc_id long, f_doc long, start int, stop int, matched int, f_start int"
+ALIGNED = "_row long, doc_id long, f_row long, f_doc long, start int, stop int, matched int, f_start int, f_stop int"
 
 
 def aligned(docs: DataFrame, chained: DataFrame) -> DataFrame:
@@ -389,31 +392,153 @@ def aligned(docs: DataFrame, chained: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for row, doc, f_doc, xs, ys, lo, f_lo, words, f_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[] for _ in range(9)]
+            for row, doc, f_row, f_doc, xs, ys, lo, f_lo, words, f_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.frombuffer(words, dtype=np.uint32), np.frombuffer(f_words, dtype=np.uint32)
                 x0, y0 = max(lo, 0), max(f_lo, 0)
-                for start, stop, met, f_start in align(a, b, [x - x0 for x in xs], [y - y0 for y in ys]):
-                    for column, value in zip(out, (row, doc, f_doc, start + x0, stop + x0, met, f_start + y0), strict=True):
+                for start, stop, met, f_start, f_stop in align(a, b, [x - x0 for x in xs], [y - y0 for y in ys]):
+                    part = (row, doc, f_row, f_doc, start + x0, stop + x0, met, f_start + y0, f_stop + y0)
+                    for column, value in zip(out, part, strict=True):
                         column.append(value)
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [c.split()[0] for c in ALIGNED.split(", ")]
             )
 
-    columns = ["_row", "doc_id", "f_doc", "xs", "ys", "lo", "f_lo", "words", "f_words"]
+    columns = ["_row", "doc_id", "f_row", "f_doc", "xs", "ys", "lo", "f_lo", "words", "f_words"]
     return paired.select(*columns).mapInArrow(run, ALIGNED)
 
 
-def passages(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Passages of documents that earlier ones hold: ``_row, doc_id, start, n_words, matched_words, first_docs``.
+def _by_document(rows: DataFrame, order: list[str], work: Callable[[list[list]], list[tuple]], schema: str) -> DataFrame:
+    """What ``work`` makes of the columns of each ``_row``, the first column, in order."""
 
-    ``start`` counts words from 0; ``first_docs`` are the ids of the documents that held parts first.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in columns]
+        fields = [(name, kinds[of]) for name, of in (x.split(" ", 1) for x in schema.split(", "))]
+
+        def record(made: list[tuple]) -> pa.RecordBatch:
+            values = zip(*made, strict=True) if made else [()] * len(fields)
+            arrays = [pa.array(v, kind) for v, (_, kind) in zip(values, fields, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+        for batch in batches:
+            made: list[tuple] = []
+            rows = [c.to_pylist() for c in batch.columns]
+            for i, row in enumerate(rows[0]):
+                if held[0] and held[0][0] != row:
+                    made += work(held)
+                    held = [[] for _ in columns]
+                for column, values in zip(held, rows, strict=True):
+                    column.append(values[i])
+            yield record(made)
+        yield record(work(held) if held[0] else [])
+
+    columns = rows.columns
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+    return rows.repartition("_row").sortWithinPartitions("_row", *order).mapInArrow(run, schema)
+
+
+# Words by which a passage may reach over its first and over its last seed's place.
+BEFORE, AFTER = SPREAD - 1, SEED_WORDS + SPREAD - 1
+
+
+def _spans(places: list[int], least: int) -> list[tuple[int, int]]:
+    """Stretches of ``least`` words or more in which all seeds may be among the ascending places."""
+    out, first = [], 0
+    for i in range(1, len(places) + 1):
+        # Twice as far as chosen seeds lie apart, as those of a stretch that repeats itself are numbered anew.
+        if i == len(places) or places[i] - places[i - 1] > 2 * SPREAD:
+            lo, hi = max(0, places[first] - BEFORE), places[i - 1] + AFTER
+            if hi - lo >= least:
+                out.append((lo, hi))
+            first = i
+    return out
+
+
+def open_seeds(linked: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """Distinct ``seed`` of links from which a passage with a word outside the known ones may be made."""
+
+    def work(held: list[list]) -> list[tuple]:
+        _, seeds, starts, stops = held
+        covered: list[list[int]] = []
+        for seed, a, b in zip(seeds, starts, stops, strict=True):
+            if seed is None:
+                if covered and a <= covered[-1][1]:
+                    covered[-1][1] = max(covered[-1][1], b)
+                else:
+                    covered.append([a, b])
+        places = [(a, seed) for seed, a in zip(seeds, starts, strict=True) if seed is not None]
+        begins, found, at = [a for a, _ in covered], [], 0
+        for lo, hi in _spans([a for a, _ in places], least):
+            while at < len(places) and places[at][0] < lo:
+                at += 1
+            while at < len(places) and places[at][0] < hi:
+                # All windows of ``least`` words that hold the seed.
+                a, b = max(lo, places[at][0] + SEED_WORDS - least), min(hi, places[at][0] + least)
+                i = bisect_right(begins, a) - 1
+                if i < 0 or covered[i][1] < b:
+                    found.append((places[at][1],))
+                at += 1
+        return found
+
+    none = F.lit(None).cast("long")
+    both = linked.select("_row", "seed", F.col("pos").alias("start"), F.col("pos").alias("stop")).unionByName(
+        known.select("_row", none.alias("seed"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    )
+    return _by_document(both, ["start", "stop"], work, "seed long").distinct()
+
+
+def whole_parts(docs: DataFrame, found: DataFrame, wanted: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Runs of ``least`` words that an earlier document holds word by word, as ``aligned`` gives parts.
+
+    ``wanted`` are the seeds in question; every document's stretches whose seeds are among them are
+    looked at. A run links to the first document that holds all of it, so nothing is lost where
+    its seeds were first held by others.
     """
-    found = materialise(seeds(docs, key, text), "seeds")
-    chained = materialise(chains(links(found)), "chains")
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = materialise(aligned(named, chained), "aligned")
+
+    def work(held: list[list]) -> list[tuple]:
+        spans = _spans(held[1], least)
+        return [(held[0][0], [lo for lo, _ in spans], [hi for _, hi in spans])] if spans else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for start, stop, words in tx.words(batch.column(2), tx.WORD_BYTES):
+                grams, first = tx.windows(words, least)
+                use = np.zeros(len(first), dtype=bool)
+                begins = np.searchsorted(first, words.first)
+                for i in np.flatnonzero(words.count >= least).tolist():
+                    own = use[begins[i] : begins[i + 1]]
+                    for lo, hi in zip(lows[start + i], highs[start + i], strict=True):
+                        own[lo : hi - least + 1] = True
+                grams, first = grams[use], first[use]
+                at = pa.array(start + words.text[first]) if len(first) else pa.array([], pa.int64())
+                columns = [pa.array(grams.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(words.place[first].astype(np.int32))], ["gram", "_row", "doc_id", "pos"]
+                )
+
+    places = found.join(wanted, "seed").select("_row", "pos")
+    spans = _by_document(places, ["pos"], work, "_row long, lows array<int>, highs array<int>").withColumnRenamed("_row", "_asked")
+    own = docs.select(document(key, text).alias("_row"), F.col(key).cast("long").alias("doc_id"), text)
+    asked = own.join(spans, F.col("_row") == F.col("_asked")).select("_row", "doc_id", text, "lows", "highs")
+    grams = materialise(asked.mapInArrow(run, "gram long, _row long, doc_id long, pos int"), "grams")
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row", "pos")
+    first = grams.groupBy("gram").agg(F.min(place).alias("_first"), F.min("_row").alias("_low"), F.max("_row").alias("_high"))
+    first = first.filter("_low <> _high").select("gram", "_first")
+    return (
+        grams.join(first, "gram")
+        .filter("_row <> _first._row")
+        .select(
+            "_row", "doc_id", F.col("_first._row").alias("f_row"), F.col("_first.doc_id").alias("f_doc"),
+            F.col("pos").alias("start"), (F.col("pos") + least).alias("stop"), F.lit(least).alias("matched"),
+            F.col("_first.pos").alias("f_start"), (F.col("_first.pos") + least).alias("f_stop"),
+        )
+    )
+
+
+def united(parts: DataFrame, least: int) -> DataFrame:
+    """Parts of a document that touch, whichever document they were found in, as one: ``start``, ``stop`` and more."""
     order = Window.partitionBy("_row").orderBy("start", "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = parts.withColumn("_new", (F.col("start") > F.coalesce(reached, F.lit(-1 - BRIDGE)) + BRIDGE).cast("int"))
@@ -422,12 +547,33 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text:
         islands.groupBy("_row", "doc_id", "_island")
         .agg(
             F.min("start").alias("start"),
-            (F.max("stop") - F.min("start")).cast("long").alias("n_words"),
+            F.max("stop").alias("stop"),
             F.least(F.sum("matched"), F.max("stop") - F.min("start")).cast("long").alias("matched_words"),
             F.sort_array(F.collect_set("f_doc")).alias("first_docs"),
         )
-        .filter(F.col("n_words") >= least)
-        .select("_row", "doc_id", F.col("start").cast("long").alias("start"), "n_words", "matched_words", "first_docs")
+        .filter(F.col("stop") - F.col("start") >= least)
+    )
+
+
+def passages(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Passages of documents that earlier ones hold: ``_row, doc_id, start, n_words, matched_words, first_docs``.
+
+    ``start`` counts words from 0; ``first_docs`` are the ids of the documents that held parts first.
+    """
+    found = materialise(seeds(docs, key, text), "seeds")
+    linked = materialise(links(found), "seed-links")
+    chained = materialise(chains(linked), "chains")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = materialise(aligned(named, chained), "aligned")
+    asked = materialise(open_seeds(linked, united(parts, least), least), "open-seeds")
+    whole = materialise(whole_parts(named, found, asked, least), "whole-parts")
+    return united(parts.unionByName(whole), least).select(
+        "_row",
+        "doc_id",
+        F.col("start").cast("long").alias("start"),
+        (F.col("stop") - F.col("start")).cast("long").alias("n_words"),
+        "matched_words",
+        "first_docs",
     )
 
 

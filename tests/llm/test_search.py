@@ -270,3 +270,12 @@ def test_chain_finds_a_second_passage_after_a_long_one():
     ys = [x + 1000 for x in first] + [x + 1030 + (x > 250) * 4 for x in second]
     parts = substring_dedup.chain(xs, ys)
     assert sorted(parts) == [list(range(15)), list(range(15, 22))]
+
+
+def test_passages_whose_seeds_others_held_first(make):
+    shared = prose(600, 56).split()
+    # Every document before the holder has twenty words of the passage, none has fifty.
+    texts = [(i, prose(610 + i, 30) + " " + " ".join(shared[at : at + 20]) + " " + prose(640 + i, 30)) for i, at in enumerate(range(0, 40, 4))]
+    texts += [(50, prose(700, 40) + " " + " ".join(shared) + " " + prose(701, 40)), (60, prose(702, 33) + " " + " ".join(shared) + " " + prose(703, 30))]
+    got = {r["doc_id"]: (r["start"], r["n_words"], list(r["first_docs"])) for r in substring_dedup.passages(make(texts)).collect()}
+    assert 50 in got[60][2] and got[60][0] <= 33 and got[60][0] + got[60][1] >= 89
