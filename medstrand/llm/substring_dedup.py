@@ -12,8 +12,9 @@
 5. Where shared seeds may make a passage that the chains have not, all runs of MIN_WORDS words are
    compared whole: each links to the first document that holds all of it. So a passage whose seeds
    others held first is found, word by word.
-6. The aligned parts of a document, whichever document they were found in, are united; runs of
-   MIN_WORDS words or more are passages. The first document keeps its own.
+6. Parts that go on in the same earlier document as they do here are joined to runs. Runs of MIN_WORDS
+   words or more, whichever document they were found in, are united to passages. The first document
+   keeps its own.
 
 Words are runs of letters and digits (every character outside ASCII counts), lower-cased over ASCII.
 A document is its id and text: rows that repeat both are one document, and stay or are cut alike.
@@ -537,6 +538,30 @@ def whole_parts(docs: DataFrame, found: DataFrame, wanted: DataFrame, least: int
     )
 
 
+def runs(parts: DataFrame, least: int) -> DataFrame:
+    """Parts that go on in one earlier document as they do here, joined; those of ``least`` words or more."""
+
+    def work(held: list[list]) -> list[tuple]:
+        done: list[list] = []
+        reaching: list[list] = []  # runs of the same earlier document that a part may still carry on
+        for part in zip(*held, strict=True):
+            _, _, f_row, _, start, stop, matched, f_start, f_stop = part
+            reaching = [r for r in reaching if r[2] == f_row and r[5] + BRIDGE >= start]
+            for r in reaching:
+                if abs(f_start - start - (r[8] - r[5])) <= BRIDGE and f_start <= r[8] + BRIDGE:
+                    r[6] += max(0, matched - max(0, min(stop, r[5]) - start))
+                    if stop > r[5]:
+                        r[5], r[8] = stop, f_stop
+                    break
+            else:
+                done.append(list(part))
+                reaching.append(done[-1])
+        return [tuple(r) for r in done if r[5] - r[4] >= least]
+
+    columns = [c.split()[0] for c in ALIGNED.split(", ")]
+    return _by_document(parts.select(*columns), ["f_row", "start", "stop", "f_start"], work, ALIGNED)
+
+
 def united(parts: DataFrame, least: int) -> DataFrame:
     """Parts of a document that touch, whichever document they were found in, as one: ``start``, ``stop`` and more."""
     order = Window.partitionBy("_row").orderBy("start", "stop")
@@ -565,9 +590,9 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text:
     chained = materialise(chains(linked), "chains")
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = materialise(aligned(named, chained), "aligned")
-    asked = materialise(open_seeds(linked, united(parts, least), least), "open-seeds")
+    asked = materialise(open_seeds(linked, runs(parts, least), least), "open-seeds")
     whole = materialise(whole_parts(named, found, asked, least), "whole-parts")
-    return united(parts.unionByName(whole), least).select(
+    return united(runs(parts.unionByName(whole), least), least).select(
         "_row",
         "doc_id",
         F.col("start").cast("long").alias("start"),

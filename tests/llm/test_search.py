@@ -279,3 +279,12 @@ def test_passages_whose_seeds_others_held_first(make):
     texts += [(50, prose(700, 40) + " " + " ".join(shared) + " " + prose(701, 40)), (60, prose(702, 33) + " " + " ".join(shared) + " " + prose(703, 30))]
     got = {r["doc_id"]: (r["start"], r["n_words"], list(r["first_docs"])) for r in substring_dedup.passages(make(texts)).collect()}
     assert 50 in got[60][2] and got[60][0] <= 33 and got[60][0] + got[60][1] >= 89
+
+
+def test_lines_of_several_documents_are_no_passage(make):
+    lines = [prose(800 + i, 30) for i in range(4)]
+    texts = [(i, prose(810 + i, 40) + "\n" + line + "\n" + prose(820 + i, 40)) for i, line in enumerate(lines)]
+    texts += [(10, "\n".join(lines)), (11, prose(830, 20) + "\n" + lines[2] + "\n" + lines[0]), (12, lines[1] + " " + lines[2])]
+    got = {r["doc_id"]: (r["start"], r["n_words"], list(r["first_docs"])) for r in substring_dedup.passages(make(texts)).collect()}
+    # Only 12 holds 60 words as an earlier document, 10, has them in a run.
+    assert set(got) == {12} and got[12][:2] == (0, 60) and 10 in got[12][2]
