@@ -5,8 +5,8 @@ links; lines in zones that are never article text (menus, headers, footers, side
 adverts, notices, reader comments, found by element name or by class and id) weigh nothing, and
 where a page has an ``article`` or ``main`` element, lines outside of it weigh nothing either.
 Weights are summed over sliding windows of WINDOW lines. Text surges where a window's sum first
-passes the level, and dives where the windows over a line no longer do; the lines between that have
-weight are kept, in page order. With an ``article`` or ``main`` the level is 0, so its shortest blocks
+passes the level, and dives for good where no later one does; from the first line with weight to the last
+between these, all lines outside zones are kept, in page order, however short. With an ``article`` or ``main`` the level is 0, so its shortest blocks
 stay; else it is LEVEL characters or a quarter of the page's largest window, whichever is less.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
@@ -55,6 +55,7 @@ _MARK = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.IGNORECASE)
+_HREF = re.compile(r"""(?<![\w-])href\s*=""", re.IGNORECASE)
 _PIECE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -71,13 +72,16 @@ def _is_zone(name: str, attributes: str, in_article: bool) -> bool:
     )
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page as (text, weight, in an article or main element); zones weigh nothing."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Lines of a page as (text, weight, in an article or main element, in a zone); zones weigh nothing."""
+    out: list[tuple[str, int, bool, bool]] = []
     # Open containers as (name, whether it is a zone, whether it is an article).
     stack: list[tuple[str, bool, bool]] = []
     zones = articles = 0
     links, linked, in_block = 0, 0, False
+    # The open block that is no container; the one the link began in, and blocks opened since.
+    block_name = link_in = None
+    link_depth = 0
     parts: list[str] = []
 
     def end_line() -> None:
@@ -85,7 +89,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, 0 if zones else max(0, len(text) - linked), articles > 0))
+                out.append((text, 0 if zones else max(0, len(text) - linked), articles > 0, zones > 0))
             parts.clear()
         linked = 0
 
@@ -108,9 +112,22 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "br":
             parts.append(" ")
         if name == "a":
-            links = 0 if mark["end"] else 1
+            # A named place is no link.
+            links = int(not mark["end"] and bool(_HREF.search(attributes)))
+            link_in, link_depth = block_name, 0
         if name in _BREAKS:
             end_line()
+            # A link that is not closed ends with the block it began in.
+            if mark["end"]:
+                links = links if link_depth else 0
+                link_depth = max(0, link_depth - 1)
+                block_name = None
+            elif name == link_in:
+                links = 0
+            elif name != "hr":
+                link_depth += 1
+            if not mark["end"]:
+                block_name = None if name in _CONTAINERS or name == "hr" else name
         if name in _CONTAINERS:
             zones -= in_block
             in_block = False
@@ -143,23 +160,22 @@ def main_text(page: str | None, window: int = WINDOW, level: int = LEVEL) -> str
     found = lines(page or "")
     if not found:
         return ""
-    if any(inside and weight for _, weight, inside in found):
-        weights, level = [weight if inside else 0 for _, weight, inside in found], 0
+    if any(inside and weight for _, weight, inside, _ in found):
+        weights, level = [weight if inside else 0 for _, weight, inside, _ in found], 0
     else:
-        weights = [weight for _, weight, _ in found]
+        weights = [weight for _, weight, _, _ in found]
     padded = weights + [0] * (window - 1)
     sums = [sum(padded[i : i + window]) for i in range(len(weights))]
+    whole = level == 0
     if level:
         level = min(level, max(sums) // 4)
-    kept: list[str] = []
-    covered = -1  # last line of the windows above the level so far
-    for i, (text, _, _) in enumerate(found):
-        if sums[i] > level:
-            covered = i + window - 1
-        # A line belongs to the text from the surge until the last window over it has dived.
-        if weights[i] and i <= covered:
-            kept.append(text)
-    return "\n".join(kept)
+    above = [i for i, total in enumerate(sums) if total > level]
+    if not above:
+        return ""
+    # The text goes from the first surge to the last dive.
+    text = [i for i in range(above[0], min(above[-1] + window, len(found))) if weights[i]]
+    between = found[text[0] : text[-1] + 1]
+    return "\n".join(line for line, _, inside, zone in between if not zone and (inside or not whole))
 
 
 def extract(pages: DataFrame, key: str = "page_id", content: str = "html") -> DataFrame:

@@ -237,3 +237,23 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none, tmp_path):
             assert out.count() <= docs.count() or name == "packing"
             if name != "packing":
                 assert out.columns == docs.columns
+
+
+LONG = ("word " * 40).strip()
+
+
+@pytest.mark.parametrize(
+    "middle,text",
+    [
+        ("<ul>" + "".join(f"<li>item number {i}</li>" for i in range(9)) + "</ul>", "\n".join(f"item number {i}" for i in range(9))),
+        ("<p>One.</p>" * 6 + "<p><a href='/x'>A paragraph that is one link</a></p>" + "<p>Two.</p>" * 6, "\n".join(["One."] * 6 + ["A paragraph that is one link"] + ["Two."] * 6)),
+        ("<p><a name=here>Named.</p><p>" + "more " * 30 + "</p>", "Named.\n" + ("more " * 30).strip()),
+        ("<p><a href=x>Open.</p><p>" + "more " * 30 + "</p>", "Open.\n" + ("more " * 30).strip()),
+    ],
+)
+def test_short_lines_inside_the_text_stay(middle, text):
+    """Pages without an article element against the same page with one."""
+    parts = f"<p>{LONG}</p>{middle}<p>{LONG}</p>"
+    menu = "".join(f"<p><a href='/{i}'>Menu {i}</a></p>" for i in range(5))
+    plain = extraction.main_text(f"<body>{menu}<div>{parts}</div>{menu}</body>")
+    assert plain == f"{LONG}\n{text}\n{LONG}" == extraction.main_text(f"<body>{menu}<article>{parts}</article>{menu}</body>")
