@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medstrand.llm import chat, decontaminate, extraction, fingerprints, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from medstrand.llm import (
+    chat,
+    decontaminate,
+    divergence,
+    extraction,
+    fingerprints,
+    mixing,
+    packing,
+    quality,
+    resampling,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 from medstrand.sources.sinks import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +215,93 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "escaped",
     )
+
+
+# Rounds of sharing end at one level of words a weight: the first, in order of limits, at which no source is above its own.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM sources
+), levels AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER up, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER up, 0) AS ws
+  FROM weighed WINDOW up AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT rest, ws FROM levels WHERE rest * w <= 3 * source_size * ws ORDER BY 3.0 * source_size / w, source LIMIT 1
+), goals AS (
+  SELECT source, source_size,
+    CASE WHEN 3 * source_size * ws < rest * w THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(rest * w AS DOUBLE) / CAST(ws AS DOUBLE) END AS target
+  FROM weighed, level
+), passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals
+), run AS (
+  SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER up, 0) AS BIGINT) AS before
+  FROM docs WINDOW up AS (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN before < target - whole * source_size
+    AND before + size - (target - whole * source_size) <= target - whole * source_size - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run JOIN passes ON run.source IS NOT DISTINCT FROM passes.source
+"""
+
+# Fixed values of the contract: weights in order of the sources and passes over one source at most.
+MIX_WEIGHTS, MIX_LIMIT = (5, 2, 1), 3
+
+
+@query("op11_mixing", OP11_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), MIX_WEIGHTS, MIX_LIMIT).drop("source")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), cells AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS lang_size FROM kept GROUP BY lang
+), groups AS (
+  SELECT lang, source, coalesce(size, 0) AS size FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS size FROM cells GROUP BY ALL) USING (lang, source)
+), shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (size + v) AS p,
+    1 + 1000000000 * (total + 1) // (lang_size + v) AS q
+  FROM groups JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN cells USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source ANTI JOIN langs ON a.lang = langs.lang
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_divergence", OP12_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(table(spark, d, "documents"))
+
+
+# Fixed values of the contract: words of a document that may be drawn, and how many in a hundred are.
+DRAW_WORDS, DRAW_PERCENT = 20, 5
+
+
+@query("op13_resampling")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    found = resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"), DRAW_WORDS, DRAW_PERCENT)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
