@@ -18,6 +18,7 @@ rows are packed each. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from medstrand.sources.sinks import materialise
 
 WINDOW = 1024
-# Rows of one length are ranked in so many parts.
-PARTS = 64
+# Rows of one length are ranked in parts of about so many rows.
+ROWS_PER_PART = 16_384
 # Chunks whose ids a task keeps at hand.
 KEPT_CHUNKS = 400_000
 
@@ -47,20 +48,31 @@ class ChunkEncoder:
 
     The vocabulary's pattern always starts a new token at a single space between two other
     characters, so a text is encoded chunk by chunk between such spaces and chunks are remembered.
+    ``added`` are the tokens that the vocabulary's own file lists beside the learned ones; a text is
+    cut at them first, the leftmost and longest, and each stands for its own id.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._kept: dict[str, bytes] = {}
+        self._added = {token: np.array([number], dtype="<u4").tobytes() for token, number in added}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._cut is None or self._cut.search(text) is None:
+            return self._between(text)
+        parts = self._cut.split(text)
+        return b"".join(self._added[x] if i % 2 else self._between(x) for i, x in enumerate(parts))
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         if _TANGLED.search(text):
@@ -79,20 +91,41 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(path, pattern)
+def _encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> ChunkEncoder:
+    return ChunkEncoder(path, pattern, added)
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Tokens with their ids that a vocabulary's JSON file adds to the learned ones.
+
+    Only tokens found anywhere and as they stand are understood; one that strips spaces or wants a
+    whole word is an error.
+    """
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file).get("added_tokens", [])
+    for token in listed:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token with rules of its own: {token}")
+    return tuple((token["content"], token["id"]) for token in listed)
 
 
 def tokenize(
-    docs: DataFrame, path: str, pattern: str, window: int = WINDOW, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    added: tuple[tuple[str, int], ...] = (),
+    window: int = WINDOW,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """Full windows and rests of all documents with their ids, one row each.
 
-    ``path`` is a file of ranks of a public byte-level vocabulary on every executor.
+    ``path`` is a file of ranks of a public byte-level vocabulary on every executor, ``added`` its
+    added tokens.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern, added)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             size = 0
@@ -236,16 +269,22 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
     return rows
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """Ranks pieces of one length from 0, without a gap, in PARTS parts a length."""
-    parted = pieces.withColumn("_part", F.pmod(F.xxhash64("_row", "start"), F.lit(PARTS)))
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Ranks pieces of one length from 0, without a gap, in parts of about ROWS_PER_PART rows.
+
+    Most pieces have the window's length, so a length has as many parts as its count asks for.
+    """
+    spark = pieces.sparkSession
+    parts = [(length, 1 + n // ROWS_PER_PART) for length, n in counts.items()]  # at most window rows
+    parts = F.broadcast(spark.createDataFrame(parts or [(0, 1)], "length long, _parts long"))
+    parted = pieces.join(parts, "length").withColumn("_part", F.pmod(F.xxhash64("_row", "start"), F.col("_parts"))).drop("_parts")
     sizes = parted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row", "start")) - 1
     return (
         parted.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), ["length", "_part"])  # at most window x PARTS rows
+        .join(offsets, ["length", "_part"])
         .withColumn("_rank", F.col("_before") + F.col("_inside"))
         .drop("_part", "_before", "_inside")
     )
@@ -266,7 +305,7 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     narrow = tokens.select("doc_id", "_row", "start", "length", "ids_crc32", "doc_tokens")
     # The plan's size depends on the window alone.
-    ranked = _ranked(narrow)
+    ranked = _ranked(narrow, counts)
     here = (ranked["length"] == places["_source"]) & ranked["_rank"].between(places["_first"], places["_last"])
     placed = ranked.join(F.broadcast(places), here)
     placed = placed.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_first"))
@@ -291,7 +330,9 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     return whole.select(*columns).unionByName(cut.select(*columns))
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def pack_documents(
+    docs: DataFrame, path: str, pattern: str, added: tuple[tuple[str, int], ...] = (), window: int = WINDOW
+) -> tuple[DataFrame, DataFrame]:
     """Tokenizes, stores and packs; gives the stored pieces with their ids, and the places."""
-    tokens = materialise(tokenize(docs, path, pattern, window), "tokens")
+    tokens = materialise(tokenize(docs, path, pattern, added, window), "tokens")
     return tokens, pack(tokens, window)

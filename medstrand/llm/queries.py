@@ -121,11 +121,12 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     return places.drop("_row")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Path and pattern of the public byte-level vocabulary of 50,257 ids, as ranks."""
+def tokenizer_files() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """Path and pattern of the public byte-level vocabulary of 50,257 ids, as ranks, and its added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks, listed = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    return ranks, public_tokenizers.PATTERN, packing.added_tokens(listed)
 
 
 @query("op4_fingerprints")

@@ -20,7 +20,6 @@ SPECIAL = ["", " ", "a", " a", "a  b", "a\n\nb", "it's  ok ", "x y", "tab\tb",
 @pytest.fixture(scope="module")
 def reference():
     one = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    one.encode_special_tokens = True
     return lambda text: one.encode(text, add_special_tokens=False).ids
 
 
@@ -31,6 +30,29 @@ def test_chunks_give_the_vocabularys_ids(reference, spark, sf):
         assert np.frombuffer(encoder.encode(text or ""), dtype="<u4").tolist() == reference(text or ""), repr(text)[:80]
 
 
+END = "<|endoftext|>"
+ADDED = [END, END + END, f"a{END}", f"a {END} b", f"{END} b", f"a  {END}\n", f" {END} ", "<|endoftext|", f"<|{END}|>", f"x\n\n{END}\n é {END}"]
+
+
+def test_added_tokens_keep_their_ids(reference, make):
+    encoder = packing.ChunkEncoder(*queries.tokenizer_files())
+    for text in ADDED:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == reference(text), repr(text)
+    assert reference(END) == [50256]
+    texts = list(enumerate(ADDED)) + [(100, prose(3, 900) + END + prose(4, 900))]
+    _, places = packing.pack_documents(make(texts), *queries.tokenizer_files())
+    check_pieces(places.collect(), {i: [*reference(t), 0] for i, t in texts})
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_ranks_have_no_gap_in_many_parts(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "ROWS_PER_PART", rows)
+    pieces = spark.range(60).select(F.col("id").alias("_row"), F.lit(0).alias("start"), F.when(F.col("id") < 50, 9).otherwise(4).cast("long").alias("length"))
+    ranked = packing._ranked(pieces, {9: 50, 4: 10}).collect()
+    assert sorted(r["_rank"] for r in ranked if r["length"] == 9) == list(range(50))
+    assert sorted(r["_rank"] for r in ranked if r["length"] == 4) == list(range(10))
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_plans_fill_every_window(seed):
     dice = random.Random(seed)
