@@ -30,7 +30,8 @@ def roc_auc(predictions: DataFrame, scores: str = "probabilities", save=material
         F.count(F.when(F.col("label") == F.col("class"), 1)).alias("_pos"),
         F.count(F.when(F.col("label") != F.col("class"), 1)).alias("_neg"),
     )
-    counts = ranged(counts, [("class", True), ("score", True)], save)
+    # Stored, because the ranges below read it once for their bounds and once more to be dealt.
+    counts = ranged(save(counts, "scores"), [("class", True), ("score", True)], save)
     running = running_total(
         counts,
         order=[("score", True)],
