@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medstrand import schema
+from medstrand.operators import blocks as bl
 from medstrand.operators import events as ev
 from medstrand.operators import labs as lb
 from medstrand.operators import quality, timeline
@@ -27,6 +28,13 @@ class Prepared:
     conversions: DataFrame | None
     percentiles: DataFrame | None
     cutflow: DataFrame
+    tokens: DataFrame
+    patients: DataFrame | None
+    min_days: int
+
+    def blocks(self, size: int = bl.BLOCK_SIZE) -> DataFrame:
+        """The sequences in blocks of ``size`` elements, for histories longer than a row can be."""
+        return bl.build_blocks(self.tokens, self.patients, self.min_days, size)
 
 
 def step_names(min_days: int) -> list[str]:
@@ -83,7 +91,8 @@ def prepare(
     patients = kept.get("patient")
     sequences = timeline.build_sequences(unique, patients, min_days=min_days)
     steps = _tagged_steps(selected, config, unique)
-    return Prepared(sequences, conversions, percentiles, quality.cutflow(steps, step_names(min_days), min_days))
+    report = quality.cutflow(steps, step_names(min_days), min_days)
+    return Prepared(sequences, conversions, percentiles, report, unique, patients, min_days)
 
 
 def _tagged_steps(selected: ev.Tables, config: Mapping, tokens: DataFrame) -> DataFrame:
