@@ -428,9 +428,9 @@ def label_samples_from_events(
     """``label_samples(recent=...)`` straight from long form, for persons of any length.
 
     Events are numbered in order and put in blocks of ``recent``; a label needs its own block and
-    the one before. The join is on person and block, so no person is held in one task, and each
-    sample gathers at most ``recent`` events and the day-0 rows. Events whose token ``always``
-    accepts are gathered whatever their age.
+    the one before. Each block is gathered once, with the one before, and every label cuts its sample
+    from that row: the join is on person and block, so no person is held in one task, and events are
+    not repeated by label. Events whose token ``always`` accepts are gathered whatever their age.
 
     Labels and events both read the numbering; ``save`` may store it. ``tie`` is the column that
     orders equal dates and days.
@@ -461,31 +461,37 @@ def label_samples_from_events(
     if label is not None:
         marks = marks.filter(F.col("label") == label)
     block = F.floor((F.col("_seen") - 1) / recent)
-    events = numbered.filter(~mark).select(
-        "person_id", block.alias("_block"), F.col("_seen").alias("_at"), "date", "days_since_begin", "general_event_token"
-    )
-    wanted = marks.withColumn("_block", F.explode(F.array(block, block - 1)))
-    near = wanted.join(events, ["person_id", "_block"]).filter(
-        (F.col("_at") <= F.col("_seen")) & (F.col("_at") > F.col("_seen") - recent)
-    )
-    at_start = marks.join(base, "person_id").withColumn("_at", F.lit(0))
-    # A label always has its own row, so one without history keeps an empty sample.
-    alone = marks.select("person_id", "label_count", "label", *[
-        F.lit(None).cast(kind).alias(name)
-        for name, kind in (("_at", "bigint"), ("date", "timestamp"), ("days_since_begin", "int"), ("general_event_token", "string"))
-    ])
-    columns = alone.columns
     item = F.struct(
-        "_at", "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
+        F.col("_seen").alias("_at"), "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
+    )
+    ordered_items = F.array_sort(F.collect_list("_item")).alias("_items")
+    events = numbered.filter(~mark).select("person_id", block.alias("_block"), item.alias("_item"))
+    # An event is near labels of its own block and of the next: one row of at most twice ``recent`` events for both.
+    near = (
+        events.withColumn("_block", F.explode(F.array("_block", F.col("_block") + 1)))
+        .groupBy("person_id", "_block")
+        .agg(ordered_items.alias("_near"))
     )
-    gathered = near.select(*columns).unionByName(at_start.select(*columns)).unionByName(alone)
+    at_start = base.withColumn("_seen", F.lit(0).cast("bigint")).select("person_id", item.alias("_item"))
+    at_start = at_start.groupBy("person_id").agg(ordered_items.alias("_start"))
+    samples = marks.join(at_start, "person_id", "left").withColumn("_block", block).join(near, ["person_id", "_block"], "left")
+    since = F.col("_seen") - recent
+    parts = [F.col("_start"), F.filter("_near", lambda x: (x["_at"] > since) & (x["_at"] <= F.col("_seen")))]
     if always is not None:
-        old = events.filter(always(F.col("general_event_token"))).drop("_block")
-        kept = marks.join(old, "person_id").filter(F.col("_at") <= F.col("_seen") - recent)
-        gathered = gathered.unionByName(kept.select(*columns))
-    return gathered.groupBy("person_id", "label_count", "label").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), item))),
-            lambda y: sequence_element(y["date"], y["day"], y["token"]),
-        ).alias("seq")
+        old = events.filter(always(F.col("_item.token"))).drop("_block")
+        kept = marks.join(old, "person_id").filter(F.col("_item._at") <= since)
+        kept = kept.groupBy("person_id", "label_count").agg(ordered_items.alias("_old"))
+        samples = samples.join(kept, ["person_id", "label_count"], "left")
+        parts.insert(1, F.col("_old"))
+    # A label without history keeps an empty sample.
+    none = F.slice(F.array(_no_item()), 1, 0)
+    seq = F.transform(
+        F.concat(*[F.coalesce(x, none) for x in parts]), lambda y: sequence_element(y["date"], y["day"], y["token"])
     )
+    return samples.select("person_id", "label_count", "label", seq.alias("seq"))
+
+
+def _no_item() -> Column:
+    """An element with nulls only, for the type of an empty array."""
+    kinds = (("_at", "bigint"), ("date", "timestamp"), ("day", "int"), ("token", "string"))
+    return F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds])
