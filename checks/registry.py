@@ -27,6 +27,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def query_like(name: str, other: str):
+    """Register ``fn`` under the SQL of another query, whose rows it gives in another way."""
+
+    def register(fn):
+        query(name)(fn)
+        ORACLES[name] = ORACLES[other]
+        return fn
+
+    return register
+
+
 def with_ctes(sql: str) -> str:
     used: list[str] = []
 

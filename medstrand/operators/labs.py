@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
-from medstrand.operators.scale import salted_join
+from medstrand.operators.scale import Join, salted_join
 from medstrand.schema import sequence_element
 
 # Decimal prefixes of unit symbols.
@@ -223,13 +223,16 @@ def clean(labs: DataFrame) -> DataFrame:
     return numeric_results(filter_codes(labs))
 
 
-def convert(labs: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out (``pass_rates`` counts them)."""
+def convert(labs: DataFrame, conversions: DataFrame, join: Join = salted_join) -> DataFrame:
+    """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out (``pass_rates`` counts them).
+
+    ``join`` is how hot codes are met: ``scale.salted_join``, or ``skew.measured_join``.
+    """
     table = conversions.filter(F.col("conversion_factor").isNotNull()).select(
         "lx_lab_code", "lx_result_other_unit", "conversion_factor", "lx_result_unit"
     )
     named = labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit")
-    joined = salted_join(named, table, ["lx_lab_code", "lx_result_other_unit"])
+    joined = join(named, table, ["lx_lab_code", "lx_result_other_unit"])
     scaled = joined.withColumn(
         "lx_result_val_converted", F.col("lx_result_val") * F.col("conversion_factor")
     )
@@ -275,12 +278,12 @@ def percentiles(converted: DataFrame, step: int = 10, accuracy: int = 10_000) ->
 
 
 def percentile_groups(
-    converted: DataFrame, table: DataFrame, step: int = 10
+    converted: DataFrame, table: DataFrame, step: int = 10, join: Join = salted_join
 ) -> DataFrame:
     """Add ``percentile_group`` text; codes without boundaries drop out."""
     if 100 // step < 3:
         raise ValueError("need at least three percentile groups")
-    joined = salted_join(converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"])
+    joined = join(converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"])
     group = codes.percentile_group(
         F.col("lx_result_val_converted"), F.col("percentile_boundaries"), step
     )
@@ -299,11 +302,11 @@ def _lazy(table: DataFrame, name: str) -> DataFrame:
 Save = Callable[[DataFrame, str], DataFrame]
 
 
-def _fit(labs, min_count, min_values, step, accuracy, save: Save) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _fit(labs, min_count, min_values, step, accuracy, save: Save, join: Join = salted_join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Converted labs, conversions and boundaries; the threshold test rides on the boundary table."""
     usable = clean(labs)
     conversions = save(unit_conversions(usable), "conversions")
-    converted = save(convert(usable, conversions), "converted")
+    converted = save(convert(usable, conversions, join), "converted")
     frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
     bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
     return converted, conversions, save(bounds, "percentiles")
@@ -343,10 +346,11 @@ def fit_apply(
     step: int = 10,
     accuracy: int = 10_000,
     save: Save = _lazy,
+    join: Join = salted_join,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(tokens, conversions, percentiles)`` from raw labs, with ``save`` as in ``fit``."""
-    converted, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save)
-    return lab_tokens(percentile_groups(converted, table, step)), conversions, table
+    """``(tokens, conversions, percentiles)`` from raw labs, with ``save`` as in ``fit`` and ``join`` as in ``convert``."""
+    converted, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save, join)
+    return lab_tokens(percentile_groups(converted, table, step, join)), conversions, table
 
 
 def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFrame:

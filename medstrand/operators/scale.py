@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SALTS = 8
 # Length of a block of consecutive numbers generated by one task.
 BLOCK = 65_536
+# A join of a large side, a lookup and their keys; a fourth argument may say how.
+Join = Callable[..., DataFrame]
 
 
 def salted_join(

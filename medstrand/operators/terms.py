@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
-from medstrand.operators.scale import salted_join
+from medstrand.operators.scale import Join, salted_join
 
 
 def code_variants(mappings: DataFrame) -> DataFrame:
@@ -132,8 +132,11 @@ def translation_coverage(data: DataFrame, vocabulary: DataFrame, translation: Da
     )
 
 
-def translate_events(events: DataFrame, translation: DataFrame) -> DataFrame:
-    """Left join of events to their chosen vocabulary entry; a hot code is spread over several tasks."""
+def translate_events(events: DataFrame, translation: DataFrame, join: Join = salted_join) -> DataFrame:
+    """Left join of events to their chosen vocabulary entry; a hot code is spread over several tasks.
+
+    ``join`` is how: ``scale.salted_join``, or ``skew.measured_join``.
+    """
     chosen = translation.select(
         F.col("original_source").alias("source"),
         F.col("original_code").alias("code"),
@@ -141,7 +144,7 @@ def translate_events(events: DataFrame, translation: DataFrame) -> DataFrame:
         "vocab_code",
         "vocab_token",
     )
-    return salted_join(events, chosen, ["source", "code"], "left")
+    return join(events, chosen, ["source", "code"], "left")
 
 
 def null_rates(translated: DataFrame, distinct_codes: bool = False) -> DataFrame:
