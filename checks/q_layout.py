@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import q_events, q_labels, q_labs, q_terms  # noqa: F401 - their SQL serves here too
 from checks import standins as st
 from checks.registry import big, query, query_like, time_text
-from medstrand.operators import labels, labs, skew, splits, terms, timeline
+from medstrand.operators import boundaries, labels, labs, skew, splits, terms, timeline
 from medstrand.sources import bucketed
 from medstrand.sources.sinks import materialise, scratch_path
 
@@ -75,3 +75,38 @@ def heavy_keys(spark, d):
     copies = spark.createDataFrame(found or [(0, 0)], "h long, copies long")
     counts = used.groupBy("source").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("source"))
     return counts.join(F.broadcast(copies), "h").drop("h")
+
+
+# Rows a sketch keeps exactly here: enough for the small tables, where SQL has exact boundaries.
+EXACT = 8192
+
+
+def _day_sketches(spark, d, k):
+    usable = labs.clean(st.lab(spark, d))
+    conversions = materialise(labs.unit_conversions(usable), "conversions")
+    converted = materialise(labs.convert(usable, conversions), "converted")
+    # Two halves of the days are sketched apart; the second is sketched twice and replaces itself.
+    even = F.dayofmonth("date") % 2 == 0
+    early = boundaries.day_sketches(converted.filter(even), k)
+    late = boundaries.day_sketches(converted.filter(~even), k)
+    stored = materialise(boundaries.with_days(early.unionByName(late), late), "day_sketches")
+    return converted, conversions, stored
+
+
+@query_like("lab_tokens_sketches", "lab_tokens")
+def lab_tokens_sketches(spark, d):
+    """Tokens from boundaries that merged day sketches give."""
+    _, conversions, stored = _day_sketches(spark, d, EXACT)
+    tokens = labs.apply(st.lab(spark, d), conversions, boundaries.boundaries(stored), *q_labs.LIMITS)
+    return tokens.withColumn("date", time_text("date"))
+
+
+@query("day_sketches", "SELECT lx_lab_code, count(DISTINCT CAST(date AS DATE)) AS days, count(*) AS n, TRUE AS within FROM converted GROUP BY 1")
+def day_sketches(spark, d):
+    """Whether every boundary of small sketches lies within their stated rank error."""
+    k = 256
+    converted, _, stored = _day_sketches(spark, d, k)
+    ranks = boundaries.worst_ranks(converted, boundaries.boundaries(stored))
+    days = stored.groupBy("lx_lab_code").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+    checked = ranks.select("lx_lab_code", (F.col("off") <= 1.0 / k + boundaries.rank_error(k)).alias("within"))
+    return days.join(checked, "lx_lab_code").select("lx_lab_code", "days", "n", "within")

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from medstrand.operators import labels, skew, splits, timeline
+from medstrand.operators import boundaries, labels, labs, skew, splits, timeline
 from medstrand.sources import bucketed
 
 
@@ -134,3 +134,50 @@ def test_summaries_add_up(spark, hot):
     assert sorted(skew.heavy_keys(skew.merge_summaries(both), 8)) == sorted(skew.heavy_keys(skew.key_summary(hot, ["code"]), 8))
     assert skew.heavy_keys(skew.key_summary(hot.limit(0), ["code"]), 8) == []
     assert skew.measured_join(hot.limit(0), hot, ["code"]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def values(spark):
+    """Values of one hot and several small codes over 40 days; some equal, some null."""
+    n = F.col("id")
+    code = F.when(n % 3 > 0, "hot").otherwise(F.concat(F.lit("c"), (n % 30).cast("string")))
+    value = F.when(n % 50 == 0, None).when(n % 5 == 0, 7.0).otherwise((F.xxhash64(n) % 100_000) / 10.0)
+    return spark.range(60_000).select(code.alias("lx_lab_code"), value.alias("lx_result_val_converted"), F.timestamp_seconds(n % 40 * 86_400).alias("date"))
+
+
+def worst(values, table):
+    return boundaries.worst_ranks(values.dropna(), table).agg(F.max("off")).first()[0]
+
+
+@pytest.mark.parametrize("k", [64, 512])
+def test_boundaries_of_merged_halves_lie_within_the_error(values, k):
+    halves = [boundaries.day_sketches(values.filter(f"day(date) % 2 = {i}"), k) for i in (0, 1)]
+    table = boundaries.boundaries(boundaries.with_days(*halves))
+    assert 0 < worst(values, table) <= boundaries.rank_error(k)
+    assert {r["lx_lab_code"]: r["n"] for r in table.collect()} == {
+        r["lx_lab_code"]: r["count"] for r in values.dropna().groupBy("lx_lab_code").count().collect()
+    }
+
+
+def test_sketches_that_keep_all_are_exact(values):
+    few = values.filter("lx_lab_code <> 'hot'")
+    table = boundaries.boundaries(boundaries.day_sketches(few, 8192))
+    assert worst(few, table) == 0
+    assert same(table.select("lx_lab_code", "percentile_boundaries"), labs.percentiles(few.dropna(), accuracy=1_000_000).select("lx_lab_code", "percentile_boundaries"))
+
+
+def test_a_corrected_day_replaces_its_own(values):
+    old = boundaries.day_sketches(values, 8192)
+    right = values.filter("day(date) = 3 and lx_lab_code <> 'c3'").withColumn("lx_result_val_converted", F.lit(1.0))
+    got = boundaries.with_days(old, boundaries.day_sketches(right, 8192))
+    want = boundaries.day_sketches(values.filter("day(date) <> 3").unionByName(right), 8192)
+    counts = lambda df: df.select("lx_lab_code", "on", "n")
+    assert same(counts(got), counts(want))
+    days = boundaries.boundaries(got, where=F.dayofmonth("on") == 3)
+    assert all(set(r["percentile_boundaries"]) == {1.0} for r in days.collect())
+
+
+def test_no_values(values, spark):
+    assert boundaries.boundaries(boundaries.day_sketches(values.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        boundaries.boundaries(boundaries.day_sketches(values), step=7)
