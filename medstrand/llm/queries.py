@@ -200,9 +200,11 @@ FROM joined
 @query("op7_chat", OP7_SQL)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    quoting = spark.createDataFrame(
-        [(QUOTING, 0, "user", QUOTED), (QUOTING, 1, "assistant", QUOTED)], rows.schema
-    )
+    # Exploded from one generated row: rows sent from the driver would start a Python worker.
+    turn = F.array(*[F.struct(F.lit(QUOTING).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(QUOTED).alias("text"))
+                     for i, role in enumerate(("user", "assistant"))])
+    quoting = spark.range(1).select(F.inline(turn))
+    quoting = quoting.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
     done = chat.format_conversations(rows.unionByName(quoting))
     turns = chat.parse(F.col("formatted"))
     learned = chat.learned_text(F.col("formatted"), F.col("loss_spans"))
