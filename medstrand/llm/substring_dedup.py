@@ -54,15 +54,15 @@ def document(key: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
 
 
-def _select(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the chosen seeds of some texts."""
+def _select(words: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first words, unnumbered hashes and numbers of the chosen seeds of some texts."""
     grams, first = tx.windows(words, SEED_WORDS)
     whole = words.count[words.text[first]] >= SEED_WORDS if len(first) else np.zeros(0, dtype=bool)
     grams, first = grams[whole], first[whole]
     owner = words.text[first]
     n = len(grams)
     if not n:
-        return grams, first
+        return grams, first, grams, np.zeros(0, dtype=np.int64)
     padded = np.concatenate((grams, np.full(SPREAD - 1, ~np.uint64(0))))
     # Runs of a text are next to each other, so a window stays inside it or is cut at its end.
     ends = np.searchsorted(owner, owner, side="right")
@@ -93,16 +93,19 @@ def _select(words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
     number = np.arange(len(at) + more.sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     grams, first = np.repeat(grams[at], more + 1), np.repeat(first[at], more + 1)
     numbered = tx.mix(grams + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.where(number > 0, numbered, grams), first + SPREAD * number
+    return np.where(number > 0, numbered, grams), first + SPREAD * number, grams, number
 
 
 def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``seed``, ``doc_id``, ``_row`` and ``pos`` (word number) of every chosen seed."""
+    """``seed``, ``doc_id``, ``_row`` and ``pos`` (word number) of every chosen seed.
+
+    A numbered seed also has ``stretch``, the seed at which the stretch that repeats itself begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, words in tx.words(batch.column(2), tx.WORD_BYTES):
-                grams, first = _select(words)
+                grams, first, begun, number = _select(words)
                 at = pa.array(row + words.text[first]) if len(first) else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -110,12 +113,13 @@ def seeds(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array(words.place[first].astype(np.int32)),
+                        pa.array(begun.view(np.int64), mask=number == 0),
                     ],
-                    ["seed", "doc_id", "_row", "pos"],
+                    ["seed", "doc_id", "_row", "pos", "stretch"],
                 )
 
     wanted = docs.select(F.col(key).cast("long").alias("doc_id"), document(key, text).alias("_row"), text)
-    return wanted.mapInArrow(run, "seed long, doc_id long, _row long, pos int")
+    return wanted.mapInArrow(run, "seed long, doc_id long, _row long, pos int, stretch long")
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -456,6 +460,22 @@ def _spans(places: list[int], least: int) -> list[tuple[int, int]]:
     return out
 
 
+def longer_stretches(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """``_row, seed, pos`` of all numbered seeds of stretches whose first seed is linked, under that first seed.
+
+    A stretch that repeats itself may be longer than where it was first held: the seeds of the rest
+    are held by no earlier document, although every run of the rest is.
+    """
+    begun = linked.select("_row", F.col("seed").alias("stretch")).distinct()
+    repeated = found.filter("stretch is not null").join(begun, ["_row", "stretch"])
+    return repeated.select("_row", F.col("stretch").alias("seed"), _to_the_end().alias("pos"))
+
+
+def _to_the_end() -> Column:
+    """A numbered seed's place, and the last one before the next number, to which its stretch may go on."""
+    return F.explode(F.array("pos", F.col("pos") + F.lit(SPREAD - 1)))
+
+
 def open_seeds(linked: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """Distinct ``seed`` of links from which a passage with a word outside the known ones may be made."""
 
@@ -492,8 +512,8 @@ def open_seeds(linked: DataFrame, known: DataFrame, least: int) -> DataFrame:
 def whole_parts(docs: DataFrame, found: DataFrame, wanted: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs of ``least`` words that an earlier document holds word by word, as ``aligned`` gives parts.
 
-    ``wanted`` are the seeds in question; every document's stretches whose seeds are among them are
-    looked at. A run links to the first document that holds all of it, so nothing is lost where
+    ``wanted`` are the seeds in question; every document's stretches whose seeds, or the first seeds of
+    whose repetitions, are among them are looked at. A run links to the first document that holds all of it, so nothing is lost where
     its seeds were first held by others.
     """
 
@@ -519,7 +539,8 @@ def whole_parts(docs: DataFrame, found: DataFrame, wanted: DataFrame, least: int
                     [*columns, pa.array(words.place[first].astype(np.int32))], ["gram", "_row", "doc_id", "pos"]
                 )
 
-    places = found.join(wanted, "seed").select("_row", "pos")
+    repeated = found.filter("stretch is not null").join(wanted.withColumnRenamed("seed", "stretch"), "stretch")
+    places = found.join(wanted, "seed").select("_row", "pos").unionByName(repeated.select("_row", _to_the_end().alias("pos")))
     spans = _by_document(places, ["pos"], work, "_row long, lows array<int>, highs array<int>").withColumnRenamed("_row", "_asked")
     own = docs.select(document(key, text).alias("_row"), F.col(key).cast("long").alias("doc_id"), text)
     asked = own.join(spans, F.col("_row") == F.col("_asked")).select("_row", "doc_id", text, "lows", "highs")
@@ -590,7 +611,8 @@ def passages(docs: DataFrame, least: int = MIN_WORDS, key: str = "doc_id", text:
     chained = materialise(chains(linked), "chains")
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = materialise(aligned(named, chained), "aligned")
-    asked = materialise(open_seeds(linked, runs(parts, least), least), "open-seeds")
+    places = linked.select("_row", "seed", "pos").unionByName(longer_stretches(found, linked))
+    asked = materialise(open_seeds(places, runs(parts, least), least), "open-seeds")
     whole = materialise(whole_parts(named, found, asked, least), "whole-parts")
     return united(runs(parts.unionByName(whole), least), least).select(
         "_row",

@@ -9,8 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from medstrand.llm import quality, queries, sharding, toxicity
-from tests.llm.conftest import prose
+from medstrand.llm import quality, queries, sharding, substring_dedup, toxicity
+from tests.llm.conftest import WORDS, prose
 
 
 def drawn(node, key):
@@ -122,3 +122,47 @@ def test_calibration_on_counts_is_calibration_on_rows(spark):
     weighted = IsotonicRegression(labelCol="label", featuresCol="x", weightCol="n").fit(counted)
     shown = [m.transform(counted.select("x")).orderBy("x").collect() for m in (plain, weighted)]
     assert [r["prediction"] for r in shown[0]] == pytest.approx([r["prediction"] for r in shown[1]], abs=1e-9)
+
+
+def held_before(texts, least=50):
+    """Words of each text, in order of id, in runs of ``least`` words that an earlier text holds."""
+    first, out = {}, {}
+    for i, text in sorted(texts):
+        words, hit = text.split(), set()
+        for at in range(len(words) - least + 1):
+            run = tuple(words[at : at + least])
+            if first.setdefault(run, i) != i:
+                hit.update(range(at, at + least))
+        out[i] = hit
+    return out
+
+
+def repeating(seed):
+    """A stretch that says one to three words over and over, longer or shorter by the seed."""
+    x, n = seed * 48271 % 65_537, 1 + seed % 3
+    said = [WORDS[(x + 7 * k) % 20] for k in range(n)]
+    return " ".join((said * 100)[: 30 + x % 170])
+
+
+def test_exact_runs_are_found_word_by_word(make):
+    """Passages, frequent phrases that others held first, and stretches that repeat themselves, of many lengths."""
+    frequent = [prose(900 + k, 9 + k) for k in range(6)]
+    texts = []
+    for i in range(160):
+        parts = [prose(i, 30 + i % 40)]
+        if i % 2:
+            parts.append(prose(2000 + i % 11, 60 + 13 * (i % 5)))
+        if i % 3 == 0:
+            parts.append(" ".join(frequent[(i + k) % 6] for k in range(5)))
+        if i % 4 < 2:
+            parts.append(repeating(i % 24))
+        if i % 5 == 0:
+            parts.append(repeating(i % 16) + " " + repeating(i % 7))
+        parts.append(prose(5000 + i, 20))
+        texts.append((i, " ".join(parts)))
+    want, got = held_before(texts), {}
+    for r in substring_dedup.passages(make(texts)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    missed = {i: sorted(hit - got.get(i, set())) for i, hit in want.items() if hit - got.get(i, set())}
+    total = sum(map(len, want.values()))
+    assert total > 5000 and sum(map(len, missed.values())) <= 0.001 * total, missed
