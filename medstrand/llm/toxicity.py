@@ -269,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, held: int | None = 2, key: str = "do
         minInstancesPerNode=max(4, min(20, total // 100)),
     ).fit(vectors)
     raw = trees.transform(vectors).select("label", vector_to_array("probability")[1].alias("_raw"))
-    even = IsotonicRegression(labelCol="label", featuresCol="_raw", predictionCol="_even").fit(raw)
+    # One weighted row a distinct probability: most rows share a few, which would meet in one task.
+    counted = raw.groupBy("_raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("_n"))
+    even = IsotonicRegression(labelCol="label", featuresCol="_raw", weightCol="_n", predictionCol="_even").fit(counted)
     return Model(odds, trees, even)
 
 
