@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from medstrand.sources.sinks import materialise
 
 WINDOW = 1024
-# Rows of one length are ranked in parts of about so many rows.
-ROWS_PER_PART = 16_384
 # Chunks whose ids a task keeps at hand.
 KEPT_CHUNKS = 400_000
 
@@ -270,12 +269,13 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
 
 
 def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Ranks pieces of one length from 0, without a gap, in parts of about ROWS_PER_PART rows.
+    """Ranks pieces of one length from 0, without a gap, in parts.
 
-    Most pieces have the window's length, so a length has as many parts as its count asks for.
+    Most pieces have the window's length, so a length has as many parts as the root of its count: then
+    neither the rows of a part nor the parts of a length, which are summed in one task, grow as the count does.
     """
     spark = pieces.sparkSession
-    parts = [(length, 1 + n // ROWS_PER_PART) for length, n in counts.items()]  # at most window rows
+    parts = [(length, 1 + isqrt(n)) for length, n in counts.items()]  # at most window rows
     parts = F.broadcast(spark.createDataFrame(parts or [(0, 1)], "length long, _parts long"))
     parted = pieces.join(parts, "length").withColumn("_part", F.pmod(F.xxhash64("_row", "start"), F.col("_parts"))).drop("_parts")
     sizes = parted.groupBy("length", "_part").agg(F.count("*").alias("_n"))

@@ -44,9 +44,7 @@ def test_added_tokens_keep_their_ids(reference, make):
     check_pieces(places.collect(), {i: [*reference(t), 0] for i, t in texts})
 
 
-@pytest.mark.parametrize("rows", [1, 7])
-def test_ranks_have_no_gap_in_many_parts(spark, monkeypatch, rows):
-    monkeypatch.setattr(packing, "ROWS_PER_PART", rows)
+def test_ranks_have_no_gap_in_many_parts(spark):
     pieces = spark.range(60).select(F.col("id").alias("_row"), F.lit(0).alias("start"), F.when(F.col("id") < 50, 9).otherwise(4).cast("long").alias("length"))
     ranked = packing._ranked(pieces, {9: 50, 4: 10}).collect()
     assert sorted(r["_rank"] for r in ranked if r["length"] == 9) == list(range(50))
