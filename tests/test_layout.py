@@ -181,3 +181,18 @@ def test_no_values(values, spark):
     assert boundaries.boundaries(boundaries.day_sketches(values.limit(0))).count() == 0
     with pytest.raises(ValueError):
         boundaries.boundaries(boundaries.day_sketches(values), step=7)
+
+
+def test_softmax_works_its_maximum_out_once(spark):
+    """Values as by hand, and one maximum and one sum in the plan however often they are used."""
+    import math
+
+    from medstrand.functions.scores import softmax
+
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1e4, 1e4],), ([],), (None,)], "s array<double>")
+    out = rows.select(softmax(F.col("s")).alias("p"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1 and plan.count("aggregate(") == 1
+    total = sum(math.exp(x) for x in (1, 2, 3))
+    got = [r["p"] for r in out.collect()]
+    assert got[0] == pytest.approx([math.exp(x) / total for x in (1, 2, 3)]) and got[1:] == [[0.5, 0.5], [], None]
