@@ -92,7 +92,7 @@ def unit_factors(spark, d):
     b = l.select("l_returnflag", other.alias("lx_result_other_unit")).distinct()
     pairs = a.join(b, "l_returnflag").drop("l_returnflag")
     factors = labs.conversion_factors(pairs, "lx_result_unit", "lx_result_other_unit")
-    return factors.withColumn("conversion_factor", F.round("conversion_factor", 9))
+    return factors.withColumn("conversion_factor", F.round("conversion_factor", 9)).drop("conversion_offset")
 
 
 # Unit texts and what they come to in kg, m3 and mol; null where they cannot be read.
@@ -124,7 +124,55 @@ def unit_texts(spark, d):
 )
 def unit_conversions(spark, d):
     table = labs.unit_conversions(labs.clean(st.lab(spark, d)))
-    return table.withColumn("conversion_factor", F.round("conversion_factor", 9))
+    return table.withColumn("conversion_factor", F.round("conversion_factor", 9)).drop("conversion_offset")
+
+
+# Groups, powers of groups, words and temperatures: factor to base units and base units at zero.
+UNIT_GRAMMAR = [
+    ("mL/(min*kg)", 1e-6 / 60, 0), ("mL/min/kg", 1e-6 / 60, 0), ("mL/min*kg", 1e-6 / 60, 0), ("mg/(kg h)", 1e-6 / 3600, 0), ("(mg/dL)**2", 1e-4, 0),
+    ("1/(g/(L*(m/s)**2))", 1, 0), ("((m))", 1, 0), ("mL/(min*(1.73 m^2))", 1e-6 / 60 / 1.73, 0), ("m squared", 1, 0),
+    ("cubic m", 1, 0), ("mg per dL", 0.01, 0), ("5e3/uL", None, None), ("/uL", 1e9, 0), ("degC", 1, 273.15), ("Cel", 1, 273.15),
+    ("degF", 5 / 9, 459.67 * 5 / 9), ("J/degC", 1, 0), ("K", 1, 0), ("mL/(min*kg", None, None), ("mL/min)*kg", None, None), ("m//s", None, None),
+    ("m/", None, None), ("()", None, None), ("m**2**3", None, None), ("m**0.5", None, None), ("mg!", None, None),
+]
+
+
+@query(
+    "unit_grammar",
+    f"""SELECT t.unit, count(*) AS n, t.factor, t.zero FROM lineitem JOIN (VALUES {", ".join(
+        f"({i}, '{u}', " + ("NULL::DOUBLE, NULL::DOUBLE)" if f is None else f"{float(f'{f:.8e}')!r}::DOUBLE, {float(f'{z:.8e}')!r}::DOUBLE)") for i, (u, f, z) in enumerate(UNIT_GRAMMAR)
+    )}) t(i, unit, factor, zero) ON l_partkey % {len(UNIT_GRAMMAR)} = t.i GROUP BY ALL""",
+)
+def unit_grammar(spark, d):
+    texts = F.array(*[F.lit(u) for u, _, _ in UNIT_GRAMMAR])
+    used = st.table(spark, d, "lineitem").select(F.element_at(texts, (F.col("l_partkey") % len(UNIT_GRAMMAR) + 1).cast("int")).alias("unit"))
+    factors = labs.unit_factors(used, "unit")
+    counted = used.groupBy("unit").agg(F.count("*").alias("n")).join(factors, "unit")
+    return counted.select("unit", "n", *[labs._significant(F.col(c), 9).alias(c) for c in ("factor", "zero")])
+
+
+@query(
+    "unit_offsets",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, u) AS r, u
+         FROM (SELECT l.*, CASE l_linenumber % 3 WHEN 0 THEN 'degF' WHEN 1 THEN 'degC' ELSE 'K' END AS u,
+                 count(*) OVER (PARTITION BY l_returnflag, l_linenumber % 3) AS n FROM lineitem l)),
+         b AS (SELECT l_returnflag, u AS base FROM t WHERE r = 1),
+         k AS (SELECT t.*, base, CASE u WHEN 'degF' THEN (v + 459.67) * 5 / 9 WHEN 'degC' THEN v + 273.15 ELSE v END AS kelvin FROM t JOIN b USING (l_returnflag))
+       SELECT l_orderkey, l_linenumber, u AS unit, base,
+         round((CASE base WHEN 'degF' THEN kelvin * 9 / 5 - 459.67 WHEN 'degC' THEN kelvin - 273.15 ELSE kelvin END)::DOUBLE, 3) AS value FROM k""",
+)
+def unit_offsets(spark, d):
+    """Temperatures of each flag in its most frequent unit."""
+    unit = F.expr("case l_linenumber % 3 when 0 then 'degF' when 1 then 'degC' else 'K' end")
+    rows = st.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.lit("LOCAL").alias("lx_lab_code_type"), F.col("l_returnflag").alias("lx_lab_code"),
+        F.col("l_quantity").cast("double").alias("lx_result_val"), unit.alias("lx_result_unit"),
+    )
+    out = labs.convert(rows, labs.unit_conversions(rows))
+    return out.select(
+        "l_orderkey", "l_linenumber", F.col("lx_result_other_unit").alias("unit"), F.col("lx_result_unit").alias("base"),
+        F.round("lx_result_val_converted", 3).alias("value"),
+    )
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medstrand.functions import codes
+from medstrand.functions.units import unit_terms
 from medstrand.operators.scale import Join, salted_join
 from medstrand.schema import sequence_element
 
@@ -75,13 +76,15 @@ UNIT_NAMES = {
 }
 PLURALS = ("minute", "hour", "day", "week", "year")
 DIMENSIONS = ("kg", "m", "s", "mol", "K", "A", "cd")
-# One factor of a unit: operator, symbol or number, exponent; and a text made of such factors only.
-_TERM = r"([*/ ]?)([A-Za-z%µμ]+|[0-9]+\.?[0-9]*)(?:\*\*(-?[0-9]+))?"
-_WHOLE = r"^(?:[*/ ]?(?:[A-Za-z%µμ]+|[0-9]+\.?[0-9]*)(?:\*\*-?[0-9]+)?)+$"
+# Units with a zero of their own, as symbol, kelvins a degree, kelvins at zero.
+OFFSET_UNITS = {
+    "degC": (1.0, 273.15), "Cel": (1.0, 273.15), "°C": (1.0, 273.15), "celsius": (1.0, 273.15),
+    "degF": (5 / 9, 459.67 * 5 / 9), "°F": (5 / 9, 459.67 * 5 / 9), "fahrenheit": (5 / 9, 459.67 * 5 / 9),
+}
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
-    """Symbol, factor to base units and dimension exponents; prefixed symbols come from a rule."""
+    """Symbol, factor to base units, base units at its zero, and dimension exponents; prefixed symbols come from a rule."""
     rows = {
         prefix + symbol: (factor * scale, dims)
         for symbol, (factor, dims) in PREFIXED_UNITS.items()
@@ -92,53 +95,37 @@ def unit_table(spark: SparkSession) -> DataFrame:
             rows[long + name] = rows[long + name + "s"] = rows[short + symbol]
     rows.update({name + "s": PLAIN_UNITS[name] for name in PLURALS})
     rows.update(PLAIN_UNITS)  # an exact name wins over a prefixed reading, e.g. ``min``
-    ddl = "symbol string, factor double, " + ", ".join(f"`{d}` int" for d in DIMENSIONS)
-    return spark.createDataFrame([(s, f, *d) for s, (f, d) in rows.items()], ddl)
+    kelvin = PREFIXED_UNITS["K"][1]
+    rows.update({symbol: (degree, kelvin) for symbol, (degree, _) in OFFSET_UNITS.items()})
+    zero = {symbol: at for symbol, (_, at) in OFFSET_UNITS.items()}
+    ddl = "symbol string, factor double, zero double, " + ", ".join(f"`{d}` int" for d in DIMENSIONS)
+    return spark.createDataFrame([(s, f, zero.get(s, 0.0), *d) for s, (f, d) in rows.items()], ddl)
 
 
 def unit_factors(units: DataFrame, column: str) -> DataFrame:
-    """``column, factor, dimension`` of each distinct unit text; null factor when it cannot be read.
+    """``column, factor, zero, dimension`` of each distinct unit text; all null when it cannot be read.
 
-    Works on distinct texts: the terms of a product or quotient become rows, meet the unit table,
-    and are multiplied back together.
+    Works on distinct texts: the terms of a text become rows, meet the unit table, and are multiplied
+    back together. ``zero`` is what the unit's 0 is in base units; it counts where a temperature
+    stands alone, while in a product or power a degree is a difference.
     """
-    text = F.regexp_replace(F.col(column), r"\^", "**")
-    text = F.regexp_replace(text, r"\s*(\*\*|\*|/)\s*", "$1")
-    text = F.regexp_replace(text, r"\(([A-Za-z%µμ]+)\)", "$1")
-    text = codes.clean_unit(text)
-    text = F.regexp_replace(text, r"\b10\*(\d+)", "10**$1")
     distinct = units.select(column).filter(F.col(column).isNotNull()).distinct()
-    read = distinct.withColumn("_text", F.trim(text)).withColumn(
-        "_whole", F.col("_text").rlike(_WHOLE)
-    )
-    terms = read.select(
-        column,
-        "_whole",
-        F.posexplode_outer(
-            F.arrays_zip(
-                F.regexp_extract_all("_text", F.lit(_TERM), 1).alias("op"),
-                F.regexp_extract_all("_text", F.lit(_TERM), 2).alias("symbol"),
-                F.regexp_extract_all("_text", F.lit(_TERM), 3).alias("power"),
-            )
-        ).alias("_pos", "_term"),
-    ).select(
-        column,
-        "_whole",
-        F.col("_term.symbol").alias("symbol"),
-        F.when(F.col("_term.op") == "/", -1).otherwise(1).alias("_sign"),
-        F.coalesce(F.expr("try_cast(_term.power as int)"), F.lit(1)).alias("_power"),
+    read = distinct.withColumn("_terms", unit_terms(F.col(column)))
+    terms = read.select(column, F.size("_terms").alias("_size"), F.explode_outer("_terms").alias("_term")).select(
+        column, "_size", F.col("_term.symbol").alias("symbol"), F.col("_term.power").alias("_power")
     )
     table = F.broadcast(unit_table(units.sparkSession))  # fixed size
     known = terms.join(table, "symbol", "left")
-    exponent = F.col("_sign") * F.col("_power")
     base = F.coalesce(F.col("factor"), F.expr("try_cast(symbol as double)"))
-    readable = F.min(F.col("_whole") & base.isNotNull())
+    readable = F.min(base.isNotNull())
+    alone = (F.col("_size") == 1) & (F.col("_power") == 1)
     dimension = F.concat_ws(
         ",",
-        *[F.sum(F.coalesce(F.col(d), F.lit(0)) * exponent).cast("string") for d in DIMENSIONS],
+        *[F.sum(F.coalesce(F.col(d), F.lit(0)) * F.col("_power")).cast("string") for d in DIMENSIONS],
     )
     return known.groupBy(column).agg(
-        F.when(readable, F.product(F.pow(base, exponent))).alias("factor"),
+        F.when(readable, F.product(F.pow(base, F.col("_power")))).alias("factor"),
+        F.when(readable, F.max(F.when(alone, F.coalesce("zero", F.lit(0.0))).otherwise(0.0))).alias("zero"),
         F.when(readable, dimension).alias("dimension"),
     )
 
@@ -177,22 +164,30 @@ def base_units(labs: DataFrame) -> DataFrame:
 
 
 def conversion_factors(pairs: DataFrame, base: str, other: str) -> DataFrame:
-    """Add ``conversion_factor`` from unit ``other`` to unit ``base``: 1 for equal text, null if incompatible."""
+    """Add ``conversion_factor`` and ``conversion_offset`` from unit ``other`` to unit ``base``.
+
+    Equal text gives 1 and 0, incompatible units null. A value is converted as value * factor +
+    offset; the offset is 0 but between temperatures with different zeros.
+    """
     units = pairs.select(F.explode(F.array(base, other)).alias("_unit"))
     factors = unit_factors(units, "_unit")
     side = lambda p, c: factors.select(
-        F.col("_unit").alias(c), F.col("factor").alias(f"{p}_f"), F.col("dimension").alias(f"{p}_d")
+        F.col("_unit").alias(c), *[F.col(x).alias(f"{p}_{x[0]}") for x in ("factor", "zero", "dimension")]
     )
     joined = pairs.join(side("_b", base), base, "left").join(side("_o", other), other, "left")
     same = codes.clean_unit(F.col(base)) == codes.clean_unit(F.col(other))
-    ratio = F.when(F.col("_b_d") == F.col("_o_d"), _significant(F.col("_o_f") / F.col("_b_f")))
-    return joined.withColumn(
-        "conversion_factor", F.when(same, F.lit(1.0)).otherwise(ratio)
-    ).drop("_b_f", "_b_d", "_o_f", "_o_d")
+    alike = F.col("_b_d") == F.col("_o_d")
+    ratio = F.when(alike, _significant(F.col("_o_f") / F.col("_b_f")))
+    offset = F.when(alike, _significant((F.col("_o_z") - F.col("_b_z")) / F.col("_b_f")))
+    return (
+        joined.withColumn("conversion_factor", F.when(same, F.lit(1.0)).otherwise(ratio))
+        .withColumn("conversion_offset", F.when(same, F.lit(0.0)).otherwise(offset))
+        .drop("_b_f", "_b_z", "_b_d", "_o_f", "_o_z", "_o_d")
+    )
 
 
 def unit_conversions(labs: DataFrame) -> DataFrame:
-    """``lx_lab_code, lx_result_unit`` (base), ``lx_result_other_unit, conversion_factor``, one row per unit seen."""
+    """``lx_lab_code, lx_result_unit`` (base), ``lx_result_other_unit, conversion_factor, conversion_offset``, a row a unit seen."""
     ranked = ranked_units(labs)
     base = F.max(F.when(F.col("rank") == 1, F.col("lx_result_unit"))).over(
         Window.partitionBy("lx_lab_code")
@@ -201,7 +196,7 @@ def unit_conversions(labs: DataFrame) -> DataFrame:
         "lx_lab_code", F.col("lx_result_unit").alias("lx_result_other_unit"), base.alias("lx_result_unit")
     )
     return conversion_factors(pairs, "lx_result_unit", "lx_result_other_unit").select(
-        "lx_lab_code", "lx_result_unit", "lx_result_other_unit", "conversion_factor"
+        "lx_lab_code", "lx_result_unit", "lx_result_other_unit", "conversion_factor", "conversion_offset"
     )
 
 
@@ -228,14 +223,16 @@ def convert(labs: DataFrame, conversions: DataFrame, join: Join = salted_join) -
 
     ``join`` is how hot codes are met: ``scale.salted_join``, or ``skew.measured_join``.
     """
+    # A stored table without offsets has none but 0.
+    offset = F.col("conversion_offset") if "conversion_offset" in conversions.columns else F.lit(0.0)
     table = conversions.filter(F.col("conversion_factor").isNotNull()).select(
-        "lx_lab_code", "lx_result_other_unit", "conversion_factor", "lx_result_unit"
+        "lx_lab_code", "lx_result_other_unit", "conversion_factor", offset.alias("_offset"), "lx_result_unit"
     )
     named = labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit")
     joined = join(named, table, ["lx_lab_code", "lx_result_other_unit"])
     scaled = joined.withColumn(
-        "lx_result_val_converted", F.col("lx_result_val") * F.col("conversion_factor")
-    )
+        "lx_result_val_converted", F.col("lx_result_val") * F.col("conversion_factor") + F.col("_offset")
+    ).drop("_offset")
     return scaled.filter(F.col("lx_result_val_converted").isNotNull())
 
 
@@ -410,7 +407,9 @@ def _rewrites(tokens: DataFrame, conversions: DataFrame, table: DataFrame, group
     bounds = F.col("percentile_boundaries")
     other = F.raise_error(F.concat(F.lit(f"not a table of {groups} groups: "), F.size(bounds).cast("string"), F.lit(" boundaries")))
     group = F.when(
-        F.size(bounds) + 1 == groups, codes.percentile_group(F.col("_value") * F.col("conversion_factor"), bounds, step)
+        F.size(bounds) + 1 == groups, codes.percentile_group(
+            F.col("_value") * F.col("conversion_factor") + F.col("conversion_offset"), bounds, step
+        )
     ).otherwise(other.cast("string"))
     return (
         parsed.join(base, "lx_lab_code")
