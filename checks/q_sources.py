@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import standins as st
 from checks.registry import big, query, time_text
 from medstrand.operators import sequence as sq
-from medstrand.sources import readers, sinks
+from medstrand.sources import outputs, readers, sinks
 
 
 @query(
@@ -161,3 +161,57 @@ def dataset_length(spark, d):
     path = sinks.scratch_path(spark, "by-language")
     st.table(spark, d, "documents").select("doc_id", "lang").repartition("lang").write.partitionBy("lang").parquet(path)
     return sq.dataset_length(readers.with_file(readers.read_parquet(spark, path)), 0.3)
+
+
+@query(
+    "vocab_parts",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id, 'ORDER:' || o_orderkey AS token FROM orders""",
+)
+def vocab_parts(spark, d):
+    """A vocabulary written and read by several tasks; ids are the line numbers over all files."""
+    path = sinks.scratch_path(spark, "vocab-parts")
+    orders = st.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("ORDER:"), "o_orderkey").alias("token"))
+    sinks.write_vocabulary(orders, path, parts=6)
+    return readers.read_vocabulary(spark, path).withColumn("id", big("id"))
+
+
+@query(
+    "rrf_faults",
+    """SELECT CASE WHEN o_orderkey % 5 < 2 THEN 'fits' WHEN o_orderkey % 5 = 2 THEN 'short' WHEN o_orderkey % 5 = 3 THEN 'long' ELSE 'open' END AS fault,
+         CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey END AS key, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS status,
+         CASE WHEN o_orderkey % 5 < 2 THEN 1 ELSE 0 END AS good
+       FROM orders""",
+)
+def rrf_faults(spark, d):
+    """Lines that fit, some with an empty column, and lines with a column less, one more or no last delimiter."""
+    path = sinks.scratch_path(spark, "faulty.RRF")
+    line = F.expr(
+        "case o_orderkey % 5 when 0 then concat(o_orderkey, '|', o_orderstatus, '|') when 1 then concat(o_orderkey, '||') "
+        "when 2 then concat(o_orderkey, '|') when 3 then concat(o_orderkey, '|', o_orderstatus, '|x|') else concat(o_orderkey, '|', o_orderstatus) end"
+    )
+    st.table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    good, bad = readers.read_rrf_checked(spark, path, ["KEY", "STATUS"])
+    kept = good.select(F.lit("fits").alias("fault"), big("KEY").alias("key"), F.col("STATUS").alias("status"), F.lit(1).alias("good"))
+    none = F.lit(None)
+    return kept.union(bad.select("_fault", none.cast("bigint"), none.cast("string"), F.lit(0)))
+
+
+@query(
+    "job_outputs",
+    """SELECT 'orders' AS name, o_orderkey::BIGINT AS key, n FROM orders, (SELECT count(*) AS n FROM orders)
+       UNION ALL SELECT 'customers', c_custkey, n FROM customer, (SELECT count(*) AS n FROM customer)""",
+)
+def job_outputs(spark, d):
+    """Two tables written together and read by their manifest, with the rows it names."""
+    base = sinks.scratch_path(spark, "job")
+    tables = {
+        f"{base}/orders": st.table(spark, d, "orders").select(F.col("o_orderkey").alias("key")),
+        f"{base}/customers": st.table(spark, d, "customer").select(F.col("c_custkey").alias("key")),
+    }
+    outputs.write_together(spark, tables, f"{base}/manifest.json")
+    rows = outputs.read_manifest(spark, f"{base}/manifest.json")
+    parts = [
+        df.select(F.lit(path.rpartition("/")[2]).alias("name"), big("key").alias("key"), F.lit(rows[path]).cast("bigint").alias("n"))
+        for path, df in outputs.read_together(spark, f"{base}/manifest.json").items()
+    ]
+    return parts[0].union(parts[1])

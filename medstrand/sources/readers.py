@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medstrand.sources.sinks import materialise
+
 # Columns of the terminology release's own description files.
 FILE_COLUMNS = ("FIL", "DES", "FMT", "CLS", "RWS", "BTS")
 COLUMN_COLUMNS = ("COL", "DES", "REF", "MIN", "AV", "MAX", "FIL", "DTY")
@@ -65,6 +67,35 @@ def read_rrf(
     return frame.select(*(usecols or columns))
 
 
+def rrf_lines(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Every line of such a file: its columns, and ``_line, _file, _fault``.
+
+    ``_fault`` is null where the line has as many delimiters as columns and ends in one; else it is
+    ``short``, ``long`` or ``open``, and the columns are null. Nothing of a line is lost: it is whole in ``_line``.
+    """
+    width = len(columns)
+    parts = F.split("value", r"\|", -1)
+    delimiters = F.size(parts) - 1
+    fault = (
+        F.when(delimiters > width, "long")
+        .when(delimiters == width, F.when(F.element_at(parts, -1) != "", "long"))
+        .when((delimiters == width - 1) & (F.element_at(parts, -1) != ""), "open")
+        .otherwise("short")
+    )
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), fault.alias("_fault"))
+    value = lambda i: F.when(F.col("_fault").isNull(), F.nullif(F.get(parts, F.lit(i)), F.lit("")))
+    return lines.select(*[value(i).alias(c) for i, c in enumerate(columns)], F.col("value").alias("_line"), "_file", "_fault")
+
+
+def read_rrf_checked(
+    spark: SparkSession, path: str, columns: Sequence[str], usecols: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``read_rrf`` of the lines that fit, and ``_line, _file, _fault`` of those that do not."""
+    lines = rrf_lines(spark, path, columns)
+    good = lines.filter(F.col("_fault").isNull()).select(*(usecols or columns))
+    return good, lines.filter(F.col("_fault").isNotNull()).select("_line", "_file", "_fault")
+
+
 def rrf_columns(files: DataFrame, name: str) -> list[str]:
     """Column names of one file, from the release's file list (one small row)."""
     row = files.filter(F.col("FIL") == name).select("FMT").first()
@@ -87,14 +118,35 @@ def parse_vocabulary(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, id`` of a text file or of the files of a folder in the order of their names; ids from 0 over all lines.
+
+    Files are read by splits. A line's number is its place in its split and the lines of the splits
+    before, whose counts are all that one task adds up: one row a split. The lines are stored once, so
+    both passes see the same splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    lines = materialise(lines, "lines")
+    split = ["_file", "_start"]
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(starts, split).select("line", (F.col("_before") + F.col("_at") - F.col("_first")).alias("id"))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """``token, id`` from a file of one token per line; the id is the line number from 0.
+    """``token, id`` from a file of one token per line, or a folder of such files; the id is the line number from 0.
 
-    The file is read as one value, which its bounded size allows, so line numbers are exact.
+    Empty lines are counted but give no token.
     """
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("id", "token"))
-    return lines.filter(F.col("token") != "").select("token", "id")
+    return numbered_lines(spark, path).filter(F.col("line") != "").select(
+        F.col("line").alias("token"), F.col("id").cast("int").alias("id")
+    )
 
 
 def read_label_tasks(spark: SparkSession, base: str, ddl: str, skipped: Sequence[str] = ()) -> DataFrame:

@@ -36,9 +36,10 @@ def write_splits(
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 
-def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
-    """One token per line in id order; the vocabulary's size is bounded, so one file is fine."""
-    vocabulary.repartition(1).sortWithinPartitions("id").select("token").write.mode("overwrite").text(path)
+def write_vocabulary(vocabulary: DataFrame, path: str, parts: int = 1) -> None:
+    """One token per line in id order: one file, or ``parts`` files whose names are in id order too."""
+    ordered = vocabulary.repartition(1) if parts == 1 else vocabulary.repartitionByRange(parts, "id")
+    ordered.sortWithinPartitions("id").select("token").write.mode("overwrite").text(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
