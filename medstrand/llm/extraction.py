@@ -1,17 +1,24 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one a block element. A line weighs the characters of its text outside
-links; lines in zones that are never article text (menus, headers, footers, sidebars, forms,
-adverts, notices, reader comments, found by element name or by class and id) weigh nothing, and
-where a page has an ``article`` or ``main`` element, lines outside of it weigh nothing either.
-Weights are summed over sliding windows of WINDOW lines. Text surges where a window's sum first
-passes the level, and dives for good where no later one does; from the first line with weight to the last
-between these, all lines outside zones are kept, in page order, however short. With an ``article`` or ``main`` the level is 0, so its shortest blocks
-stay; else it is LEVEL characters or a quarter of the page's largest window, whichever is less.
+links. Elements and class words change weights: lines of zones that hold no article text (menus, headers,
+footers, sidebars, forms, adverts, notices, reader comments) weigh nothing; where a page has an
+``article`` or ``main`` element, links inside it count as text and lines outside weigh nothing.
+
+On every page weights are summed over sliding windows of WINDOW lines, and the level is LEVEL characters or
+a quarter of the page's largest window, whichever is less. Text surges where a window's sum first passes
+the level, and dives for good where no later one does. As a short title or last paragraph may lie just
+outside, the ends move on over lines of the containers in which the text lies (of the same ``article``, or
+innermost ``div`` or ``section``) and over headings right before, until a line weighs nothing. All lines
+between the ends that are in no zone are kept, in page order, however short.
+
+A class or id marks a zone if, fillers such as ``box`` or ``top`` apart, all its words name one ("ad", "cookie-bar").
+Where only some do ("form-factor"), or where a word has other uses too ("legal"), the mark is a doubt: its lines weigh
+nothing outside an ``article``, but inside the text they stay if most of their characters lie outside links.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
-by a line feed. Nothing else is dropped. A null or empty page has an empty text; repeated rows get a
-row each; an empty table gives no rows; columns not named are left out.
+by a line feed. Nothing else is dropped. A null or empty page has an empty text; a very long page is read
+whole; repeated rows get a row each; an empty table gives no rows; columns not named are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +46,20 @@ _ZONE_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget copyright disclaimer legal form search".split()
 )
+# Those of them that article text is marked with as well.
+_DOUBTFUL_WORDS = frozenset("legal form search header widget".split())
+# Words beside them that change nothing.
+_FILLERS = frozenset(
+    "site page main list box block container wrapper wrap area section inner outer unit slot top bottom left right "
+    "item items link links bar button buttons posts global primary secondary js id the of".split()
+)
 _ZONE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 _CONTAINERS = {
     "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "menu", "dialog", "ul", "ol", "dl",
     "table", "body", "html", "head", "blockquote", "figure", "fieldset", "details",
 }
+# Containers whose lines belong together.
+_HOMES = {"div", "section", "article", "main"}
 _BREAKS = _CONTAINERS | {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption",
     "pre", "hr", "figcaption", "address", "summary", "legend", "center",
@@ -59,26 +76,51 @@ _HREF = re.compile(r"""(?<![\w-])href\s*=""", re.IGNORECASE)
 _PIECE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def _is_zone(name: str, attributes: str, in_article: bool) -> bool:
+CLEAR, DOUBT, ZONE = 0, 1, 2
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int
+    in_article: bool
+    # CLEAR, DOUBT or ZONE.
+    mark: int
+    # The container whose text the line is; 0 for the page itself.
+    home: int
+    heading: bool
+    # Whether most characters lie outside links.
+    reads: bool
+
+
+def _mark_of(name: str, attributes: str, in_article: bool) -> int:
     if name in _ZONES and not (name == "header" and in_article):
-        return True
+        return ZONE
     if not attributes or name in ("body", "html", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return CLEAR
     role = _ROLE.search(attributes)
     if role and role[1].lower() in _ZONE_ROLES:
-        return True
-    return any(
-        piece.lower() in _ZONE_WORDS for value in _NAMES.findall(attributes) for piece in _PIECE.findall(value)
-    )
-
-
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Lines of a page as (text, weight, in an article or main element, in a zone); zones weigh nothing."""
-    out: list[tuple[str, int, bool, bool]] = []
-    # Open containers as (name, whether it is a zone, whether it is an article).
-    stack: list[tuple[str, bool, bool]] = []
-    zones = articles = 0
-    links, linked, in_block = 0, 0, False
+        return ZONE
+    mark = CLEAR
+    for value in _NAMES.findall(attributes):
+        for word in value.strip("\"'").split():
+            pieces = {piece.lower() for piece in _PIECE.findall(word)}
+            named = pieces & _ZONE_WORDS
+            if named - _DOUBTFUL_WORDS and pieces <= _ZONE_WORDS | _FILLERS:
+                return ZONE
+            mark = max(mark, DOUBT if named else CLEAR)
+    return mark
+
+
+def lines(page: str) -> list[Line]:
+    """Lines of a page in their order."""
+    out: list[Line] = []
+    # Open containers as (name, mark, whether it is an article, home).
+    stack: list[tuple[str, int, bool, int]] = []
+    # Open zones and doubts; the mark of the open block that is no container.
+    open_marks = [0, 0, 0]
+    articles = homes = 0
+    block_mark = CLEAR
+    links, linked = 0, 0
     # The open block that is no container; the one the link began in, and blocks opened since.
     block_name = link_in = None
     link_depth = 0
@@ -89,15 +131,22 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, 0 if zones else max(0, len(text) - linked), articles > 0, zones > 0))
+                mark = max(block_mark, ZONE if open_marks[ZONE] else DOUBT if open_marks[DOUBT] else CLEAR)
+                plain = max(0, len(text) - linked)
+                # In an article a link is part of the text, and a doubt weighs half.
+                weight = len(text) if articles else plain
+                if mark:
+                    weight = (weight + 1) // 2 if mark == DOUBT and articles else 0
+                heading = block_name is not None and len(block_name) == 2 and block_name[1].isdigit()
+                home = stack[-1][3] if stack else 0
+                out.append(Line(text, weight, articles > 0, mark, home, heading, 2 * plain > len(text)))
             parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        # In an article a link is part of the text.
-        if links and not articles:
+        if links:
             linked += len(" ".join(html.unescape(text).split()))
 
     at = 0
@@ -129,26 +178,28 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if not mark["end"]:
                 block_name = None if name in _CONTAINERS or name == "hr" else name
         if name in _CONTAINERS:
-            zones -= in_block
-            in_block = False
+            block_mark = CLEAR
             if not mark["end"]:
-                zone = _is_zone(name, attributes, articles > 0)
-                article = name in ("article", "main") and not zone
-                stack.append((name, zone, article))
-                zones += zone
+                found = _mark_of(name, attributes, articles > 0)
+                article = name in ("article", "main") and found == CLEAR
+                home = stack[-1][3] if stack else 0
+                # All of an article is one home; what is in doubt, or only sets out text, is of the home around it.
+                if not articles and name in _HOMES and found != DOUBT:
+                    homes += 1
+                    home = homes
+                stack.append((name, found, article, home))
+                open_marks[found] += 1
                 articles += article
-            elif any(name == opened for opened, _, _ in stack):
+            elif any(name == opened for opened, *_ in stack):
                 while True:
-                    opened, zone, article = stack.pop()
-                    zones -= zone
+                    opened, found, article, _ = stack.pop()
+                    open_marks[found] -= 1
                     articles -= article
                     if opened == name:
                         break
         elif name in _BREAKS:
             # A block that names itself a zone is one until any block begins or ends.
-            block = not mark["end"] and bool(attributes) and _is_zone(name, attributes, articles > 0)
-            zones += block - in_block
-            in_block = block
+            block_mark = _mark_of(name, attributes, articles > 0) if not mark["end"] and attributes else CLEAR
     if at < len(page):
         add(page[at:])
     end_line()
@@ -158,24 +209,39 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None, window: int = WINDOW, level: int = LEVEL) -> str:
     """Kept lines of a page, joined by line feeds."""
     found = lines(page or "")
-    if not found:
-        return ""
-    if any(inside and weight for _, weight, inside, _ in found):
-        weights, level = [weight if inside else 0 for _, weight, inside, _ in found], 0
-    else:
-        weights = [weight for _, weight, _, _ in found]
+    has_article = any(line.in_article and line.weight for line in found)
+    weights = [line.weight if line.in_article or not has_article else 0 for line in found]
     padded = weights + [0] * (window - 1)
     sums = [sum(padded[i : i + window]) for i in range(len(weights))]
-    whole = level == 0
-    if level:
-        level = min(level, max(sums) // 4)
+    level = min(level, max(sums, default=0) // 4)
     above = [i for i, total in enumerate(sums) if total > level]
     if not above:
         return ""
     # The text goes from the first surge to the last dive.
     text = [i for i in range(above[0], min(above[-1] + window, len(found))) if weights[i]]
-    between = found[text[0] : text[-1] + 1]
-    return "\n".join(line for line, _, inside, zone in between if not zone and (inside or not whole))
+    homes = {found[i].home for i in text}
+
+    def of_text(i: int) -> bool:
+        line = found[i]
+        if line.mark == ZONE or has_article and not line.in_article:
+            return False
+        return line.mark == CLEAR or line.reads and line.home in homes
+
+    def end(at: int, step: int) -> int:
+        last = at
+        while 0 <= at + step < len(found):
+            at += step
+            line = found[at]
+            if line.mark == ZONE:
+                continue
+            same = line.home in homes and line.home and (weights[at] or line.mark == DOUBT and line.reads)
+            if not (of_text(at) and (same or step < 0 and line.heading and weights[at] and at == last - 1)):
+                break
+            last = at
+        return last
+
+    first, last = end(text[0], -1), end(text[-1], 1)
+    return "\n".join(found[i].text for i in range(first, last + 1) if of_text(i))
 
 
 def extract(pages: DataFrame, key: str = "page_id", content: str = "html") -> DataFrame:

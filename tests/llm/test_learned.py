@@ -130,6 +130,15 @@ PAGES = [
      "Head\n" + ("word " * 30).strip() + "\nShort.\n" + ("more " * 30).strip()),
     ("<article><header><h1>Title</h1></header><p>a\xa0 b\n c</p><aside>x</aside><form>f</form><section class=comments>"
      "<article class=comment><p>c</p></article></section><p>end", "Title\na b c\nend"),
+    # Words of a class that article text has too; a short beginning and end of the block in which the text surges.
+    ("<article><h1>T</h1><p class='legal'>On the law.</p><div class='form-factor'>Small.</div><p>" + "word " * 30 + "</p>"
+     "<div class='ad-box'>Buy</div><p class='legal'><a href='/x'>Terms of use</a></p><p>e</p></article>",
+     "T\nOn the law.\nSmall.\n" + ("word " * 30).strip() + "\ne"),
+    ("<body><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul><div>Unmarked notice.</div><div><h1>On</h1><p>A.<p>B.<p>C.<p>D.<p>"
+     + "word " * 40 + "<p class=legal>E.<p>F.<div class='form-factor'>G.</div><p>H.</div><div>&copy; us</div>",
+     "On\nA.\nB.\nC.\nD.\n" + ("word " * 40).strip() + "\nE.\nF.\nG.\nH."),
+    ("<div class=top>Log</div><p>Tip</p><p>x</p><p>y</p><h2>Title</h2><table><tr><td>" + "cell " * 60 + "</td></tr></table><p>z</p>"
+     "<div class='sidebar-left'>" + "other " * 30 + "</div>", "y\nTitle\n" + ("cell " * 60).strip() + "\nz"),
     ("", ""), (None, ""), ("<p", ""), ("just text", "just text"), ("<nav>n</nav>", ""),
 ]
 
@@ -152,6 +161,9 @@ def test_op5(spark, sf):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p|article)[^>]*>", inside)]
         assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+        # Surge and dive find the same text where no element names it.
+        unnamed = re.sub(r"(</?)article\b", r"\1div", r["html"])
+        assert extraction.main_text(unnamed) == got[r["page_id"]]["text"]
 
 
 def test_extraction_of_odd_tables(spark):
