@@ -17,11 +17,14 @@ band of three smallest shingle hashes; texts whose shingle sets are alike at 0.8
 bands in 9,998 of 10,000 cases. The links are then checked against the shingles themselves. That
 makes most groups at little cost. Shards whose members are then not all of one group are searched
 again without fingerprints, at any distance of these: all their pairs of different groups that are alike are found through
-each text's rarest shingles, of which one must be shared, so no pair that shares a band is lost. A
-task holds the shingles of one such shard.
+each text's rarest shingles, of which one must be shared, so no pair that shares a band is lost.
 
 The trees of all shards hold all fingerprints, which no broadcast may; each shard's tree is built
-in the task its members are shuffled to.
+in the task its members are shuffled to. Shards with more than SHARD_MEMBERS members (SHARD_TEXTS where
+shingles are compared) are divided: members are dealt to slices of half as many, and there is a shard for each two
+slices, so that any two members still meet. Where shingles are compared the largest group has slices of its
+own, which meet only those of the other groups: a great group of copies with some strays is copied once.
+A very long text counts as one member; its shingles take eight bytes a word.
 
 Nulls: a null text is empty, and has the fingerprint zero; to ``deduplicate``, texts without words
 are alike only where they are equal. Equal texts and repeated rows share a
@@ -50,6 +53,8 @@ LIKENESS = 0.8
 # Bits by which texts of LIKENESS differ: about ten expected, eighteen at three deviations.
 LIKE_RADIUS = 18
 BANDS, BAND_ROWS = 12, 3
+# Members and texts of one shard that a task holds at once, on average; more are divided.
+SHARD_MEMBERS, SHARD_TEXTS = 1024, 512
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +196,51 @@ def block_shards(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(a), F.lit(b), block(a), block(b)) for a, b in combinations(range(count), 2)])
 
 
+def divided(members: DataFrame, most: int) -> DataFrame:
+    """``members`` with shards of more than ``most`` in their place divided, so that any two of one shard meet in one."""
+    counts = members.groupBy("shard").count().filter(F.col("count") > most)
+    hot = materialise(counts.select("shard", F.ceil(F.col("count") / (most / 2)).cast("int").alias("_of")), "hot_shards")
+    own = F.pmod(F.xxhash64("node"), F.col("_of")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_of") - 1), lambda i: i != own)
+    meetings = F.transform(others, lambda i: F.xxhash64("shard", F.least(i, own), F.greatest(i, own)))
+    shards = F.when(F.col("_of").isNull(), F.array("shard")).otherwise(meetings)
+    kept = [c for c in members.columns if c != "shard"]
+    return members.join(hot, "shard", "left").select(*kept, F.explode(shards).alias("shard"))
+
+
+def divided_by_group(members: DataFrame, most: int) -> DataFrame:
+    """The same for members that only meet those of another ``root``; the largest one's slices meet all others."""
+    half = most / 2
+    sizes = members.groupBy("shard", "root").count()
+    totals = sizes.groupBy("shard").agg(
+        F.sum("count").alias("_all"), F.max(F.struct("count", "root")).alias("_top")
+    ).filter(F.col("_all") > most)
+    hot = materialise(
+        totals.select(
+            "shard",
+            F.col("_top.root").alias("_largest"),
+            F.ceil(F.col("_top.count") / half).cast("int").alias("_large"),
+            F.ceil((F.col("_all") - F.col("_top.count")) / half).cast("int").alias("_rest"),
+        ),
+        "hot_shards",
+    )
+    in_largest = F.col("root") == F.col("_largest")
+    own = F.pmod(F.xxhash64("node"), F.when(in_largest, F.col("_large")).otherwise(F.col("_rest"))).cast("int")
+    large, rest = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("_large", "_rest"))
+    with_rest = F.transform(rest, lambda i: F.xxhash64("shard", F.lit("largest"), i, own))
+    with_largest = F.transform(large, lambda i: F.xxhash64("shard", F.lit("largest"), own, i))
+    others = F.transform(
+        F.filter(rest, lambda i: i != own), lambda i: F.xxhash64("shard", F.lit("rest"), F.least(i, own), F.greatest(i, own))
+    )
+    shards = (
+        F.when(F.col("_largest").isNull(), F.array("shard"))
+        .when(in_largest, with_rest)
+        .otherwise(F.concat(with_largest, others))
+    )
+    kept = [c for c in members.columns if c != "shard"]
+    return members.join(hot, "shard", "left").select(*kept, F.explode(shards).alias("shard"))
+
+
 def shard_links(members: DataFrame, radius: int, nearest: bool) -> DataFrame:
     """Distinct links ``a``, ``b`` between nodes of one shard.
 
@@ -241,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     prints = materialise(fingerprint(docs, words, [key]), "fingerprints")
     members = materialise(prints.groupBy("fp").agg(F.min(key).alias("_least")), "members")
     shards = members.select(F.col("fp").alias("node"), "fp", F.explode(block_shards(F.col("fp"), radius)).alias("shard"))
-    roots = components(shard_links(shards, radius, nearest=False)).withColumnRenamed("node", "fp")
+    roots = components(shard_links(divided(shards, SHARD_MEMBERS), radius, nearest=False)).withColumnRenamed("node", "fp")
     rooted = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -379,7 +429,7 @@ def like_groups(
         "members",
     )
     shards = members.select(F.col("digest").alias("node"), "fp", F.explode("bands").alias("shard"))
-    links = materialise(shard_links(shards, radius, nearest=True), "links")
+    links = materialise(shard_links(divided(shards, SHARD_MEMBERS), radius, nearest=True), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     # One row of each text that has a link.
     texts = materialise(_texts(docs, members, ends, key), "texts")
@@ -393,7 +443,8 @@ def like_groups(
     several = banded.groupBy("shard").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
     mixed = materialise(banded.join(several.select("shard"), "shard"), "mixed")
     texts = materialise(_texts(docs, members, mixed.select("digest").distinct(), key), "texts")
-    rest = mixed_links(mixed.join(texts, "digest").withColumnRenamed("digest", "node"), words, likeness)
+    dealt = divided_by_group(mixed.withColumnRenamed("digest", "node"), SHARD_TEXTS)
+    rest = mixed_links(dealt.join(texts.withColumnRenamed("digest", "node"), "node"), words, likeness)
     joined = roots.select(F.col("digest").alias("a"), F.col("root").alias("b")).unionByName(rest)
     roots = components(joined).withColumnRenamed("node", "digest")
     return members.select("digest", "_least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -100,7 +100,29 @@ def brute_components(pairs):
     return [least.get(find(i)) for i in range(len(pairs))]
 
 
-def test_components_match_brute_force(make):
+@pytest.fixture(params=[None, 4])
+def most(request, monkeypatch):
+    """Shards as they are, and all but the smallest of them divided."""
+    if request.param:
+        monkeypatch.setattr(simhash_dedup, "SHARD_MEMBERS", request.param)
+        monkeypatch.setattr(simhash_dedup, "SHARD_TEXTS", request.param)
+
+
+def test_divided_shards_let_any_two_members_meet(spark):
+    rows = [(s, n, n // 60 if s else n % 3) for s, size in ((0, 40), (1, 75), (2, 5)) for n in range(size)]
+    members = spark.createDataFrame(rows, "shard long, node long, root long")
+    for found, all_pairs in ((simhash_dedup.divided(members, 10), True), (simhash_dedup.divided_by_group(members, 10), False)):
+        shards = {}
+        for r in found.collect():
+            shards.setdefault(r["shard"], set()).add((r["node"], r["root"]))
+        met = {pair for held in shards.values() for pair in combinations(sorted(held), 2)}
+        assert max(map(len, shards.values())) < 30 and set(shards) >= {2}
+        for size, root in ((40, lambda n: n % 3), (75, lambda n: n // 60)):
+            for a, b in combinations(range(size), 2):
+                assert ((a, root(a)), (b, root(b))) in met or not all_pairs and root(a) == root(b)
+
+
+def test_components_match_brute_force(make, most):
     base = prose(3, 300).split()
     texts = [(i, " ".join(base[: 280 + i % 20])) for i in range(60)] + [(100 + i, prose(i + 10, 90)) for i in range(30)]
     texts += [(None, prose(3, 300)), (None, "lone"), (7, None), (8, ""), (9, "a b"), (9, "a b"), (11, "A\x0bB")]
@@ -235,7 +257,7 @@ def like_components(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_families_around_the_likeness_match_brute_force(make):
+def test_families_around_the_likeness_match_brute_force(make, most):
     rng = np.random.default_rng(4)
     texts = []
     for family in range(4):
