@@ -11,6 +11,7 @@ from medstrand.functions import codes
 from medstrand.functions.units import unit_terms
 from medstrand.operators.scale import Join, salted_join
 from medstrand.schema import sequence_element
+from medstrand.sources.sinks import materialise
 
 # Decimal prefixes of unit symbols.
 PREFIXES = {
@@ -382,52 +383,61 @@ def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFra
     )
 
 
-def _rewrites(tokens: DataFrame, conversions: DataFrame, table: DataFrame, groups: int) -> DataFrame:
-    """``_token`` and ``_new`` of the distinct lab tokens that can be read and converted.
+def _parsed(rows: DataFrame, token: Column) -> DataFrame:
+    """``rows`` of lab tokens with ``lx_lab_code``, ``_unit`` and ``_value``, null where a token cannot be read."""
+    part = F.split(token, ":")
+    read = F.size(part) == 4
+    return rows.withColumns(
+        {
+            "lx_lab_code": F.when(read, F.get(part, F.lit(1))),
+            "_unit": F.when(read, F.get(part, F.lit(3))),
+            "_value": F.when(read, codes.plain_number(F.get(part, F.lit(2)))),
+        }
+    )
+
 
-    Boundaries fitted for another number of groups stop the job.
+def _rewritten(parsed: DataFrame, conversions: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """``parsed`` with ``_new``, the token with its percentile group; null where it cannot be converted.
+
+    Tokens with values are nearly all different, so they are not looked up by themselves: factors and
+    boundaries are found for the distinct pairs of code and unit, whose number does not grow with the
+    values. Boundaries fitted for another number of groups stop the job.
     """
     step = 100 // groups
-    part = F.split("_token", ":")
-    parsed = (
-        tokens.filter(F.size(part) == 4)
-        .select(
-            "_token",
-            F.get(part, F.lit(1)).alias("lx_lab_code"),
-            F.get(part, F.lit(2)).alias("_value"),
-            F.get(part, F.lit(3)).alias("_unit"),
-        )
-        .withColumn("_value", codes.plain_number(F.col("_value")))
-        .filter(F.col("_value").isNotNull())
-    )
+    pairs = parsed.filter(F.col("_value").isNotNull()).select("lx_lab_code", "_unit").distinct()
     base = conversions.select("lx_lab_code", F.col("lx_result_unit").alias("_base")).distinct()
-    factors = conversion_factors(
-        parsed.join(base, "lx_lab_code").select("_base", "_unit").distinct(), "_base", "_unit"
-    )
+    based = pairs.join(base, "lx_lab_code")
+    factors = conversion_factors(based.select("_base", "_unit").distinct(), "_base", "_unit")
     bounds = F.col("percentile_boundaries")
+    # Stored first: then the join knows how few they are, and the pairs are not sought again.
+    found = materialise(
+        based.join(factors, ["_base", "_unit"])
+        .filter(F.col("conversion_factor").isNotNull())
+        .join(table.select("lx_lab_code", "percentile_boundaries"), "lx_lab_code")
+        .select("lx_lab_code", "_unit", "conversion_factor", "conversion_offset", "percentile_boundaries"),
+        "rewrites",
+    )
     other = F.raise_error(F.concat(F.lit(f"not a table of {groups} groups: "), F.size(bounds).cast("string"), F.lit(" boundaries")))
     group = F.when(
         F.size(bounds) + 1 == groups, codes.percentile_group(
             F.col("_value") * F.col("conversion_factor") + F.col("conversion_offset"), bounds, step
         )
     ).otherwise(other.cast("string"))
-    return (
-        parsed.join(base, "lx_lab_code")
-        .join(factors, ["_base", "_unit"])
-        .filter(F.col("conversion_factor").isNotNull())
-        .join(table.select("lx_lab_code", "percentile_boundaries"), "lx_lab_code")
-        .select("_token", F.concat(F.lit("LOINC:"), "lx_lab_code", F.lit(":"), group).alias("_new"))
-    )
+    new = F.concat(F.lit("LOINC:"), "lx_lab_code", F.lit(":"), group)
+    known = F.col("_value").isNotNull() & bounds.isNotNull()
+    return salted_join(parsed, found, ["lx_lab_code", "_unit"], "left").withColumn("_new", F.when(known, new))
 
 
 def event_percentiles(events: DataFrame, conversions: DataFrame, table: DataFrame, groups: int = 10) -> DataFrame:
-    """Long events with ``LOINC:code:value:unit`` tokens rewritten to ``LOINC:code:a-b``; those that cannot be drop."""
-    is_lab = F.col("general_event_token").startswith("LOINC")
-    seen = events.filter(is_lab).select(F.col("general_event_token").alias("_token")).distinct()
-    named = events.withColumn("_token", F.col("general_event_token"))
-    joined = salted_join(named, _rewrites(seen, conversions, table, groups), ["_token"], "left")
-    kept = joined.filter(F.col("_new").isNotNull() | ~is_lab | F.col("general_event_token").isNull())
-    return kept.withColumn("general_event_token", F.coalesce("_new", "general_event_token")).select(*events.columns)
+    """Long events with ``LOINC:code:value:unit`` tokens rewritten to ``LOINC:code:a-b``; those that cannot be drop.
+
+    ``events`` are read twice, so they should be stored.
+    """
+    token = F.col("general_event_token")
+    is_lab = F.coalesce(token.startswith("LOINC"), F.lit(False))
+    labs = _rewritten(_parsed(events.filter(is_lab), token), conversions, table, groups).filter(F.col("_new").isNotNull())
+    labs = labs.withColumn("general_event_token", F.col("_new")).select(*events.columns)
+    return events.filter(~is_lab).unionByName(labs)
 
 
 def token_percentiles(
@@ -439,19 +449,17 @@ def token_percentiles(
 ) -> DataFrame:
     """Rewrite ``LOINC:code:value:unit`` elements of ``seq`` to ``LOINC:code:a-b``.
 
-    Distinct lab tokens are translated once and joined back; malformed or unconvertible ones are dropped.
+    Malformed or unconvertible ones are dropped. ``sequences`` are read twice, so they should be stored.
     """
     keys = list(keys)
     items = sequences.select(*keys, F.posexplode_outer("seq").alias("_pos", "_x"))
-    is_lab = F.col("_x.token").startswith("LOINC")
-    seen = items.filter(is_lab).select(F.col("_x.token").alias("_token")).distinct()
-    rewritten = _rewrites(seen, conversions, table, groups)
-    joined = salted_join(items.withColumn("_token", F.col("_x.token")), rewritten, ["_token"], "left")
-    keep = F.col("_new").isNotNull() | ~F.col("_x.token").startswith("LOINC")
-    token = F.coalesce("_new", F.col("_x.token"))
+    is_lab = F.coalesce(F.col("_x.token").startswith("LOINC"), F.lit(False))
+    labs = _rewritten(_parsed(items.filter(is_lab), F.col("_x.token")), conversions, table, groups)
+    others = items.filter(~is_lab).withColumn("_new", F.col("_x.token"))
+    joined = others.unionByName(labs.select(*keys, "_pos", "_x", "_new"))
     rebuilt = joined.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.when(keep, F.struct("_pos", "_x", token.alias("_t"))))),
+            F.array_sort(F.collect_list(F.when(F.col("_new").isNotNull(), F.struct("_pos", "_x", F.col("_new").alias("_t"))))),
             lambda y: sequence_element(y["_x"]["date"], y["_x"]["day"], y["_t"]),
         ).alias("seq")
     )

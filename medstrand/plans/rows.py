@@ -91,7 +91,7 @@ def multilabel_lab_rows(
     doing it once per person gives what doing it once per label would. Equal times stay in the
     order of the tokens as they came.
     """
-    named = events.withColumn("_was", F.col("general_event_token"))
+    named = materialise(events.withColumn("_was", F.col("general_event_token")), "events")
     rewritten = labs.event_percentiles(named, conversions, percentiles, groups)
     return multilabel_rows(rewritten, vocabulary, max_length, max_position, label, 100 // groups, "_was")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
-from medstrand.operators import labels, meds, scale, sequence, splits, timeline
+from medstrand.operators import labels, labs, meds, scale, sequence, splits, timeline
 from medstrand.plans import rows
 from medstrand.sources import sinks
 
@@ -211,3 +211,17 @@ def test_split_files_are_bounded(spark, tmp_path):
     assert len(glob.glob(str(tmp_path / "s/split=train/label=0/*.parquet"))) <= 6
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 5000 and back.filter("split = 'test'").count() == rows.filter("split = 'test'").count()
+
+
+def test_lab_tokens_are_rewritten_by_code_and_unit(spark):
+    """Tokens with values are nearly all different: no lookup of them is copied once a salt."""
+    events = spark.range(400).select(
+        F.col("id").alias("person_id"), F.concat(F.lit("LOINC:1-1:"), F.col("id").cast("string"), F.lit(":g/L")).alias("general_event_token")
+    )
+    malformed = spark.createDataFrame([(1, "LOINC:1-1"), (2, "LOINC:1-1:x:g/L"), (3, "LOINC:2-2:5:g/L"), (4, "LOINC:1-1:5:mmol/L"), (5, "OTHER:1"), (6, None)], "person_id long, general_event_token string")
+    conversions = spark.createDataFrame([("1-1", "g/L", "g/L", 1.0, 0.0)], "lx_lab_code string, lx_result_unit string, lx_result_other_unit string, conversion_factor double, conversion_offset double")
+    table = spark.createDataFrame([("1-1", [100.0, 200.0, 300.0])], "lx_lab_code string, percentile_boundaries array<double>")
+    out = labs.event_percentiles(events.union(malformed), conversions, table, 4)
+    got = {(r[0], r[1]): r[2] for r in out.groupBy("general_event_token", F.col("person_id") > 5).count().collect()}
+    assert sum(got.values()) == 402 and got[("LOINC:1-1:75-100", True)] == 100 and got[("OTHER:1", False)] == got[(None, True)] == 1
+    assert "_token" not in plan_of(out).replace("general_event_token", "")
