@@ -20,10 +20,9 @@ FIRST = "SELECT * FROM seqrows"
 
 
 def vocabulary(spark, d, sequences=st.sequences, split=False):
+    """Stored, as a job's vocabulary is: its size is then known when the tokens meet it."""
     counts = vocab.token_counts(timeline.parallel_arrays(sequences(spark, d)), split)
-    return vocab.vocabulary(counts, VOCAB_SIZE)
-
-
+    return materialise(vocab.vocabulary(counts, VOCAB_SIZE), "vocabulary")
 
 
 def shown(df, *keys):

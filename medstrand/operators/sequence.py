@@ -432,7 +432,7 @@ def label_samples_from_events(
     from that row: the join is on person and block, so no person is held in one task, and events are
     not repeated by label. Events whose token ``always`` accepts are gathered whatever their age.
 
-    Labels and events both read the numbering; ``save`` may store it. ``tie`` is the column that
+    Labels and events both read the numbering; ``save`` may store it and the rows it numbers. ``tie`` is the column that
     orders equal dates and days.
     """
     rows = aligned.filter(F.col("general_event_token").isNotNull())
@@ -445,6 +445,9 @@ def label_samples_from_events(
         events = ordered.filter(~mark).withColumn("_before", F.lag("general_event_token").over(within))
         events = events.filter(~F.col("_before").eqNullSafe(F.col("general_event_token"))).drop("_before")
         ordered = events.unionByName(ordered.filter(mark))
+    if save is not None:
+        # Totals and numbering both read these rows.
+        ordered = save(ordered, "ordered")
     numbered = running_totals(
         ordered,
         order=[("date", True), ("days_since_begin", True), (tie, True)],
