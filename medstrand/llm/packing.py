@@ -34,7 +34,7 @@ from medstrand.sources.sinks import materialise
 
 WINDOW = 1024
 # Chunks whose ids a task keeps at hand.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 100_000
 
 PIECES = "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -128,8 +128,10 @@ def tokenize(
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             size = 0
-            for doc_id, row, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encoder.encode(content or "") + b"\0\0\0\0"
+            # One text at a time: a batch's texts are in memory once already.
+            for doc_id, row, content in zip(*batch.columns, strict=True):
+                doc_id, row = doc_id.as_py(), row.as_py()
+                ids = encoder.encode(content.as_py() or "") + b"\0\0\0\0"
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]
@@ -137,7 +139,7 @@ def tokenize(
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
                 size += len(ids)
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield _record(out)
                     out, size = [[] for _ in range(7)], 0
             yield _record(out)

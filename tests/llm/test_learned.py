@@ -289,3 +289,12 @@ def test_short_lines_inside_the_text_stay(middle, text):
     menu = "".join(f"<p><a href='/{i}'>Menu {i}</a></p>" for i in range(5))
     plain = extraction.main_text(f"<body>{menu}<div>{parts}</div>{menu}</body>")
     assert plain == f"{LONG}\n{text}\n{LONG}" == extraction.main_text(f"<body>{menu}<article>{parts}</article>{menu}</body>")
+
+
+def test_packing_keeps_few_chunks_at_hand():
+    """A worker that earlier stages have used has little memory left: 100,000 chunks and no more."""
+    path, pattern, added = queries.tokenizer_files()
+    encoder = packing.ChunkEncoder(path, pattern, added)
+    encoder.encode("a " + " ".join(f"{i:x}" for i in range(110_000)))
+    encoder.encode("a b")
+    assert 0 < len(encoder._kept) <= 100_000
