@@ -286,5 +286,5 @@ def token_lab_percentiles(spark, d):
     from checks.registry import seq_text
 
     conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
-    rows = labs.token_percentiles(value_sequences(spark, d), ["person_id"], conversions, table)
+    rows = labs.token_percentiles(materialise(value_sequences(spark, d), "sequences"), ["person_id"], conversions, table)
     return rows.select("person_id", seq_text().alias("seq"))
