@@ -107,20 +107,8 @@ def label_samples_from_events(spark, d):
 @query("window_events", q.text(q.random_window(FIRST, L, P, "rw")))
 def window_events(spark, d):
     long = timeline.add_baseline(timeline.align_to_first_date(st.tokens(spark, d)), st.patient(spark, d))
-    # What random_window does to the whole array, from the rows the long form kept.
-    whole = long.groupBy("person_id").agg((F.count("*") > L).alias("long"))
-    kept = timeline.consolidate(sequence.window_events(long, L, "rw")).join(whole, "person_id")
-    first = F.array_min(F.transform(F.filter("seq", lambda x: x["day"] != 0), lambda x: x["day"]))
-    based = kept.withColumn("_first", F.when(F.col("long"), first).otherwise(1)).withColumn(
-        "seq",
-        F.transform("seq", lambda x: F.struct(
-            x["date"].alias("date"),
-            F.when(x["day"] == 0, 0).otherwise(x["day"] - F.col("_first") + 1).alias("day"),
-            x["token"].alias("token"),
-        )),
-    )
-    cut = sequence.correct_age(sequence.trim_position(based.filter("long").select("person_id", "seq"), P))
-    return shown(cut.unionByName(based.filter("NOT long").select("person_id", "seq")), "person_id")
+    kept = timeline.consolidate(sequence.window_events(long, L, "rw", materialise), ["person_id", "windowed"])
+    return shown(sequence.settle_window(kept, P), "person_id")
 
 
 @query(

@@ -379,14 +379,18 @@ def oldest_events(aligned: DataFrame, keep: int, keys: Sequence[str] = ("person_
     return ranked.filter(F.col("_rank") <= keep).drop("_rank")
 
 
-def window_events(aligned: DataFrame, max_length: int, seed: str | int) -> DataFrame:
+def window_events(
+    aligned: DataFrame, max_length: int, seed: str | int, save: Callable[[DataFrame, str], DataFrame] | None = None
+) -> DataFrame:
     """Long form of ``random_window``'s choice: day-0 rows and a random full window of the others.
 
     Positions come from ``event_positions``, so a very long person is ranked by many tasks and
     only ``max_length`` of its rows remain. ``windowed`` tells whose events were cut, as
-    ``settle_window`` needs to know.
+    ``settle_window`` needs to know. Counts, positions and choice all read the rows; ``save`` may store them.
     """
     present = aligned.filter(F.col("general_event_token").isNotNull())
+    if save is not None:
+        present = save(present, "present")
     base, events = present.filter("days_since_begin = 0"), present.filter("days_since_begin <> 0")
     counts = present.groupBy("person_id").agg(
         F.count(F.when(F.col("days_since_begin") == 0, 1)).alias("_b"),

@@ -33,7 +33,7 @@ def pretrain_rows(
     if window_seed is None:
         rows = sq.baseline_first(timeline.consolidate(sq.recent_events(events, max_length)))
     else:
-        chosen = sq.window_events(events, max_length, window_seed)
+        chosen = sq.window_events(events, max_length, window_seed, materialise)
         rows = sq.baseline_first(timeline.consolidate(chosen, ["person_id", "windowed"]))
         rows = sq.settle_window(rows, max_position)
     rows = sq.trim_position(sq.trim_length(rows, max_length), max_position)

@@ -225,3 +225,13 @@ def test_lab_tokens_are_rewritten_by_code_and_unit(spark):
     got = {(r[0], r[1]): r[2] for r in out.groupBy("general_event_token", F.col("person_id") > 5).count().collect()}
     assert sum(got.values()) == 402 and got[("LOINC:1-1:75-100", True)] == 100 and got[("OTHER:1", False)] == got[(None, True)] == 1
     assert "_token" not in plan_of(out).replace("general_event_token", "")
+
+
+def test_window_events_reads_stored_rows(spark, sf):
+    """Alignment is worked out once, before counts, positions and the choice read its rows."""
+    long = timeline.add_baseline(timeline.align_to_first_date(st.tokens(spark, sf)), st.patient(spark, sf))
+    stored = sequence.window_events(long, 20, "w", sinks.materialise)
+    lazy = sequence.window_events(long, 20, "w")
+    assert "datediff" not in plan_of(stored) and "datediff" in plan_of(lazy)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect()))
+    assert "AGE" in plan_of(entry.queries()["window_events"](spark, sf)) and "customer" not in plan_of(entry.queries()["window_events"](spark, sf))
