@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
-from medstrand.operators import labels, labs, meds, scale, sequence, splits, timeline
+from medstrand.operators import labels, labs, meds, scale, sequence, splits, terms, timeline
 from medstrand.plans import rows
 from medstrand.sources import sinks
 
@@ -235,3 +235,15 @@ def test_window_events_reads_stored_rows(spark, sf):
     assert "datediff" not in plan_of(stored) and "datediff" in plan_of(lazy)
     assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect()))
     assert "AGE" in plan_of(entry.queries()["window_events"](spark, sf)) and "customer" not in plan_of(entry.queries()["window_events"](spark, sf))
+
+
+def test_code_variants_spread_the_rows_before_they_multiply(spark):
+    rows = [("C", "A.Σ.", "s"), ("C", "a.σ.", "s"), ("C", "A.Σ.", "s"), ("D", "İ.1", "s"), ("D", None, None), (None, "x.Y", "s")]
+    codes = spark.createDataFrame(rows, "CUI string, code string, source string")
+    got = terms.code_variants(codes)
+    bare = F.replace("code", F.lit("."), F.lit(""))
+    want = codes.select("CUI", F.explode(F.array("code", bare, F.lower("code"), F.lower(bare))).alias("code"), "source").distinct()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = plan_of(terms.code_variants(codes))
+    assert plan.count("hashpartitioning") == 1
+    assert plan.index("Generate") < plan.index("Exchange")
