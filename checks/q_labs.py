@@ -203,8 +203,7 @@ def having_semi(spark, d):
          round(b[1], 6) AS percentile_10, round(b[9], 6) AS percentile_90 FROM bounds""",
 )
 def percentiles(spark, d):
-    kept = labs.filter_frequent(_converted(spark, d), *LIMITS)
-    table = labs.percentiles(kept, accuracy=st.ACCURACY)
+    _, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
     micros = F.transform("percentile_boundaries", lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
     return table.select(
         "lx_lab_code", F.array_join(micros, ",").alias("boundaries"),
@@ -233,7 +232,8 @@ def lab_tokens(spark, d):
 @query("lab_tokens_apply", "SELECT person_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, token AS general_event_token FROM labtok")
 def lab_tokens_apply(spark, d):
     conversions, table = labs.fit(st.lab(spark, d), *LIMITS, accuracy=st.ACCURACY, save=materialise)
-    return labs.apply(st.lab(spark, d), conversions, table, *LIMITS).withColumn("date", time_text("date"))
+    tokens = labs.apply(st.lab(spark, d), conversions, table, *LIMITS, save=materialise)
+    return tokens.withColumn("date", time_text("date"))
 
 
 @query(

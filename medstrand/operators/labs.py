@@ -328,10 +328,19 @@ def fit(
 
 
 def apply(
-    labs: DataFrame, conversions: DataFrame, table: DataFrame, min_count: int, min_values: int, step: int = 10
+    labs: DataFrame,
+    conversions: DataFrame,
+    table: DataFrame,
+    min_count: int,
+    min_values: int,
+    step: int = 10,
+    save: Save = _lazy,
 ) -> DataFrame:
-    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs."""
-    converted = convert(clean(labs), conversions)
+    """Raw labs to tokens with given tables; the frequency thresholds apply to these labs.
+
+    Thresholds and tokens both read the converted labs, which ``save`` may store.
+    """
+    converted = save(convert(clean(labs), conversions), "converted")
     codes_in = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
     usable = table.join(codes_in, "lx_lab_code", "left_semi")
     return lab_tokens(percentile_groups(converted, usable, step))

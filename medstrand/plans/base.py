@@ -82,7 +82,7 @@ def prepare(
                 kept["lab"], *limits, accuracy=accuracy, save=sinks.materialise
             )
         else:
-            lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits)
+            lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits, save=sinks.materialise)
     merged = ev.merge_frames(COLUMNS, tokens, lab_frame)
 
     present = merged.filter(F.col("general_event_token").isNotNull()).withColumn("_on", F.to_date("date"))

@@ -247,3 +247,12 @@ def test_code_variants_spread_the_rows_before_they_multiply(spark):
     plan = plan_of(terms.code_variants(codes))
     assert plan.count("hashpartitioning") == 1
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_labs_are_converted_once_for_thresholds_and_tokens(spark, sf):
+    """Stored labs serve both; a lazy plan joins the raw tables for each."""
+    conversions, table = labs.fit(st.lab(spark, sf), 5, 5, save=sinks.materialise)
+    lazy = labs.apply(st.lab(spark, sf), conversions, table, 5, 5)
+    stored = labs.apply(st.lab(spark, sf), conversions, table, 5, 5, save=sinks.materialise)
+    assert "l_orderkey" in plan_of(lazy) and "l_orderkey" not in plan_of(stored)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect())) and stored.count() > 0
