@@ -84,8 +84,9 @@ EXACT = 8192
 def _day_sketches(spark, d, k):
     usable = labs.clean(st.lab(spark, d))
     conversions = materialise(labs.unit_conversions(usable), "conversions")
-    converted = materialise(labs.convert(usable, conversions), "converted")
-    # Two halves of the days are sketched apart; the second is sketched twice and replaces itself.
+    converted = labs.convert(usable, conversions).select("lx_lab_code", "date", "lx_result_val_converted")
+    converted = materialise(converted, "converted")
+    # Two halves of the days are sketched apart; the second is added twice and replaces itself.
     even = F.dayofmonth("date") % 2 == 0
     early = boundaries.day_sketches(converted.filter(even), k)
     late = boundaries.day_sketches(converted.filter(~even), k)
@@ -97,7 +98,7 @@ def _day_sketches(spark, d, k):
 def lab_tokens_sketches(spark, d):
     """Tokens from boundaries that merged day sketches give."""
     _, conversions, stored = _day_sketches(spark, d, EXACT)
-    tokens = labs.apply(st.lab(spark, d), conversions, boundaries.boundaries(stored), *q_labs.LIMITS)
+    tokens = labs.apply(st.lab(spark, d), conversions, boundaries.boundaries(stored, k=EXACT), *q_labs.LIMITS, save=materialise)
     return tokens.withColumn("date", time_text("date"))
 
 
@@ -106,7 +107,7 @@ def day_sketches(spark, d):
     """Whether every boundary of small sketches lies within their stated rank error."""
     k = 256
     converted, _, stored = _day_sketches(spark, d, k)
-    ranks = boundaries.worst_ranks(converted, boundaries.boundaries(stored))
+    ranks = boundaries.worst_ranks(converted, boundaries.boundaries(stored, k=k))
     days = stored.groupBy("lx_lab_code").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
     checked = ranks.select("lx_lab_code", (F.col("off") <= 1.0 / k + boundaries.rank_error(k)).alias("within"))
     return days.join(checked, "lx_lab_code").select("lx_lab_code", "days", "n", "within")

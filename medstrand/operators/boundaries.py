@@ -11,8 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medstrand.operators.scale import salted_join
+from medstrand.sources.sinks import materialise
+
 # Values a sketch keeps exactly; a rank is then off by at most 0.14 % of the values.
 SKETCH_SIZE = 2048
+# Size merged sketches take, not less than that of the days' own. Fixed value: the smallest size of a sketch.
+MERGED_SIZE, LEAST_SIZE = 8192, 8
 
 
 def rank_error(k: int) -> float:
@@ -22,11 +27,29 @@ def rank_error(k: int) -> float:
 
 
 def day_sketches(converted: DataFrame, k: int = SKETCH_SIZE, date: str = "date") -> DataFrame:
-    """``lx_lab_code, on, n, sketch`` from labs with ``lx_result_val_converted``; combined map-side."""
+    """``lx_lab_code, on, n, sketch`` from labs with ``lx_result_val_converted``; combined map-side.
+
+    A sketch takes the memory of ``k`` values however few it holds, and most codes have few values a day.
+    So every code and day first gets a sketch of ``LEAST_SIZE``, which keeps so many values; these are
+    stored, and only codes and days with more values are read again for a sketch of size ``k``.
+    ``converted`` is read twice, so it should be stored.
+    """
     value = F.col("lx_result_val_converted")
-    return converted.filter(value.isNotNull() & ~F.isnan(value)).groupBy("lx_lab_code", F.to_date(date).alias("on")).agg(
-        F.count("*").alias("n"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch")
-    )
+    values = converted.filter(value.isNotNull() & ~F.isnan(value)).select("lx_lab_code", F.to_date(date).alias("on"), value.alias("_value"))
+
+    def sketched(rows: DataFrame, size: int) -> DataFrame:
+        return rows.groupBy("lx_lab_code", "on").agg(
+            F.count("*").alias("n"), F.kll_sketch_agg_double("_value", F.lit(size)).alias("sketch")
+        )
+
+    if k <= LEAST_SIZE:
+        return sketched(values, k)
+    small = materialise(sketched(values, LEAST_SIZE), "small_sketches")
+    # Stored first: then the join knows how few they are. Null keys are equal inside a struct.
+    key = F.struct("lx_lab_code", "on").alias("_key")
+    many = materialise(small.filter(F.col("n") > LEAST_SIZE).select(key), "many_values")
+    again = salted_join(values.withColumn("_key", key), many, ["_key"], "left_semi").drop("_key")
+    return small.filter(F.col("n") <= LEAST_SIZE).unionByName(sketched(again, k))
 
 
 def with_days(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -37,9 +60,9 @@ def with_days(stored: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
-def merged(sketches: DataFrame) -> DataFrame:
-    """One sketch a code: ``lx_lab_code, n, sketch``."""
-    return sketches.groupBy("lx_lab_code").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+def merged(sketches: DataFrame, k: int = MERGED_SIZE) -> DataFrame:
+    """One sketch a code: ``lx_lab_code, n, sketch``; ``k`` is not less than the size of the day sketches."""
+    return sketches.groupBy("lx_lab_code").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
 
 
 def _quantiles(step: int) -> list[float]:
@@ -48,15 +71,15 @@ def _quantiles(step: int) -> list[float]:
     return [i * step / 100 for i in range(1, 100 // step)]
 
 
-def boundaries(sketches: DataFrame, step: int = 10, where: Column | None = None) -> DataFrame:
+def boundaries(sketches: DataFrame, step: int = 10, where: Column | None = None, k: int = MERGED_SIZE) -> DataFrame:
     """Boundaries as ``labs.percentiles`` gives them, from day sketches, of the days ``where`` holds.
 
-    ``lx_lab_code, n, percentile_boundaries`` and ``percentile_<p>``; what ``labs.apply`` takes.
+    ``lx_lab_code, n, percentile_boundaries`` and ``percentile_<p>``; what ``labs.apply`` takes. ``k`` as in ``merged``.
     """
     quantiles = _quantiles(step)
     days = sketches if where is None else sketches.filter(where)
     read = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(q)) for q in quantiles])
-    found = merged(days).select("lx_lab_code", "n", read.alias("percentile_boundaries"))
+    found = merged(days, k).select("lx_lab_code", "n", read.alias("percentile_boundaries"))
     named = [F.get("percentile_boundaries", F.lit(i)).alias(f"percentile_{(i + 1) * step}") for i in range(len(quantiles))]
     return found.select("lx_lab_code", "n", "percentile_boundaries", *named)
 

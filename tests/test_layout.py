@@ -177,6 +177,20 @@ def test_a_corrected_day_replaces_its_own(values):
     assert all(set(r["percentile_boundaries"]) == {1.0} for r in days.collect())
 
 
+def test_codes_with_few_values_a_day_get_small_sketches(spark):
+    """One value a day and 3,000 on one day: the first take no room for ``k`` values, and none is lost."""
+    n = F.col("id")
+    rows = spark.range(6000).select(
+        F.when(n < 3000, "few").when(n < 5999, "many").alias("lx_lab_code"), n.cast("double").alias("lx_result_val_converted"),
+        F.when(n < 3000, F.timestamp_seconds(n * 86_400)).when(n < 5999, F.timestamp_seconds(F.lit(0))).alias("date"),
+    )
+    days = boundaries.day_sketches(rows, 4096)
+    size = "regexp_extract(kll_sketch_to_string_double(sketch), 'Capacity Items +: ([0-9]+)', 1)"
+    got = {(r["lx_lab_code"], r["k"]): (r["days"], r["n"]) for r in days.groupBy("lx_lab_code", F.expr(size).alias("k")).agg(F.count("*").alias("days"), F.sum("n").alias("n")).collect()}
+    assert got == {("few", "8"): (3000, 3000), ("many", "4096"): (1, 2999), (None, "8"): (1, 1)}
+    assert worst(rows.dropna(), boundaries.boundaries(days)) == 0
+
+
 def test_no_values(values, spark):
     assert boundaries.boundaries(boundaries.day_sketches(values.limit(0))).count() == 0
     with pytest.raises(ValueError):
