@@ -27,6 +27,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -57,7 +58,9 @@ _CLASS[33:127] = 3
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[192:256] = 2, 0, 1, 4
 _READ = str.maketrans("013457@$!", "oieastasi")
 _YOU = frozenset("you your yours yourself u ur tu te toi vous votre vos du dich dir ihr euch dein tú ti usted ustedes vosotros".split())
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 100_000
+# Rows sent back from a worker at once.
+SLICE = 256
 
 FEATURES = (
     "strong", "medium", "weak", "total_odds", "highest", "second_highest", "distinct_strong", "near_you", "you",
@@ -192,18 +195,26 @@ class _Reader:
         ]
 
 
-def features(docs: DataFrame, odds: dict[str, float], columns: Sequence[str], text: str = "text") -> DataFrame:
-    """``columns`` and the array ``features`` of every row, in the order of FEATURES."""
+def features(docs: DataFrame, odds: dict[str, float], columns: Sequence[str], within: str | None = None) -> DataFrame:
+    """``columns`` and the array ``features`` of every row, in the order of FEATURES.
+
+    The text is the column ``text``, or that field of ``within``, one of ``columns``, so that it goes to
+    Python once. Texts are read one at a time and rows leave in slices of SLICE.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(odds)  # LEXICON_TERMS entries at most
+    at = len(columns) if within is None else list(columns).index(within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(sent.value)
-        for batch in batches:
-            made = [reader.features(x or "") for x in batch.column(len(columns)).to_pylist()]
-            arrays = [batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(made, pa.list_(pa.float64()))], [*columns, "features"])
-
-    wanted = docs.select(*columns, text)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                texts = batch.column(at) if within is None else pc.struct_field(batch.column(at), "text")
+                made = [reader.features(x.as_py() or "") for x in texts]
+                arrays = [batch.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(made, pa.list_(pa.float64()))], [*columns, "features"])
+
+    wanted = docs.select(*columns, *(["text"] if within is None else []))
     kinds = [f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in columns]
     return wanted.mapInArrow(run, ", ".join([*kinds, "features array<double>"]))
 
@@ -282,7 +293,6 @@ def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, all columns, that score below ``threshold``."""
-    own = docs.withColumn("__own", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    packed = own.select("__own", F.col("text").alias("text"))
-    kept = model.apply(features(packed, model.odds, ["__own"])).filter(F.col("score") < threshold)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"))
+    kept = model.apply(features(own, model.odds, ["__own"], "__own")).filter(F.col("score") < threshold)
     return kept.select("__own.*")

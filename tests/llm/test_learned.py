@@ -205,6 +205,11 @@ def test_toxicity_on_held_out_rows(labelled):
     kept = toxicity.reject(docs, model)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5001").count() == 2
     assert toxicity.reject(docs.limit(0), model).count() == 0
+    # The whole row goes to Python once, its text within it.
+    sent = toxicity.reject(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert sent.count("MapInArrow") == 1 and "AS __own" in sent and ", text#" not in sent.split("AS __own")[1].split("\n")[0]
+    slices = toxicity.features(docs.coalesce(1), model.odds, ["doc_id"])
+    assert slices.count() == docs.count() > 2 * toxicity.SLICE
 
 
 def test_quality_on_held_out_rows(labelled):
