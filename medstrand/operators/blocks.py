@@ -9,10 +9,11 @@ A person's ordered sequence is cut into blocks of ``size`` elements, one row eac
 - ``seq``: at most ``size`` elements, as in the one-row form.
 
 Because each block knows the counts before it and those of its person, trims and windows choose their
-blocks by a filter and slice them in place; only what is left is gathered. Nothing holds a person as
-one row or in one task: events are dealt in even ranges of person and time, counts are summed by
-range, and blocks are gathered by person and block. Repeated events are one row with a count until
-they are put in blocks, so even a million equal events do not meet in one task.
+blocks by a filter and slice them in place; only what is left is gathered. No row holds a person. Where no
+person has more than ``WHOLE`` rows, nor more than a task's share of all, events are numbered and gathered in
+one shuffle by person. Otherwise no task holds a person either: events are dealt in even ranges of person and
+time, counts are summed by range, and blocks are gathered by person and block. Repeated events are then one
+row with a count until they are put in blocks, so even a million equal events do not meet in one task.
 
 ``one_row`` gives the plain form back, and is as long as the history.
 """
@@ -33,6 +34,8 @@ from medstrand.schema import sequence_element
 from medstrand.sources.sinks import materialise
 
 BLOCK_SIZE = 1024
+# Rows of a person up to which one task numbers them all.
+WHOLE = 65_536
 Save = Callable[[DataFrame, str], DataFrame]
 _UP = (Window.unboundedPreceding, -1)
 PERSON = ["total", "events_total", "base_total", "last_day"]
@@ -65,13 +68,31 @@ def _placed(rows: DataFrame, order: list[str], sums: dict[str, Column], whole: d
     return out.drop("_key", "_range", *[f"_{x}" for x in sums], *[f"_part_{x}" for x in sums])
 
 
+def _placed_whole(rows: DataFrame, order: list[str], sums: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """``_placed`` where one task may hold a person's rows: a window by person, and no other shuffle."""
+    person = Window.partitionBy("person_id")
+    up = person.orderBy(*order).rowsBetween(*_UP)
+    before = {f"_before_{x}": F.coalesce(F.sum(v).over(up), F.lit(0)) for x, v in sums.items()}
+    return rows.withColumns(
+        {**before, **{x: F.sum(v).over(person) for x, v in sums.items()}, **{x: v.over(person) for x, v in whole.items()}}
+    )
+
+
+def _short(rows: DataFrame) -> bool:
+    """Whether one task can number each person; two numbers are read for that, now."""
+    found = rows.groupBy("person_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found["most"] is None or (found["most"] <= WHOLE and found["most"] * tasks <= found["all"])
+
+
 def numbered_events(
     events: DataFrame, patients: DataFrame | None = None, min_days: int | None = None, save: Save = materialise
 ) -> DataFrame:
     """Raw ``person_id, date, general_event_token`` events with day-0 rows, days and places, in long form.
 
-    One row a distinct element: ``person_id, date, day, token, copies, first`` (elements before it),
-    ``events_before`` and the numbers of its person. ``min_days`` keeps persons whose events span so many.
+    ``person_id, date, day, token, copies, first`` (elements before it), ``events_before`` and the numbers
+    of its person. Equal elements are one row with their ``copies`` where a person is long, else a row each.
+    ``min_days`` keeps persons whose events span so many. ``events`` are read twice, so they should be stored.
     """
     rows = events.filter(F.col("general_event_token").isNotNull()).select(
         "person_id", "date", F.lit(1).alias("_event"), "general_event_token"
@@ -79,7 +100,6 @@ def numbered_events(
     if patients is not None:
         base = baseline_rows(patients).select("person_id", "date", F.lit(0).alias("_event"), "general_event_token")
         rows = rows.unionByName(base)
-    counted = rows.groupBy("person_id", "date", "_event", "general_event_token").agg(F.count("*").alias("copies"))
     is_event = (F.col("_event") == 1) & F.col("date").isNotNull()
     sums = {
         "total": F.col("copies"),
@@ -88,7 +108,12 @@ def numbered_events(
     }
     own = F.when(F.col("_event") == 1, F.col("date"))
     whole = {"first_date": F.min(own), "last_date": F.max(own)}
-    placed = _placed(counted, ["date", "_event", "general_event_token"], sums, whole, save)
+    order = ["date", "_event", "general_event_token"]
+    if _short(rows):
+        placed = _placed_whole(rows.withColumn("copies", F.lit(1).cast("bigint")), order, sums, whole)
+    else:
+        counted = rows.groupBy("person_id", *order).agg(F.count("*").alias("copies"))
+        placed = _placed(counted, order, sums, whole, save)
     placed = placed.filter(F.col("first_date").isNotNull())
     last = (F.datediff("last_date", "first_date") + 1).cast("int")
     if min_days is not None:

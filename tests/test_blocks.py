@@ -133,3 +133,15 @@ def test_no_task_holds_a_person(spark, events, patients):
     plan = bl.build_blocks(events, patients, size=SIZE)._jdf.queryExecution().executedPlan().toString()
     by = [line for line in plan.splitlines() if "Exchange hashpartitioning(person_id" in line]
     assert by and all("block" in line for line in by)
+
+
+def test_short_histories_take_one_shuffle(spark, events, patients, monkeypatch):
+    """Persons of whom none is long: dealt by person once, with the rows that the ranges give."""
+    short = events.filter("person_id <> 0")
+    ours = bl.build_blocks(short, patients, 100, SIZE)
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    monkeypatch.setattr(bl, "WHOLE", 0)
+    ranged = bl.build_blocks(short, patients, 100, SIZE)
+    assert "rangepartitioning" not in plan and "_range" in ranged._jdf.queryExecution().executedPlan().toString()
+    assert same(ours, ranged)
