@@ -201,33 +201,38 @@ def unit_conversions(labs: DataFrame) -> DataFrame:
     )
 
 
+def clean_code() -> Column:
+    return codes.valid_lab_code(F.col("lx_lab_code_type"), F.col("lx_lab_code"))
+
+
+def clean_value() -> Column:
+    """The result as a number; null where it does not read as one. Its one mention reads the text once."""
+    return F.nanvl(F.expr("try_cast(lx_result_val as double)"), F.lit(None).cast("double"))
+
+
 def filter_codes(labs: DataFrame) -> DataFrame:
-    return labs.filter(codes.valid_lab_code(F.col("lx_lab_code_type"), F.col("lx_lab_code")))
+    return labs.filter(clean_code())
 
 
 def numeric_results(labs: DataFrame) -> DataFrame:
     """Rows with a unit and a value that reads as a number."""
-    value = F.expr("try_cast(lx_result_val as double)")
-    return (
-        labs.dropna(subset=["lx_result_unit", "lx_result_val"])
-        .withColumn("lx_result_val", value)
-        .filter(F.col("lx_result_val").isNotNull() & ~F.isnan("lx_result_val"))
-    )
+    return labs.withColumn("lx_result_val", clean_value()).dropna(subset=["lx_result_unit", "lx_result_val"])
 
 
 def clean(labs: DataFrame) -> DataFrame:
     return numeric_results(filter_codes(labs))
 
 
-def convert(labs: DataFrame, conversions: DataFrame, join: Join = salted_join) -> DataFrame:
+def convert(labs: DataFrame, conversions: DataFrame, join: Join = salted_join, also: Sequence[str] = ()) -> DataFrame:
     """Add ``lx_result_val_converted`` in the base unit; rows with no conversion drop out (``pass_rates`` counts them).
 
-    ``join`` is how hot codes are met: ``scale.salted_join``, or ``skew.measured_join``.
+    ``join`` is how hot codes are met: ``scale.salted_join``, or ``skew.measured_join``. ``also`` names further
+    columns of ``conversions`` to add.
     """
     # A stored table without offsets has none but 0.
     offset = F.col("conversion_offset") if "conversion_offset" in conversions.columns else F.lit(0.0)
     table = conversions.filter(F.col("conversion_factor").isNotNull()).select(
-        "lx_lab_code", "lx_result_other_unit", "conversion_factor", offset.alias("_offset"), "lx_result_unit"
+        "lx_lab_code", "lx_result_other_unit", "conversion_factor", offset.alias("_offset"), "lx_result_unit", *also
     )
     named = labs.withColumnRenamed("lx_result_unit", "lx_result_other_unit")
     joined = join(named, table, ["lx_lab_code", "lx_result_other_unit"])
@@ -275,17 +280,24 @@ def percentiles(converted: DataFrame, step: int = 10, accuracy: int = 10_000) ->
     return bounds.select("lx_lab_code", "percentile_boundaries", *named)
 
 
+def _check_step(step: int) -> None:
+    if 100 // step < 3:
+        raise ValueError("need at least three percentile groups")
+
+
 def percentile_groups(
     converted: DataFrame, table: DataFrame, step: int = 10, join: Join = salted_join
 ) -> DataFrame:
     """Add ``percentile_group`` text; codes without boundaries drop out."""
-    if 100 // step < 3:
-        raise ValueError("need at least three percentile groups")
-    joined = join(converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"])
+    _check_step(step)
+    return _grouped(join(converted, table.select("lx_lab_code", "percentile_boundaries"), ["lx_lab_code"]), step)
+
+
+def _grouped(bounded: DataFrame, step: int) -> DataFrame:
     group = codes.percentile_group(
         F.col("lx_result_val_converted"), F.col("percentile_boundaries"), step
     )
-    return joined.withColumn("percentile_group", group).drop("percentile_boundaries")
+    return bounded.withColumn("percentile_group", group).drop("percentile_boundaries")
 
 
 def lab_tokens(grouped: DataFrame) -> DataFrame:
@@ -300,14 +312,16 @@ def _lazy(table: DataFrame, name: str) -> DataFrame:
 Save = Callable[[DataFrame, str], DataFrame]
 
 
-def _fit(labs, min_count, min_values, step, accuracy, save: Save, join: Join = salted_join) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Converted labs, conversions and boundaries; the threshold test rides on the boundary table."""
-    usable = clean(labs)
+def _fit(usable, min_count, min_values, step, accuracy, save: Save, join: Join = salted_join) -> tuple[DataFrame, DataFrame]:
+    """Conversions and boundaries of cleaned labs; the threshold test rides on the boundary table.
+
+    Thresholds and boundaries need no more of a lab than code and value, so no more is converted.
+    """
     conversions = save(unit_conversions(usable), "conversions")
-    converted = save(convert(usable, conversions, join), "converted")
-    frequent = frequent_codes(converted, min_count, min_values).select("lx_lab_code")
-    bounds = percentiles(converted, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
-    return converted, conversions, save(bounds, "percentiles")
+    values = convert(usable.select("lx_lab_code", "lx_result_unit", "lx_result_val"), conversions, join)
+    frequent = frequent_codes(values, min_count, min_values).select("lx_lab_code")
+    bounds = percentiles(values, step, accuracy).join(frequent, "lx_lab_code", "left_semi")
+    return conversions, save(bounds, "percentiles")
 
 
 def fit(
@@ -320,11 +334,11 @@ def fit(
 ) -> tuple[DataFrame, DataFrame]:
     """Learn ``(conversions, percentiles)`` from raw labs.
 
-    ``save`` may store the converted labs and the two fitted tables, which later steps then read
-    instead of making them again. By default everything stays one lazy plan.
+    ``save`` may store the cleaned labs and the two fitted tables, which later steps then read instead of
+    making them again. By default everything stays one lazy plan.
     """
-    _, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save)
-    return conversions, table
+    usable = clean(labs).select("lx_lab_code_type", "lx_lab_code", "lx_result_unit", "lx_result_val")
+    return _fit(save(usable, "labs"), min_count, min_values, step, accuracy, save)
 
 
 def apply(
@@ -356,8 +370,28 @@ def fit_apply(
     join: Join = salted_join,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(tokens, conversions, percentiles)`` from raw labs, with ``save`` as in ``fit`` and ``join`` as in ``convert``."""
-    converted, conversions, table = _fit(labs, min_count, min_values, step, accuracy, save, join)
-    return lab_tokens(percentile_groups(converted, table, step, join)), conversions, table
+    return fit_apply_clean(save(clean(labs), "labs"), min_count, min_values, step, accuracy, save, join)
+
+
+def fit_apply_clean(
+    usable: DataFrame,
+    min_count: int,
+    min_values: int,
+    step: int = 10,
+    accuracy: int = 10_000,
+    save: Save = _lazy,
+    join: Join = salted_join,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``fit_apply`` of labs that ``clean`` has seen; they are read several times, so they should be stored.
+
+    A lab meets its factor and its code's boundaries in one join, by code and unit; ``save`` may store that lookup,
+    so that the join knows how small it is.
+    """
+    _check_step(step)
+    conversions, table = _fit(usable, min_count, min_values, step, accuracy, save, join)
+    bounded = save(conversions.join(table.select("lx_lab_code", "percentile_boundaries"), "lx_lab_code"), "bounded")
+    converted = convert(usable, bounded, join, ["percentile_boundaries"])
+    return lab_tokens(_grouped(converted, step)), conversions, table
 
 
 def pass_rates(labs: DataFrame, conversions: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medstrand import schema
@@ -74,13 +74,18 @@ def prepare(
             schema.require(df, schema.TABLES[name], OPTIONAL)
     kept = ev.filter_dates(ev.filter_rows(selected, config), config["event_date_filter"])
 
-    lab_frame, tokens = None, ev.event_tokens(kept)
+    lab_frame, tokens, tagged = None, ev.event_tokens(kept), []
     if kept.get("lab") is not None:
         limits = config["min_loinc_counts"], config["min_loinc_value_counts"]
         if conversions is None or percentiles is None:
-            lab_frame, conversions, percentiles = lb.fit_apply(
-                kept["lab"], *limits, accuracy=accuracy, save=sinks.materialise
+            # Read once from the raw table; the report's tags stand beside the labs that pass, and alone where none does.
+            labs = sinks.materialise(_tagged_labs(selected["lab"], config), "labs")
+            usable = labs.filter(F.col("lx_result_val").isNotNull()).drop("reached")
+            lab_frame, conversions, percentiles = lb.fit_apply_clean(
+                usable, *limits, accuracy=accuracy, save=sinks.materialise
             )
+            selected = {**selected, "lab": None}
+            tagged.append(labs)
         else:
             lab_frame = lb.apply(kept["lab"], conversions, percentiles, *limits, save=sinks.materialise)
     merged = ev.merge_frames(COLUMNS, tokens, lab_frame)
@@ -90,20 +95,40 @@ def prepare(
     unique = sinks.materialise(unique, "tokens")
     patients = kept.get("patient")
     sequences = timeline.build_sequences(unique, patients, min_days=min_days)
-    steps = _tagged_steps(selected, config, unique)
+    steps = _tagged_steps(selected, config, unique, tagged)
     report = quality.cutflow(steps, step_names(min_days), min_days)
     return Prepared(sequences, conversions, percentiles, report, unique, patients, min_days)
 
 
-def _tagged_steps(selected: ev.Tables, config: Mapping, tokens: DataFrame) -> DataFrame:
-    """``person_id, reached, date`` of every raw event row, tagged in the scan that reads it, and of every token."""
+def _reached(name: str, config: Mapping) -> Column:
+    """The furthest step of the report that a raw row of a table comes to."""
+    passes = F.coalesce(F.expr(config["tables"][name]["filter_expr"]), F.lit(False))
+    in_dates = F.coalesce(F.expr(config["event_date_filter"]), F.lit(False))
+    return F.when(~passes, 1).when(~in_dates, 2).otherwise(3)
+
+
+def _tagged_labs(selected: DataFrame, config: Mapping) -> DataFrame:
+    """Every row of the lab table as ``person_id, reached`` and, where it is kept and ``labs.clean``, what tokens are made of."""
+    tagged = selected.withColumn("reached", _reached("lab", config))
+    usable = (F.col("reached") == 3) & lb.clean_code() & F.col("lx_result_unit").isNotNull()
+    tagged = tagged.withColumn("_value", F.when(usable, lb.clean_value()))
+    kept = ["date", "lx_lab_code", "lx_lab_code_type", "lx_result_unit"]
+    return tagged.select(
+        "person_id", "reached", F.col("_value").alias("lx_result_val"),
+        *[F.when(F.col("_value").isNotNull(), F.col(c)).alias(c) for c in kept],
+    )
+
+
+def _tagged_steps(selected: ev.Tables, config: Mapping, tokens: DataFrame, tagged: list[DataFrame]) -> DataFrame:
+    """``person_id, reached, date`` of every raw event row, tagged in the scan that reads it, and of every token.
+
+    ``tagged`` are tables whose rows are already stored with their tag.
+    """
+    none = F.lit(None).cast("timestamp").alias("date")
     rows = [tokens.select("person_id", F.lit(4).alias("reached"), "date")]
+    rows += [df.select("person_id", "reached", none) for df in tagged]
     for name in EVENT_TABLES:
         df = selected.get(name)
-        if df is None:
-            continue
-        passes = F.coalesce(F.expr(config["tables"][name]["filter_expr"]), F.lit(False))
-        in_dates = F.coalesce(F.expr(config["event_date_filter"]), F.lit(False))
-        reached = F.when(~passes, 1).when(~in_dates, 2).otherwise(3)
-        rows.append(df.select("person_id", reached.alias("reached"), F.lit(None).cast("timestamp").alias("date")))
+        if df is not None:
+            rows.append(df.select("person_id", _reached(name, config).alias("reached"), none))
     return reduce(DataFrame.union, rows)

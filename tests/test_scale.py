@@ -9,10 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from checks import q_pipelines
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
 from medstrand.operators import labels, labs, meds, scale, sequence, splits, terms, timeline
 from medstrand.plans import rows
+from medstrand.plans.base import prepare
 from medstrand.sources import sinks
 
 
@@ -256,3 +258,17 @@ def test_labs_are_converted_once_for_thresholds_and_tokens(spark, sf):
     stored = labs.apply(st.lab(spark, sf), conversions, table, 5, 5, save=sinks.materialise)
     assert "l_orderkey" in plan_of(lazy) and "l_orderkey" not in plan_of(stored)
     assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect())) and stored.count() > 0
+
+
+def test_raw_labs_are_read_once(spark, sf):
+    """Conversions and the report read stored labs, not the raw table again."""
+    plans = {}
+
+    def save(df, name):
+        plans[name] = plan_of(df)
+        return sinks.materialise(df, name)
+
+    labs.fit_apply(st.lab(spark, sf), 5, 5, save=save)
+    assert "l_orderkey" not in plans["conversions"]
+    out = prepare(q_pipelines.CONFIG, q_pipelines.tables(spark, sf))
+    assert "l_extendedprice" not in plan_of(out.cutflow)
