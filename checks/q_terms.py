@@ -64,7 +64,7 @@ def vocab_miss(spark, d):
        JOIN concepts b ON a.CUI = b.CUI JOIN vcodes v ON v.source = b.source AND v.code = b.code""",
 )
 def concept_translate(spark, d):
-    used = st.used_codes(spark, d).select("source", "code")
+    used = st.used_code_names(spark, d)
     return terms.matching_translations(
         st.concept_map(spark, d), used, st.vocabulary_codes(spark, d), "original", "vocab"
     )

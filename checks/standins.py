@@ -360,6 +360,14 @@ def used_codes(spark, d):
     )
 
 
+def used_code_names(spark, d):
+    """The distinct codes of ``used_codes``: the numbers of parts are made distinct before they meet their parts."""
+    numbers = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return numbers.join(table(spark, d, "part").hint("merge"), "p_partkey").select(
+        F.col("p_type").alias("source"), F.col("p_partkey").cast("string").alias("code")
+    )
+
+
 CTES["used"] = """
 SELECT p_type AS source, CAST(p_partkey AS VARCHAR) AS code, l_orderkey, l_linenumber
 FROM lineitem JOIN part ON l_partkey = p_partkey"""

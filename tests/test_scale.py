@@ -272,3 +272,18 @@ def test_raw_labs_are_read_once(spark, sf):
     assert "l_orderkey" not in plans["conversions"]
     out = prepare(q_pipelines.CONFIG, q_pipelines.tables(spark, sf))
     assert "l_extendedprice" not in plan_of(out.cutflow)
+
+
+def test_concept_maps_and_their_copies_are_not_broadcast(spark, sf):
+    """Spark takes a map for as large as its files; its rows, and the copies of a salted join, fill many times that."""
+    assert "BroadcastHashJoin" not in plan_of(entry.queries()["concept_translate"](spark, sf))
+    codes = spark.createDataFrame([(f"c{i % 40}", "s") for i in range(80)] + [("none", "s"), (None, "s")], "code string, source string")
+    vocabulary = codes.filter("code < 'c2'").withColumn("vocab_token", F.concat("source", "code"))
+    concepts = spark.createDataFrame([(f"C{i % 40 // 7}", f"c{i % 40}", "s") for i in range(80)] + [("C1", None, "s")], "CUI string, code string, source string")
+    ours = terms.matching_translations(concepts, codes, vocabulary, "original", "vocab")
+    a, b, m, v = (x.distinct() for x in (codes, concepts, concepts.withColumnRenamed("code", "vocab_code"), vocabulary))
+    want = a.join(b, "code").join(m, "CUI").join(v.withColumnRenamed("code", "vocab_code"), "vocab_code")
+    got = sorted(map(tuple, ours.select("CUI", "original_code", "vocab_code", "vocab_token").collect()))
+    assert got == sorted(map(tuple, want.select("CUI", "code", "vocab_code", "vocab_token").collect())) and len(got) > 40
+    names, used = st.used_code_names(spark, sf), st.used_codes(spark, sf).select("source", "code").distinct()
+    assert names.exceptAll(used).count() == 0 and names.count() == used.count() > 0
