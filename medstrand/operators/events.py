@@ -88,9 +88,13 @@ def mapping_table(spark, mapping: Mapping[str, str], column: str, new_column: st
 
 
 def apply_mapping(df: DataFrame, mapping: Mapping[str, str], column: str, new_column: str) -> DataFrame:
-    """Add ``new_column`` = mapping of ``column``, null where the mapping has no such key."""
+    """Add ``new_column`` = mapping of ``column``, null where the mapping has no such key.
+
+    The mapping is the caller's and does not grow with the rows, so it is broadcast: Spark does not know
+    its size, and would gather all rows of one value, of which there are few, in one task.
+    """
     table = mapping_table(df.sparkSession, mapping, column, new_column)
-    return df.join(table, on=column, how="left")
+    return df.join(F.broadcast(table), on=column, how="left")
 
 
 def value_differences(left: DataFrame, right: DataFrame, column: str) -> DataFrame:

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from checks import q_pipelines
 from checks import standins as st
 from medstrand.functions.keyed import keyed_hash
+from medstrand.operators import events as ev
 from medstrand.operators import labels, labs, meds, scale, sequence, splits, terms, timeline
 from medstrand.plans import rows
 from medstrand.plans.base import prepare
@@ -287,3 +288,12 @@ def test_concept_maps_and_their_copies_are_not_broadcast(spark, sf):
     assert got == sorted(map(tuple, want.select("CUI", "code", "vocab_code", "vocab_token").collect())) and len(got) > 40
     names, used = st.used_code_names(spark, sf), st.used_codes(spark, sf).select("source", "code").distinct()
     assert names.exceptAll(used).count() == 0 and names.count() == used.count() > 0
+
+
+def test_a_mapping_does_not_gather_rows_by_value(spark):
+    """Raw sources are few: a join by them would bring all events of one into one task."""
+    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3), (None, 4)], "raw_source string, n int")
+    out = ev.apply_mapping(rows, {"A": "x", "C": "y"}, "raw_source", "source")
+    assert sorted(map(tuple, out.select("n", "source").collect())) == [(1, "x"), (2, "x"), (3, None), (4, None)]
+    plan = plan_of(out)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(raw_source" not in plan
