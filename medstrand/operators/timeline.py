@@ -16,8 +16,11 @@ def first_dates(events: DataFrame, by: Sequence[str] = ("person_id",)) -> DataFr
 
 
 def align_to_first_date(events: DataFrame) -> DataFrame:
-    """Add ``days_since_begin``: 1 on the person's first date."""
-    joined = events.join(first_dates(events), "person_id")
+    """Add ``days_since_begin``: 1 on the person's first date.
+
+    Events look up their person's one date: a hash of a task's persons is smaller than its events sorted.
+    """
+    joined = events.join(first_dates(events).hint("shuffle_hash"), "person_id")
     return joined.select(
         "person_id",
         "general_event_token",
@@ -55,7 +58,7 @@ def baseline_rows(patients: DataFrame, keep: Sequence[str] = ("person_id",)) ->
 
 def baseline_tokens(events: DataFrame, patients: DataFrame) -> DataFrame:
     """Day-0 rows for every patient who has an event (``events`` are aligned, so day 1 is the first date)."""
-    rows = baseline_rows(patients).join(first_dates(events), "person_id")
+    rows = baseline_rows(patients).join(first_dates(events).hint("shuffle_hash"), "person_id")
     age = F.concat(F.lit("AGE:"), age_in_years(F.col("first_date"), F.col("date")))
     return rows.select(
         "person_id",

@@ -297,3 +297,17 @@ def test_a_mapping_does_not_gather_rows_by_value(spark):
     assert sorted(map(tuple, out.select("n", "source").collect())) == [(1, "x"), (2, "x"), (3, None), (4, None)]
     plan = plan_of(out)
     assert "BroadcastHashJoin" in plan and "hashpartitioning(raw_source" not in plan
+
+
+def test_alignment_sorts_no_events(spark, skewed):
+    """A task holds its persons' first dates, not its events sorted, however many events a person has."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = timeline.align_to_first_date(skewed)
+        people = skewed.select("person_id", F.lit("1990-01-01").cast("timestamp").alias("px_birth_date")).distinct()
+        assert "SortMergeJoin" not in plan_of(out) and "SortMergeJoin" not in plan_of(timeline.add_baseline(out, people))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    day = F.datediff("date", F.min("date").over(Window.partitionBy("person_id"))) + 1
+    want = skewed.withColumn("days_since_begin", day).select(*out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
