@@ -100,7 +100,7 @@ def recent_samples_sql(keep):
 def label_samples_from_events(spark, d):
     rows = st.tokens(spark, d).union(st.label_marks(spark, d))
     long = timeline.add_baseline(timeline.align_to_first_date(rows), st.patient(spark, d))
-    out = sequence.label_samples_from_events(long, 6, drop_repeats=True)
+    out = sequence.label_samples_from_events(long, 6, drop_repeats=True, save=materialise)
     return shown(out, "person_id", "label_count", big("label").alias("label"))
 
 

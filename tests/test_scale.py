@@ -311,3 +311,13 @@ def test_alignment_sorts_no_events(spark, skewed):
     day = F.datediff("date", F.min("date").over(Window.partitionBy("person_id"))) + 1
     want = skewed.withColumn("days_since_begin", day).select(*out.columns)
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
+def test_label_samples_read_stored_rows(spark, sf):
+    """Repeats are dropped and events numbered once, before labels and events are taken from them."""
+    assert "lag(" not in plan_of(entry.queries()["label_samples_from_events"](spark, sf))
+    long = st.labelled_events(spark, sf)
+    stored = sequence.label_samples_from_events(long, 6, drop_repeats=True, save=sinks.materialise)
+    lazy = sequence.label_samples_from_events(long, 6, drop_repeats=True)
+    assert "lag(" in plan_of(lazy)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect())) and stored.count() > 0
