@@ -116,7 +116,7 @@ def targets(
         full, left, weight = row[0], budget - (row[1] or 0), row[2] or 0
     if weight:
         above = wide(most) * F.lit(weight) < wide(F.col("_weight")) * F.lit(left)
-        share = (F.lit(left) * F.col("_weight")).cast("double") / F.lit(float(weight))
+        share = (wide(F.col("_weight")) * F.lit(left)).cast("double") / F.lit(float(weight))
         target = F.when(above, most.cast("double")).otherwise(share)
     else:
         target = most.cast("double")

@@ -76,6 +76,15 @@ def test_mix_of_odd_rows(spark):
     assert [r["taken"] for r in mixing.mix(build(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()] == [0, 0]
 
 
+def test_targets_of_many_words(spark):
+    """Words times a weight are more than an int holds, though the words alone are not."""
+    sizes = {"a": 700_000_000, "b": 60_000_000, "c": 500_000_000, None: 800_000_000}
+    rows = [((s,), n) for s, n in sizes.items()]
+    out = mixing.targets(spark.createDataFrame(rows, "_source struct<source string>, source_size long")).collect()
+    want = mix_targets(sizes, (5, 2, 1), 3)
+    assert {r["_source"]["source"]: r["target"] for r in out} == {s: float(x) for s, x in want.items()}
+
+
 def test_mix_tells_copies_apart(spark):
     """A third of one source is taken although its rows agree in id and text."""
     data = [(7, "a b c", "en", "a")] * 300 + [(i, "a b", "en", "b") for i in range(600)] + [(None, f"x{i % 2} y", "en", None) for i in range(50)]
