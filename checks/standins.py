@@ -173,7 +173,7 @@ def sequences(spark, d):
 
 def aligned(spark, d, rows):
     """Long form of the same sequences: aligned rows with their day-0 rows."""
-    return timeline.add_baseline(timeline.align_to_first_date(rows), patient(spark, d))
+    return timeline.add_baseline(timeline.align_to_first_date(rows), patient(spark, d), rows)
 
 
 def labelled_events(spark, d):

@@ -7,6 +7,7 @@ Each step is its own projection so that an array is computed once and then refer
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from medstrand.operators.timeline import age_in_years, event_positions
 from medstrand.operators.vocab import CLS, MASK, UNK
 from medstrand.schema import sequence_element
 
+# Rows of a person up to which one task cuts all of their label samples.
+WHOLE = 65_536
+
 
 def _baseline(seq: str | Column) -> Column:
     return F.filter(seq, lambda x: x["day"] == 0)
@@ -428,18 +432,138 @@ def label_samples_from_events(
     save: Callable[[DataFrame, str], DataFrame] | None = None,
     tie: str = "general_event_token",
     always: Callable[[Column], Column] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``label_samples(recent=...)`` straight from long form, for persons of any length.
 
     Events are numbered in order and put in blocks of ``recent``; a label needs its own block and
     the one before. Each block is gathered once, with the one before, and every label cuts its sample
-    from that row: the join is on person and block, so no person is held in one task, and events are
-    not repeated by label. Events whose token ``always`` accepts are gathered whatever their age.
+    from that row, so events are not repeated by label. Events whose token ``always`` accepts are gathered
+    whatever their age. ``tie`` is the column that orders equal dates and days.
 
-    Labels and events both read the numbering; ``save`` may store it and the rows it numbers. ``tie`` is the column that
-    orders equal dates and days.
+    With ``save``, which stores its argument, rows are counted first: see ``label_sample_parts``. Without it, and with
+    ``always``, all persons are numbered by person and day and joined by person and block, so no task holds a person.
+    """
+    if save is None or always is not None:
+        rows = aligned.filter(F.col("general_event_token").isNotNull())
+        return _samples_by_block(rows, recent, label, drop_repeats, save, tie, always)
+    return reduce(DataFrame.unionByName, label_sample_parts(aligned, recent, save, label, drop_repeats, tie, counted))
+
+
+def label_sample_parts(
+    aligned: DataFrame,
+    recent: int,
+    save: Callable[[DataFrame, str], DataFrame],
+    label: int | None = None,
+    drop_repeats: bool = False,
+    tie: str = "general_event_token",
+    counted: DataFrame | None = None,
+) -> list[DataFrame]:
+    """The samples of ``label_samples_from_events`` in parts: of persons one task may hold, and of the others if there are any.
+
+    The first part takes one shuffle by person and stays together by person, so what follows by person and label
+    need not shuffle it again. The rows are read twice: ``save`` stores them, unless ``counted``, rows of which a
+    person has no fewer, is given as well.
     """
     rows = aligned.filter(F.col("general_event_token").isNotNull())
+    if counted is None:
+        counted = rows = save(rows, "rows")
+    held = _held_by_no_task(counted, save)
+    if held is None:
+        return [_samples_by_person(rows, recent, label, drop_repeats, tie)]
+    on = F.col("person_id").eqNullSafe(F.col("_held"))
+    return [
+        _samples_by_person(rows.join(held, on, "left_anti"), recent, label, drop_repeats, tie),
+        _samples_by_block(rows.join(held, on, "left_semi"), recent, label, drop_repeats, save, tie),
+    ]
+
+
+def _held_by_no_task(rows: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
+    """``_held``: persons with more than ``WHOLE`` rows or more than a task's share of all, and null; None if there are none."""
+    counts = rows.groupBy("person_id").count()
+    found = counts.agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count_if(F.col("person_id").isNull()).alias("nulls")).first()
+    if found["most"] is None:
+        return None
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = min(WHOLE, found["all"] // tasks)
+    if found["most"] <= limit and not found["nulls"]:
+        return None
+    held = counts.filter((F.col("count") > limit) | F.col("person_id").isNull()).select(F.col("person_id").alias("_held"))
+    # At most one for each task and each ``WHOLE`` rows.
+    return F.broadcast(save(held, "held"))
+
+
+def _samples_by_person(rows: DataFrame, recent: int, label: int | None, drop_repeats: bool, tie: str) -> DataFrame:
+    """Label samples where one task may hold a person's rows: they are dealt by person, and nothing is shuffled after."""
+    mark, base, is_mark = F.col("_mark"), F.col("_base"), is_label(F.col("general_event_token"))
+    rows = rows.filter(is_mark | F.col("days_since_begin").isNotNull()).repartition("person_id")
+    rows = rows.withColumns({"_mark": is_mark, "_base": ~is_mark & (F.col("days_since_begin") == 0)})
+    if drop_repeats:
+        within = Window.partitionBy("person_id", "days_since_begin", "_mark").orderBy("date", tie).rowsBetween(-1, -1)
+        rows = rows.withColumn("_before", F.last("general_event_token").over(within))
+        rows = rows.filter(mark | base | ~F.col("_before").eqNullSafe(F.col("general_event_token"))).drop("_before")
+    person = Window.partitionBy("person_id")
+    up = person.orderBy("date", "days_since_begin", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns(
+        {"_seen": F.sum(F.when(mark | base, 0).otherwise(1)).over(up), "_labels": F.sum(F.when(mark, 1).otherwise(0)).over(up)}
+    )
+    start = F.when(base, _sample_item(F.lit(0).cast("bigint")))
+    rows = rows.withColumn("_start", F.collect_list(start).over(person)).filter(~base)
+    value = _label_value()
+    wanted = mark if label is None else mark & (value == label)
+    block = F.floor((F.col("_seen") - 1) / recent)
+    # An event is near labels of its own block and of the next.
+    rows = rows.select(
+        "person_id",
+        F.when(wanted, F.struct("_seen", (F.col("_labels") - 1).alias("label_count"), value.alias("label"))).alias("_m"),
+        F.when(wanted, F.col("_start")).alias("_start"),
+        F.when(~mark, _sample_item(F.col("_seen"))).alias("_item"),
+        F.explode(F.when(mark, F.array(block)).otherwise(F.array(block, block + 1))).alias("_block"),
+    )
+    gathered = rows.groupBy("person_id", "_block").agg(
+        F.collect_list("_m").alias("_marks"), F.array_sort(F.first("_start", ignorenulls=True)).alias("_start"), F.array_sort(F.collect_list("_item")).alias("_near")
+    )
+    samples = gathered.select("person_id", "_start", "_near", F.explode("_marks").alias("_m"))
+    return _cut_samples(samples.select("person_id", "_start", "_near", "_m.*"), recent)
+
+
+def _label_value() -> Column:
+    return F.expr("try_cast(get(split(general_event_token, ':'), 1) as int)")
+
+
+def _sample_item(at: Column) -> Column:
+    return F.struct(
+        at.alias("_at"), "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
+    )
+
+
+def _cut_samples(samples: DataFrame, recent: int, old: str | None = None) -> DataFrame:
+    """Each label's sample from ``_start``, ``old`` and the last ``recent`` of ``_near`` up to ``_seen``."""
+    since = F.col("_seen") - recent
+    parts = [F.col("_start"), F.filter("_near", lambda x: (x["_at"] > since) & (x["_at"] <= F.col("_seen")))]
+    if old is not None:
+        parts.insert(1, F.col(old))
+    # A label without history keeps an empty sample.
+    none = F.slice(F.array(_no_item()), 1, 0)
+    seq = F.transform(
+        F.concat(*[F.coalesce(x, none) for x in parts]), lambda y: sequence_element(y["date"], y["day"], y["token"])
+    )
+    return samples.select("person_id", "label_count", "label", seq.alias("seq"))
+
+
+def _samples_by_block(
+    rows: DataFrame,
+    recent: int,
+    label: int | None,
+    drop_repeats: bool,
+    save: Callable[[DataFrame, str], DataFrame] | None,
+    tie: str,
+    always: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Label samples by a numbering and a join by person and block, so no person is held in one task.
+
+    Labels and events both read the numbering; ``save`` may store it and the rows it numbers.
+    """
     mark = is_label(F.col("general_event_token"))
     base = rows.filter((F.col("days_since_begin") == 0) & ~mark)
     ordered = rows.filter((F.col("days_since_begin") != 0) | mark)
@@ -461,16 +585,13 @@ def label_samples_from_events(
     )
     if save is not None:
         numbered = save(numbered, "numbered")
-    value = F.expr("try_cast(get(split(general_event_token, ':'), 1) as int)")
     marks = numbered.filter(mark).select(
-        "person_id", "_seen", (F.col("_labels") - 1).alias("label_count"), value.alias("label")
+        "person_id", "_seen", (F.col("_labels") - 1).alias("label_count"), _label_value().alias("label")
     )
     if label is not None:
         marks = marks.filter(F.col("label") == label)
     block = F.floor((F.col("_seen") - 1) / recent)
-    item = F.struct(
-        F.col("_seen").alias("_at"), "date", F.col("days_since_begin").cast("int").alias("day"), F.col("general_event_token").alias("token")
-    )
+    item = _sample_item(F.col("_seen"))
     ordered_items = F.array_sort(F.collect_list("_item")).alias("_items")
     events = numbered.filter(~mark).select("person_id", block.alias("_block"), item.alias("_item"))
     # An event is near labels of its own block and of the next: one row of at most twice ``recent`` events for both.
@@ -482,20 +603,12 @@ def label_samples_from_events(
     at_start = base.withColumn("_seen", F.lit(0).cast("bigint")).select("person_id", item.alias("_item"))
     at_start = at_start.groupBy("person_id").agg(ordered_items.alias("_start"))
     samples = marks.join(at_start, "person_id", "left").withColumn("_block", block).join(near, ["person_id", "_block"], "left")
-    since = F.col("_seen") - recent
-    parts = [F.col("_start"), F.filter("_near", lambda x: (x["_at"] > since) & (x["_at"] <= F.col("_seen")))]
-    if always is not None:
-        old = events.filter(always(F.col("_item.token"))).drop("_block")
-        kept = marks.join(old, "person_id").filter(F.col("_item._at") <= since)
-        kept = kept.groupBy("person_id", "label_count").agg(ordered_items.alias("_old"))
-        samples = samples.join(kept, ["person_id", "label_count"], "left")
-        parts.insert(1, F.col("_old"))
-    # A label without history keeps an empty sample.
-    none = F.slice(F.array(_no_item()), 1, 0)
-    seq = F.transform(
-        F.concat(*[F.coalesce(x, none) for x in parts]), lambda y: sequence_element(y["date"], y["day"], y["token"])
-    )
-    return samples.select("person_id", "label_count", "label", seq.alias("seq"))
+    if always is None:
+        return _cut_samples(samples, recent)
+    old = events.filter(always(F.col("_item.token"))).drop("_block")
+    kept = marks.join(old, "person_id").filter(F.col("_item._at") <= F.col("_seen") - recent)
+    kept = kept.groupBy("person_id", "label_count").agg(ordered_items.alias("_old"))
+    return _cut_samples(samples.join(kept, ["person_id", "label_count"], "left"), recent, "_old")
 
 
 def _no_item() -> Column:

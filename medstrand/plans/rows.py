@@ -8,6 +8,7 @@ so a row is bounded however long a person's history is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,20 @@ def multilabel_rows(
     label: int | None = None,
     percentile_step: int | None = None,
     tie: str = "general_event_token",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per label among the events, keeping the latest history before it."""
-    samples = sq.label_samples_from_events(
-        events, max_length, label, drop_repeats=True, save=materialise, tie=tie
-    ).withColumnRenamed("label", "labels")
-    rows = sq.trim_position(sq.trim_length(samples, max_length), max_position)
-    return sq.encode(rows, vocabulary, max_length, SAMPLE_KEYS, percentile_step)
+    """One row per label among the events, keeping the latest history before it.
+
+    The parts of the samples are encoded apart: those that are together by person are not shuffled again.
+    ``tie`` and ``counted`` are those of ``sequence.label_sample_parts``.
+    """
+    def encoded(samples: DataFrame) -> DataFrame:
+        rows = samples.withColumnRenamed("label", "labels")
+        rows = sq.trim_position(sq.trim_length(rows, max_length), max_position)
+        return sq.encode(rows, vocabulary, max_length, SAMPLE_KEYS, percentile_step)
+
+    parts = sq.label_sample_parts(events, max_length, materialise, label, drop_repeats=True, tie=tie, counted=counted)
+    return reduce(DataFrame.unionByName, [encoded(part) for part in parts])
 
 
 def multilabel_lab_rows(
@@ -89,11 +97,12 @@ def multilabel_lab_rows(
 
     Lab tokens are rewritten before the samples are cut: a rewrite looks at one token only, so
     doing it once per person gives what doing it once per label would. Equal times stay in the
-    order of the tokens as they came.
+    order of the tokens as they came. Events are stored as they come and nothing made of them is.
     """
-    named = materialise(events.withColumn("_was", F.col("general_event_token")), "events")
+    stored = materialise(events, "events")
+    named = stored.withColumn("_was", F.col("general_event_token"))
     rewritten = labs.event_percentiles(named, conversions, percentiles, groups)
-    return multilabel_rows(rewritten, vocabulary, max_length, max_position, label, 100 // groups, "_was")
+    return multilabel_rows(rewritten, vocabulary, max_length, max_position, label, 100 // groups, "_was", stored)
 
 
 def meds_samples(events: DataFrame, max_length: int, label: int | None = None) -> DataFrame:

@@ -321,3 +321,45 @@ def test_label_samples_read_stored_rows(spark, sf):
     lazy = sequence.label_samples_from_events(long, 6, drop_repeats=True)
     assert "lag(" in plan_of(lazy)
     assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect())) and stored.count() > 0
+
+
+def test_label_samples_of_long_and_short_persons_are_the_same(spark, skewed):
+    """Persons a task may hold take one shuffle; the long one and null go by person and block, with the same rows."""
+    odd = spark.createDataFrame([(None, "2001-01-01", "T:1"), (None, "2001-01-02", "LABEL:1"), (7, None, "LABEL:0"), (7, None, "T:2"), (8, "2001-01-05", "LABEL:x"), (8, "2001-01-05", None)], "person_id long, date string, general_event_token string")
+    odd = odd.withColumn("date", F.col("date").cast("timestamp"))
+    few = skewed.withColumn("general_event_token", F.concat(F.lit("T:"), (F.crc32("general_event_token") % 2).cast("string")))
+    marks = skewed.filter("crc32(general_event_token) % 40 = 0").withColumn("general_event_token", F.concat(F.lit("LABEL:"), F.pmod("person_id", F.lit(2)).cast("string")))
+    people = skewed.select("person_id", F.lit("1990-01-01").cast("timestamp").alias("px_birth_date")).distinct().union(spark.sql("select 7L, null"))
+    aligned = timeline.add_baseline(timeline.align_to_first_date(few.union(marks).union(odd)), people)
+    aligned = aligned.union(spark.sql("select cast(null as long), 'T:1', 1, timestamp'2001-01-01' union all select null, 'LABEL:1', 2, timestamp'2001-01-02'"))
+    parts = sequence.label_sample_parts(aligned, 7, sinks.materialise, drop_repeats=True)
+    assert len(parts) == 2 and all(part.count() > 10 for part in parts)
+    assert plan_of(parts[0]).count("hashpartitioning") == 1
+    for repeats in (False, True):
+        for label in (None, 1):
+            got = sequence.label_samples_from_events(aligned, 7, label, repeats, sinks.materialise)
+            lazy = sequence.label_samples_from_events(aligned, 7, label, repeats)
+            assert sorted(map(str, got.collect())) == sorted(map(str, lazy.collect())) and got.count() > 20
+
+
+def test_multilabel_lab_rows_write_little(spark, sf, monkeypatch):
+    """Events are stored as they come and dealt by person once more; samples and their items are not shuffled."""
+    stored = {}
+
+    def save(df, name):
+        stored[name] = df.columns
+        return sinks.materialise(df, name)
+
+    monkeypatch.setattr(rows, "materialise", save)
+    plan = plan_of(entry.queries()["multilabel_lab_rows"](spark, sf))
+    assert stored == {"events": ["person_id", "general_event_token", "days_since_begin", "date"]}
+    assert plan.count("hashpartitioning") == 1
+
+
+def test_day_0_rows_do_not_align_again(spark, sf):
+    """First dates come from the events as they were, so events are dealt by person once to be aligned."""
+    raw, people = st.tokens(spark, sf), st.patient(spark, sf)
+    aligned = timeline.align_to_first_date(raw)
+    once, twice = timeline.add_baseline(aligned, people, raw), timeline.add_baseline(aligned, people)
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert plan_of(st.aligned(spark, sf, raw)).count("datediff") < plan_of(twice).count("datediff")
